@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_counts, token_files
+from . import exact_dedup, near_dedup, packing, substring_dedup, token_counts, token_files, top_k, words_bpe
 from .common import documents
 
 
@@ -26,5 +26,41 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op3_token_files": op3_token_files, "op6_packing": op6_packing}
-ORACLES: dict[str, str] = {}
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(documents(spark, sf_dir))
+
+
+def op9_words_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = words_bpe.decode(words_bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN), path)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return top_k.exact_top_k(vectors, F.col("id") % 100 == 0, k=10, scale=1024.0)
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(documents(spark, sf_dir), words_in_shingle=4, similarity_percent=80)
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = substring_dedup.repeated_spans(documents(spark, sf_dir), length=400)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return spans.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_token_files": op3_token_files,
+    "op5_near_dedup": op5_near_dedup,
+    "op6_packing": op6_packing,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_words_bpe": op9_words_bpe,
+    "op10_top_k": op10_top_k,
+}
+ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op10_top_k": top_k.ORACLE}
