@@ -1,4 +1,66 @@
-"""Corpus preparation: quality, exact copies, near copies, repeated passages, packing."""
+"""Corpus preparation: quality, exact copies, near copies, repeated passages, packing.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerweave.llm import exact_dedup, near_dedup, packing, quality, substring_dedup
+from ledgerweave.llm.common import documents, written
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier does not reject."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.drop_copies(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five words, a similarity of 0.8)."""
+    return near_dedup.drop_near_copies(docs, words_in_shingle=5, similarity_percent=80)
+
+
+def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 400 bytes and more that start in several places; n_chars follows the text."""
+    cut = substring_dedup.cut_passages(docs, length=400)
+    return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in cut.columns else cut
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences of 2048 tokens."""
+    pieces = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, size=2048)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("exact dedup", without_copies),
+    ("near dedup", without_near_copies),
+    ("suffix-array dedup", without_passages),
+    ("packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other, each written and read again."""
+    docs = documents(spark, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = written(docs, f"stage-{k}")
+    return docs
+
+
+#: A trained classifier has no SQL; tests hold every stage against a brute-force version instead.
+ORACLE_SQL = None
+
+QUERIES = {"pipeline": run}
+ORACLES: dict[str, str] = {}

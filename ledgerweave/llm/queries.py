@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, packing, substring_dedup, token_counts, token_files, top_k, words_bpe
+from . import exact_dedup, language_id, near_dedup, packing, quality, substring_dedup, token_counts, token_files, top_k, words_bpe
 from .common import documents
 
 
@@ -53,12 +53,24 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source", "lang", "n_chars")
+    scored = quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select("row.doc_id", "score", "text_score", "meta_score", "kept")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_files": op3_token_files,
+    "op4_language_id": op4_language_id,
     "op5_near_dedup": op5_near_dedup,
     "op6_packing": op6_packing,
+    "op7_quality": op7_quality,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_words_bpe": op9_words_bpe,
     "op10_top_k": op10_top_k,

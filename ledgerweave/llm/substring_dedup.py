@@ -30,10 +30,12 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from .common import ids_and_text, partitions, written
 from .near_dedup import mixed
@@ -149,9 +151,18 @@ def _by_bucket(keys: np.ndarray, n: int, *more: np.ndarray):
     return place, used.tolist(), [b"".join(p.tobytes() for p in x) for x in zip(*parts)]
 
 
+def _stream(batches: list[pa.RecordBatch]) -> bytes:
+    """The rows of a block without their texts."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema) as out:
+        for b in batches:
+            out.write_batch(b)
+    return zstandard.compress(sink.getvalue().to_pybytes(), 1)
+
+
 PACKS = [("buckets", pa.list_(pa.int32())), ("packs", pa.list_(pa.binary()))]
-BLOCK_ARROW = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int64())), ("texts", pa.binary()), ("rows", pa.binary()), *PACKS])
-BLOCK_SCHEMA = "block long, doc_ids array<long>, doc_lens array<long>, texts binary, rows binary, buckets array<int>, packs array<binary>"
+BLOCK_ARROW = pa.schema([("block", pa.int64()), ("others", pa.binary()), ("doc_lens", pa.list_(pa.int64())), ("texts", pa.binary()), ("rows", pa.binary()), *PACKS])
+BLOCK_SCHEMA = "block long, others binary, doc_lens array<long>, texts binary, rows binary, buckets array<int>, packs array<binary>"
 OPEN_ARROW = pa.schema([("block", pa.int64()), ("closed", pa.binary()), ("open", pa.binary()), *PACKS])
 OPEN_SCHEMA = "block long, closed binary, open binary, buckets array<int>, packs array<binary>"
 
@@ -159,7 +170,7 @@ OPEN_SCHEMA = "block long, closed binary, open binary, buckets array<int>, packs
 def _blocks(length: int, n: int):
     def run(batches):
         me, made, size = TaskContext.get().partitionId() << 32, 0, 0
-        names, lens, texts, found, base = [], [], [], [], 0
+        others, lens, texts, found, base = [], [], [], [], 0
 
         def close():
             lo, hi, bucket, content = (np.concatenate(x) for x in zip(*found))
@@ -168,25 +179,27 @@ def _blocks(length: int, n: int):
             place, used, packs = _by_bucket(np.ascontiguousarray(pair[:, 0]), n, np.ascontiguousarray(pair[:, 1]), (times > 1).astype(np.uint8))
             rows = _zip(lo, hi, place[which.ravel()])
             return pa.RecordBatch.from_pylist(
-                [{"block": me + made, "doc_ids": list(names), "doc_lens": list(lens), "texts": zstandard.compress(b"".join(texts), 3), "rows": rows, "buckets": used, "packs": packs}],
+                [{"block": me + made, "others": _stream(others), "doc_lens": list(lens), "texts": zstandard.compress(b"".join(texts), 3), "rows": rows, "buckets": used, "packs": packs}],
                 schema=BLOCK_ARROW,
             )
 
         for batch in batches:
-            for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            aside, since = batch.select([c for c in batch.schema.names if c != "text"]), 0
+            for i, text in enumerate(batch.column("text")):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
                 lo, hi, bucket, content = strings(np.frombuffer(raw, np.uint8), length)
                 found.append((lo + base, hi + base, bucket, content))
-                names.append(name)
                 lens.append(len(raw))
                 texts.append(raw)
                 base += len(raw)
                 if base >= BLOCK_BYTES:
+                    others.append(aside.slice(since, i + 1 - since))
                     yield close()
-                    made, base = made + 1, 0
-                    for x in (names, lens, texts, found):
+                    made, base, since = made + 1, 0, i + 1
+                    for x in (others, lens, texts, found):
                         x.clear()
-        if names:
+            others.append(aside.slice(since))
+        if lens:
             yield close()
 
     return run
@@ -319,48 +332,60 @@ def _cut(length: int):
                     np.add.at(change, first, 1)
                     np.add.at(change, last + length, -1)
                 gone = np.cumsum(change[:-1]) > 0
-                names, end = batch.column("doc_ids")[i].as_py(), np.cumsum(lens)
-                for a in range(0, len(names), 256):
+                others = pa.ipc.open_stream(zstandard.decompress(batch.column("others")[i].as_py())).read_all()
+                end = np.cumsum(lens)
+                for a in range(0, len(lens), 256):
                     spans, kept = [], []
                     for stop, size in zip(end[a : a + 256], lens[a : a + 256]):
                         g, t = gone[stop - size : stop], text[stop - size : stop]
                         edge = np.flatnonzero(np.diff(np.r_[False, g, False]))
                         spans.append([{"start": s, "stop": e} for s, e in zip(edge[::2].tolist(), edge[1::2].tolist())])
                         kept.append(t[~g].tobytes() if len(edge) else t.tobytes())
+                    side = others.slice(a, 256).combine_chunks()
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(names[a : a + 256], pa.int64()), pa.array(lens[a : a + 256], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary())],
-                        ["doc_id", "n_bytes", "spans", "kept"],
+                        [*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in side.columns), pa.array(lens[a : a + 256], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary())],
+                        [*side.schema.names, "n_bytes", "spans", "kept"],
                     )
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, spans (array of start, stop in bytes: the removed runs), kept (the bytes that stay) for every row."""
+def _marked(rows: DataFrame, length: int) -> DataFrame:
+    """All columns of rows but text, then n_bytes, spans, kept."""
     if length < 2 * GRAM:
         raise ValueError(f"length is at least {2 * GRAM}")
-    n = partitions(docs.sparkSession)
-    blocks = written(ids_and_text(docs, id_col, text_col).mapInArrow(_blocks(length, n), BLOCK_SCHEMA), "text-blocks", "uncompressed")
+    n = partitions(rows.sparkSession)
+    blocks = written(rows.mapInArrow(_blocks(length, n), BLOCK_SCHEMA), "text-blocks", "uncompressed")
     judged = _asked(blocks, _judged, n, "judged")
     first = blocks.select("block", "doc_lens", "texts", "rows").join(judged, "block", "left")
     opened = written(first.mapInArrow(_opened(length, n), OPEN_SCHEMA), "open-blocks", "uncompressed")
     seen = _asked(opened, _seen_twice, n, "seen")
-    last = blocks.select("block", "doc_ids", "doc_lens", "texts").join(opened.select("block", "closed", "open"), "block").join(seen, "block", "left")
-    return last.mapInArrow(_cut(length), "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
+    last = blocks.select("block", "others", "doc_lens", "texts").join(opened.select("block", "closed", "open"), "block").join(seen, "block", "left")
+    span = ArrayType(StructType([StructField("start", LongType()), StructField("stop", LongType())]))
+    more = [StructField("n_bytes", LongType()), StructField("spans", span), StructField("kept", BinaryType())]
+    return last.mapInArrow(_cut(length), StructType([f for f in rows.schema.fields if f.name != "text"] + more))
+
+
+def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, spans (array of start, stop in bytes: the removed runs), kept (the bytes that stay) for every row."""
+    return _marked(ids_and_text(docs, id_col, text_col), length)
 
 
-def cut_passages(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_passages(docs: DataFrame, length: int = 400, text_col: str = "text") -> DataFrame:
     """docs with the repeated passages cut out of the text column; rows whose text is cut to nothing stay, empty.
 
-    A cut may fall inside a character: the incomplete bytes at its ends go too. Ids must not repeat here.
+    A cut may fall inside a character: the incomplete bytes at its ends go too. A null text comes back empty.
     """
-    spans = repeated_spans(docs, length, id_col, text_col).filter("size(spans) > 0").select(F.col("doc_id").alias("_cut_id"), F.col("kept").alias("_kept"))
+    own = [c for c in docs.columns if c != text_col]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"x{k}") for k, c in enumerate(own)], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    marked = _marked(rows, length)
+    back = {c: F.col(f"x{k}") for k, c in enumerate(own)} | {text_col: F.col("text")}
 
     def whole(batches):
         for batch in batches:
-            text = [x.decode("utf-8", "ignore") for x in batch.column("_kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_cut_id"), pa.array(text, pa.string())], ["_cut_id", "_kept"])
+            text = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
+            keep = [c for c in batch.schema.names if c[0] == "x"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(text, pa.string())], [*keep, "text"])
 
-    cut = spans.mapInArrow(whole, "_cut_id long, _kept string")
-    joined = docs.join(cut, docs[id_col].cast("long") == cut["_cut_id"], "left")
-    return joined.select(*[F.coalesce(F.col("_kept"), docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    flat = marked.drop("n_bytes", "spans").mapInArrow(whole, StructType([*(f for f in rows.schema.fields if f.name != "text"), StructField("text", StringType())]))
+    return flat.select(*[back[c].alias(c) for c in docs.columns])
