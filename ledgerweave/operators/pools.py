@@ -73,6 +73,7 @@ def arithmetic_pass(lines: DataFrame, settlement: DataFrame, refs: DataFrame, co
         .unionByName(row(large, none, none, F.lit(0).cast("long"), F.col("pool_net"), F.col("pool_n")))
     )
     keys = ["scope", "island"]
+    rows = rows.toDF(*rows.columns)  # columns of its own: both sides come from the same lines
     return asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(lambda a, b: _replay(a, b, config), FOUND)
 
 
