@@ -77,6 +77,48 @@ def arithmetic_pass(lines: DataFrame, settlement: DataFrame, refs: DataFrame, co
     return asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(lambda a, b: _replay(a, b, config), FOUND)
 
 
+def day_combinations(lines: DataFrame, pools: DataFrame, window: int = 3) -> DataFrame:
+    """scope, txn_id, days (offsets from the value date, joined by a comma), n_rows, risk of every set of whole day pools that sums to the credit."""
+    from ledgerweave.functions.scalar import collision_risk
+
+    from .index import day_pools_in_window
+
+    near = day_pools_in_window(lines, pools, window).groupBy("scope", "txn_id", "credit_paise")
+    near = near.agg(F.map_from_entries(F.collect_list(F.struct(-F.col("lag"), F.struct("net", "n")))).alias("m"), F.sum("net").alias("spread"), F.count(F.lit(1)).alias("days"))
+    masks = F.array(*[F.array(*map(F.lit, m)) for m in day_masks(window)])
+    met = near.withColumn("mask", F.explode(F.filter(masks, lambda k: F.forall(k, lambda d: F.map_contains_key("m", d)))))
+    total = lambda c: F.aggregate("mask", F.lit(0).cast("long"), lambda a, d: a + F.element_at("m", d)[c])
+    hit = met.filter(total("net") == F.col("credit_paise"))
+    return hit.select("scope", "txn_id", F.array_join(F.col("mask").cast("array<string>"), ",").alias("days"), total("n").alias("n_rows"), collision_risk(F.pow(F.lit(2), "days"), F.greatest("spread", F.lit(1))).alias("risk"))
+
+
+def complement_one(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """pool, dropped: the first row whose amount is what the pool has too much. rows: pool, pos, amount; targets: pool, gap."""
+    return rows.join(targets, "pool").filter("amount = gap").groupBy("pool").agg(F.min("pos").alias("dropped"))
+
+
+def complement_two(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """pool, first, second: of the pairs that make up the gap the one whose later row comes first, with its latest partner.
+
+    An equi-join on (pool, amount = gap - amount).
+    """
+    later = rows.join(targets, "pool").select("pool", F.col("pos").alias("second"), (F.col("gap") - F.col("amount")).alias("amount"))
+    pairs = later.join(rows.withColumnRenamed("pos", "first"), ["pool", "amount"]).filter("first < second")
+    return pairs.groupBy("pool").agg(F.min(F.struct("second", -F.col("first"))).alias("p")).select("pool", (-F.col("p.col2")).alias("first"), F.col("p.second").alias("second"))
+
+
+def solve(pools: DataFrame, how: str, most: int = 3) -> DataFrame:
+    """pools (amounts array, target, ...) and `answer`: the dropped positions (how = complement) or up to two sets of positions (subset), as text."""
+    @F.pandas_udf("string")
+    def answer(amounts: pd.Series, target: pd.Series) -> pd.Series:
+        text = lambda rows: ",".join(map(str, rows))
+        if how == "complement":
+            return pd.Series([None if (d := complement(a, t, most)) is None else text(d) for a, t in zip(amounts, target)], dtype=object)
+        return pd.Series(["|".join(sorted(map(text, subsets(a, t)))) for a, t in zip(amounts, target)], dtype=object)
+
+    return pools.withColumn("answer", answer("amounts", "target"))
+
+
 def whole_pools(found: DataFrame, settlement: DataFrame, claims: DataFrame | None) -> DataFrame:
     """(scope, txn_id, cand_no, row_id) of every candidate; large pools that were taken whole get their rows here."""
     listed = found.select("scope", "txn_id", "cand_no", F.explode("row_ids").alias("row_id"))
