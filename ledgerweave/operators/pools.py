@@ -94,7 +94,7 @@ def day_combinations(lines: DataFrame, pools: DataFrame, window: int = 3) -> Dat
 
 def complement_one(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """pool, dropped: the first row whose amount is what the pool has too much. rows: pool, pos, amount; targets: pool, gap."""
-    return rows.join(targets, "pool").filter("amount = gap").groupBy("pool").agg(F.min("pos").alias("dropped"))
+    return rows.join(targets.filter("gap > 0"), "pool").filter("amount = gap").groupBy("pool").agg(F.min("pos").alias("dropped"))
 
 
 def complement_two(rows: DataFrame, targets: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def complement_two(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
     An equi-join on (pool, amount = gap - amount).
     """
-    later = rows.join(targets, "pool").select("pool", F.col("pos").alias("second"), (F.col("gap") - F.col("amount")).alias("amount"))
+    later = rows.join(targets.filter("gap > 0"), "pool").select("pool", F.col("pos").alias("second"), (F.col("gap") - F.col("amount")).alias("amount"))
     pairs = later.join(rows.withColumnRenamed("pos", "first"), ["pool", "amount"]).filter("first < second")
     return pairs.groupBy("pool").agg(F.min(F.struct("second", -F.col("first"))).alias("p")).select("pool", (-F.col("p.col2")).alias("first"), F.col("p.second").alias("second"))
 

@@ -339,13 +339,13 @@ def gap_of(rows, *positions):
     return rows.filter(F.col("pos").isin(*positions) & (F.col("n") > max(positions) + 1)).groupBy("pool").agg(F.sum("amount").alias("gap"))
 
 
-@query(POOL + ", t AS (SELECT pool, CAST(sum(amount) AS BIGINT) AS gap FROM r WHERE pos = 2 AND n > 3 GROUP BY pool) SELECT r.pool, min(r.pos) AS dropped FROM r JOIN t ON t.pool = r.pool WHERE amount = gap GROUP BY r.pool", ("settlement",))
+@query(POOL + ", t AS (SELECT pool, CAST(sum(amount) AS BIGINT) AS gap FROM r WHERE pos = 2 AND n > 3 GROUP BY pool HAVING sum(amount) > 0) SELECT r.pool, min(r.pos) AS dropped FROM r JOIN t ON t.pool = r.pool WHERE amount = gap GROUP BY r.pool", ("settlement",))
 def complement_1(spark, sf_dir):
     rows = pool_rows(spark, sf_dir)
     return pools.complement_one(rows.select("pool", "pos", "amount"), gap_of(rows, 2))
 
 
-@query(POOL + """, t AS (SELECT pool, CAST(sum(amount) AS BIGINT) AS gap FROM r WHERE pos IN (1, 4) AND n > 5 GROUP BY pool),
+@query(POOL + """, t AS (SELECT pool, CAST(sum(amount) AS BIGINT) AS gap FROM r WHERE pos IN (1, 4) AND n > 5 GROUP BY pool HAVING sum(amount) > 0),
 pair AS (SELECT a.pool, a.pos AS first, b.pos AS second FROM r a JOIN t ON t.pool = a.pool JOIN r b ON b.pool = a.pool AND a.pos < b.pos AND a.amount + b.amount = t.gap)
 SELECT pool, first, second FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY second, first DESC) AS k FROM pair) WHERE k = 1""", ("settlement",))
 def complement_2(spark, sf_dir):
@@ -353,7 +353,7 @@ def complement_2(spark, sf_dir):
     return pools.complement_two(rows.select("pool", "pos", "amount"), gap_of(rows, 1, 4))
 
 
-@query(POOL + """, t AS (SELECT pool, CAST(sum(amount) AS BIGINT) AS gap FROM r WHERE pos IN (0, 3, 6) AND n > 7 GROUP BY pool),
+@query(POOL + """, t AS (SELECT pool, CAST(sum(amount) AS BIGINT) AS gap FROM r WHERE pos IN (0, 3, 6) AND n > 7 GROUP BY pool HAVING sum(amount) > 0),
 one AS (SELECT r.pool FROM r JOIN t ON t.pool = r.pool AND amount = gap), two AS (SELECT a.pool FROM r a JOIN t ON t.pool = a.pool JOIN r b ON b.pool = a.pool AND a.pos < b.pos AND a.amount + b.amount = t.gap),
 three AS (SELECT a.pool, a.pos AS i, b.pos AS j, c.pos AS k FROM r a JOIN t ON t.pool = a.pool JOIN r b ON b.pool = a.pool AND a.pos < b.pos JOIN r c ON c.pool = a.pool AND b.pos < c.pos AND a.amount + b.amount + c.amount = t.gap)
 SELECT pool, concat(i, ',', j, ',', k) AS answer FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY i, j, k) AS q FROM three) WHERE q = 1 AND pool NOT IN (SELECT pool FROM one) AND pool NOT IN (SELECT pool FROM two)""", ("settlement",))
