@@ -29,6 +29,14 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
+    """Write df to the shared folder in n hash buckets of key and read it again: joins on key move the other side only."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{table}").option("compression", "uncompressed")
+    writer.saveAsTable(table)
+    return spark.table(table)
+
+
 def partitions(spark: SparkSession) -> int:
     """How many tasks a shuffle of corpus-sized rows is dealt over."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -39,8 +47,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows that go to a Python worker at a time.
+BATCH_ROWS = 1000
+
+
+def lean_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at a time: documents are long, and Spark counts rows, not bytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def ids_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the identifier and the text (null as empty), under fixed names; other columns go, so none can clash."""
+    lean_batches(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )

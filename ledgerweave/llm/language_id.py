@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean_batches
 from .ftrl import SoftmaxFTRL, scores, softmax, temperature
 
 #: Hashed features (a power of two) and the lengths of the n-grams.
@@ -101,6 +102,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG):
 
 def identify(docs: DataFrame, per_lang: int = PER_LANG, id_col="doc_id", text_col="text", lang_col="lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row; learned from rows that are not held out."""
+    lean_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.withColumn("held_out", held_out())
     model = fit(rows.filter(~F.col("held_out")), per_lang)

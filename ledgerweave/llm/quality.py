@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
+from .common import lean_batches
 from .ftrl import SoftmaxFTRL, platt, scores
 
 #: Features of each view (powers of two), the bounds of the samples, and the rounds of co-training.
@@ -162,6 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, pool: in
 
 def score(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", cut: float = 0.5, **bounds) -> DataFrame:
     """All columns of docs in the struct `row`, and score (of good quality), text_score, meta_score, kept."""
+    lean_batches(docs.sparkSession)
     model = fit(docs, labels, id_col=id_col, text_col=text_col, **bounds)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     sides = _sides(docs, id_col, text_col)
