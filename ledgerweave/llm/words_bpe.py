@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .bpe import GPT_PATTERN, rank_encoding, read_ranks
-from .common import ids_and_text, partitions, written
+from .common import bucketed, ids_and_text, partitions
 
 #: Bytes of text after which a block of documents is closed.
 BLOCK_BYTES = 8 << 20
 #: Distinct words a task of the encoding stage remembers at a time.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 
 def _words_blob(words: list[bytes]) -> bytes:
@@ -63,18 +63,21 @@ def _blocks(pattern: str, n: int):
         size = 0
 
         def close():
-            words = [w.encode() for w in number]
+            # Frequent words get the low numbers, which compress well; a word's place among the packed words of all
+            # buckets follows from its bucket.
+            flat = np.concatenate(numbers) if numbers else np.empty(0, np.uint32)
+            rank = np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable")
+            new = np.empty(len(rank), np.uint32)
+            new[rank] = np.arange(len(rank), dtype=np.uint32)
+            flat, seen = new[flat], list(number)
+            words = [seen[i].encode() for i in rank.tolist()]
             bucket = np.fromiter((zlib.crc32(w) % n for w in words), np.int64, len(words))
             order = np.argsort(bucket, kind="stable")
             used, first = np.unique(bucket[order], return_index=True)
             parts = [[words[i] for i in idx] for idx in np.split(order, first[1:])] if len(words) else []
-            # Words are renumbered by bucket, so that the ids of all buckets, one after the other, line up with them.
-            place = np.empty(len(words), np.uint32)
-            place[order] = np.arange(len(words), dtype=np.uint32)
-            flat = place[np.concatenate(numbers)] if len(words) else np.empty(0, np.uint32)
             planes = np.ascontiguousarray(flat.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
             row = {"block": me + made, "doc_ids": list(names), "doc_words": list(lens), "flat": zstandard.compress(planes, 3),
-                   "buckets": used.tolist(), "words": [_words_blob(p) for p in parts]}
+                   "of": zstandard.compress(np.searchsorted(used, bucket).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3), "buckets": used.tolist(), "words": [_words_blob(p) for p in parts]}
             for x in (number, names, lens, numbers):
                 x.clear()
             return pa.RecordBatch.from_pylist([row], schema=BLOCK_ARROW)
@@ -97,10 +100,10 @@ def _blocks(pattern: str, n: int):
 
 
 BLOCK_ARROW = pa.schema([
-    ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_words", pa.list_(pa.int64())), ("flat", pa.binary()),
+    ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_words", pa.list_(pa.int64())), ("flat", pa.binary()), ("of", pa.binary()),
     ("buckets", pa.list_(pa.int32())), ("words", pa.list_(pa.binary())),
 ])
-BLOCK_SCHEMA = "block long, doc_ids array<long>, doc_words array<long>, flat binary, buckets array<int>, words array<binary>"
+BLOCK_SCHEMA = "block long, doc_ids array<long>, doc_words array<long>, flat binary, of binary, buckets array<int>, words array<binary>"
 
 
 def _encoded(rank_path: str, pattern: str):
@@ -127,6 +130,11 @@ def _encoded(rank_path: str, pattern: str):
     return run
 
 
+def _planes(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
 def _assembled(batches):
     for batch in batches:
         for i in range(batch.num_rows):
@@ -138,9 +146,12 @@ def _assembled(batches):
                 counts.append(np.frombuffer(raw, np.uint32, n, 4).astype(np.int64))
                 ids.append(np.frombuffer(raw, np.uint32, -1, 4 + 4 * n))
             count, ids = np.concatenate(counts), np.concatenate(ids)
-            start = np.cumsum(count) - count
-            planes = np.frombuffer(zstandard.decompress(batch.column("flat")[i].as_py()), np.uint8)
-            flat = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+            # The packed words stand by bucket, in the order of their numbers within it.
+            by_bucket = np.argsort(_planes(batch.column("of")[i].as_py()), kind="stable")
+            start, place = np.cumsum(count) - count, np.empty(len(count), np.int64)
+            place[by_bucket] = np.arange(len(count))
+            count, start = count[place], start[place]
+            flat = _planes(batch.column("flat")[i].as_py())
             names, lens = batch.column("doc_ids")[i].as_py(), batch.column("doc_words")[i].as_py()
             at = 0
             for lo in range(0, len(names), 256):
@@ -159,13 +170,13 @@ def _assembled(batches):
 def encode(docs: DataFrame, rank_path: str, pattern: str = GPT_PATTERN, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) of every document."""
     n = partitions(docs.sparkSession)
-    blocks = written(ids_and_text(docs, id_col, text_col).mapInArrow(_blocks(pattern, n), BLOCK_SCHEMA), "word-blocks", "uncompressed")
+    blocks = bucketed(ids_and_text(docs, id_col, text_col).mapInArrow(_blocks(pattern, n), BLOCK_SCHEMA), "block", n, "word_blocks")
     words = blocks.select("block", F.explode(F.arrays_zip("buckets", "words")).alias("w")).select(
         "block", F.col("w.buckets").alias("bucket"), F.col("w.words").alias("blob")
     )
     coded = words.repartition(n, "bucket").mapInArrow(_encoded(rank_path, pattern), "block long, bucket int, ids binary")
     back = coded.groupBy("block").agg(F.collect_list(F.struct("bucket", "ids")).alias("coded"))  # a row for each bucket at most
-    joined = blocks.select("block", "doc_ids", "doc_words", "flat").join(back, "block", "left")
+    joined = blocks.select("block", "doc_ids", "doc_words", "flat", "of").join(back, "block", "left")
     return joined.mapInArrow(_assembled, "doc_id long, n_tokens long, ids binary")
 
 
