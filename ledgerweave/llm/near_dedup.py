@@ -132,7 +132,7 @@ def _rows(keys, ids, reps):
 ROWS = "key long, cid long, rep long, bucket int, packed binary"
 
 
-def _dealt(n: int, most: int = 40_000):
+def _dealt(n: int, most: int = 8_000):
     """Keys of a map task's documents, as packed arrays (key, id) for each bucket; ties inside the task come first."""
 
     def emit(ids, sigs):
