@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.config import ReconcileConfig
+from ledgerweave.storage import cut
 
 from .arith import complement, subsets
-from .index import available, day_pools
+from .index import day_pools
 from .tiers import named_batches
 
 #: Days that may be taken together.
@@ -43,24 +44,25 @@ def islands(lines: DataFrame, window: int) -> DataFrame:
     return lines.withColumn("starts", start).withColumn("island", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("starts")
 
 
-def arithmetic_pass(lines: DataFrame, settlement: DataFrame, refs: DataFrame, config: ReconcileConfig, claims: DataFrame | None) -> DataFrame:
-    """One pass of the third tier over unresolved lines: a row (FOUND) for each candidate and each declined line."""
+def arithmetic_pass(lines: DataFrame, free: DataFrame, refs: DataFrame, batch_days: DataFrame, config: ReconcileConfig) -> DataFrame:
+    """One pass of the third tier over unresolved lines: a row (FOUND) for each candidate and each declined line.
+
+    free: the available settlement rows; batch_days: scope, settlement_id, group_day.
+    """
     window = config.date_window_days
-    placed = islands(lines.select("scope", "txn_id", "txn_seq", "value_date", "credit_paise", "narration"), window)
+    placed = cut(islands(lines.select("scope", "txn_id", "txn_seq", "value_date", "credit_paise", "narration"), window), "islands")
     spans = placed.groupBy("scope", "island").agg(F.min("value_date").alias("first"), F.max("value_date").alias("last"))
     days = spans.select("scope", "island", F.explode(F.sequence(F.date_sub("first", window), F.date_add("last", window))).alias("day"))
 
-    first_day = settlement.filter("settlement_id is not null").groupBy("scope", "settlement_id").agg(F.min_by("settled_on", "row_seq").alias("day"))
-    named = named_batches(placed, refs).join(first_day, ["scope", "settlement_id"])
+    named = named_batches(placed, refs).join(batch_days.withColumnRenamed("group_day", "day"), ["scope", "settlement_id"])
     named = named.filter(F.abs(F.datediff("value_date", "day")) <= window)
     batches = named.groupBy("scope", "txn_id").agg(F.sort_array(F.collect_list(F.struct("utr_pos", "settlement_id"))).alias("named"))
     asked = placed.join(batches, ["scope", "txn_id"], "left").select(
         "scope", "island", "txn_id", "txn_seq", F.unix_date("value_date").alias("day"), "credit_paise", F.col("named.settlement_id").alias("named")
     )
-    free = available(settlement, claims)
     in_batches = free.join(named.select("scope", "settlement_id", "island", "day").distinct(), ["scope", "settlement_id"])
     loose = free.filter("settlement_id is null").withColumnRenamed("settled_on", "day").join(days, ["scope", "day"])
-    pools = day_pools(settlement, claims).select("scope", F.col("settled_on").alias("day"), F.col("n").alias("pool_n"), F.col("net").alias("pool_net"))
+    pools = day_pools(free).select("scope", F.col("settled_on").alias("day"), F.col("n").alias("pool_n"), F.col("net").alias("pool_net"))
     n = F.col("pool_n").cast("double")
     small = (F.col("pool_n") <= config.subset_safe_rows) | ((1 + n + n * (n - 1) / 2 + n * (n - 1) * (n - 2) / 6) <= config.max_collision_risk * F.greatest("pool_net", F.lit(1)))
     large = pools.filter(~small).join(days, ["scope", "day"])
@@ -119,11 +121,11 @@ def solve(pools: DataFrame, how: str, most: int = 3) -> DataFrame:
     return pools.withColumn("answer", answer("amounts", "target"))
 
 
-def whole_pools(found: DataFrame, settlement: DataFrame, claims: DataFrame | None) -> DataFrame:
+def whole_pools(found: DataFrame, free: DataFrame) -> DataFrame:
     """(scope, txn_id, cand_no, row_id) of every candidate; large pools that were taken whole get their rows here."""
     listed = found.select("scope", "txn_id", "cand_no", F.explode("row_ids").alias("row_id"))
     days = found.select("scope", "txn_id", "cand_no", F.explode("whole_days").alias("d")).withColumn("settled_on", F.date_from_unix_date("d"))
-    loose = available(settlement.filter("settlement_id is null"), claims).select("scope", "settled_on", "row_id")
+    loose = free.filter("settlement_id is null").select("scope", "settled_on", "row_id")
     return listed.unionByName(days.join(loose, ["scope", "settled_on"]).select("scope", "txn_id", "cand_no", "row_id"))
 
 

@@ -11,7 +11,7 @@ from ledgerweave.config import ADJUDICATED, ARITHMETIC, CONFIDENCE, EXACT, FUZZY
 from ledgerweave.functions.scalar import reason_text
 from ledgerweave.operators import adjudicate as choose
 from ledgerweave.operators import classify, pools, tiers
-from ledgerweave.operators.index import CLAIMS, available, settlement_groups, split_lines, utr_map
+from ledgerweave.operators.index import CLAIMS, first_days, free_groups, split_lines, utr_map
 from ledgerweave.storage import cut
 
 MATCH = "scope long, txn_id string, tier string, delta_paise long, confidence double, reason string, candidates_considered long"
@@ -39,59 +39,54 @@ def reconcile(settlement: DataFrame, bank: DataFrame, config: ReconcileConfig =
     spark = settlement.sparkSession
     settlement = cut(settlement.select("scope", "row_id", "row_seq", "net_paise", "settled_on", "settlement_id", "utr"), "settlement")
     bank = cut(bank.select("scope", "txn_id", "txn_seq", "value_date", "narration", "credit_paise", "debit_paise"), "bank")
-    credits, other = split_lines(bank)
-    refs = cut(utr_map(settlement), "references")
-    lines, claims, matches, declined = credits, [], [], []
-
-    def taken() -> DataFrame | None:
-        return _union(claims, spark, CLAIMS) if claims else None
-
-    def record(found: DataFrame, rows: DataFrame, tier: str, turn: int) -> None:
-        """Matches (MATCH) and their rows (scope, txn_id, row_id) leave the lines and the rows."""
-        nonlocal lines
+    lines, other = split_lines(bank)
+    refs, batch_days = cut(utr_map(settlement), "references"), cut(first_days(settlement), "batch-days")
+    free, claims, matches, declined = settlement, [], [], []
+    columns = settlement.columns
+
+    def record(found: DataFrame, rows: DataFrame, on: list[str], tier: str, turn: int) -> None:
+        """Matches (MATCH) leave the lines; what `rows` names by `on` (with txn_id) leaves the free rows."""
+        nonlocal lines, free
+        marked = cut(free.join(rows.select(*on, "txn_id"), on, "left"), "marked")
+        free = marked.filter("txn_id is null").select(*columns)
         matches.append(found)
-        claims.append(rows.select("scope", "row_id", "txn_id", F.lit(tier).alias("tier"), F.lit(turn).alias("round")))
+        claims.append(marked.filter("txn_id is not null").select("scope", "row_id", "txn_id", F.lit(tier).alias("tier"), F.lit(turn).alias("round")))
         lines = lines.join(found.select("scope", "txn_id"), ["scope", "txn_id"], "left_anti")
 
     def batch_pass(edges: DataFrame, tier: str, turn: int) -> tuple[DataFrame, bool]:
         done = cut(tiers.claim_in_order(edges), tier)
         won = done.filter("wins")
-        if not won.limit(1).count():
+        if won.isEmpty():
             return done, False
         reason = reason_text(F.lit(REASONS["exact" if tier == EXACT else "fuzzy"]), F.lit(0.0), F.col("delta"))
         found = won.select(
             "scope", "txn_id", F.lit(tier).alias("tier"), F.col("delta").alias("delta_paise"), F.lit(CONFIDENCE[tier]).alias("confidence"), reason.alias("reason"),
             F.lit(1).cast("long").alias("candidates_considered"),
         )
-        before = taken()
-        rows = available(settlement, before).join(won.select("scope", "settlement_id", "txn_id"), ["scope", "settlement_id"])
-        record(found, cut(rows.select("scope", "txn_id", "row_id"), "claims"), tier, turn)
+        record(found, won, ["scope", "settlement_id"], tier, turn)
         return done.filter("not wins"), True
 
     turn, moved = 0, True
     while moved:
         turn, pending = turn + 1, []
-        free = settlement_groups(settlement, taken())
-        left, a = batch_pass(tiers.exact_edges(lines, free, refs, config), EXACT, turn)
+        left, a = batch_pass(tiers.exact_edges(lines, free_groups(free, batch_days), refs, config), EXACT, turn)
         pending.append(left)
-        free = settlement_groups(settlement, taken())
-        left, b = batch_pass(tiers.fuzzy_edges(lines, free, config), FUZZY, turn)
+        left, b = batch_pass(tiers.fuzzy_edges(lines, free_groups(free, batch_days), config), FUZZY, turn)
         pending.append(left)
-        found = cut(pools.arithmetic_pass(lines, settlement, refs, config, taken()), ARITHMETIC)
+        found = cut(pools.arithmetic_pass(lines, free, refs, batch_days, config), ARITHMETIC)
         declined.append(found.filter("declined").select("scope", "txn_id"))
-        won, c = found.filter("wins"), False
-        rows = cut(pools.whole_pools(found.filter("cand_no >= 0"), settlement, taken()), "found-rows")
-        if won.limit(1).count():
-            c = True
+        rows = cut(pools.whole_pools(found.filter("cand_no >= 0"), free), "found-rows")
+        won = found.filter("wins")
+        c = not won.isEmpty()
+        if c:
             match = won.select(
                 "scope", "txn_id", F.lit(ARITHMETIC).alias("tier"), F.col("delta").alias("delta_paise"), F.lit(CONFIDENCE[ARITHMETIC]).alias("confidence"),
                 reason_text(F.col("strategy"), F.col("risk"), F.col("delta")).alias("reason"), F.lit(1).cast("long").alias("candidates_considered"),
             )
-            record(match, rows.join(won.select("scope", "txn_id"), ["scope", "txn_id"], "left_semi"), ARITHMETIC, turn)
+            record(match, rows.join(won.select("scope", "txn_id"), ["scope", "txn_id"], "left_semi"), ["scope", "row_id"], ARITHMETIC, turn)
         moved = a or b or c
 
     # Nothing moved in the last turn, so its candidates hold as they are.
-    free = available(settlement, taken())
     edges = _union([e.withColumn("of", F.lit(k)) for k, e in enumerate(pending)], spark, tiers.EDGE)
     edges = edges.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     batch_rows = free.join(edges.select("scope", "settlement_id").distinct(), ["scope", "settlement_id"], "left_semi").groupBy("scope", "settlement_id")
@@ -114,13 +109,13 @@ def reconcile(settlement: DataFrame, bank: DataFrame, config: ReconcileConfig =
         chosen = decided.filter("row_ids is not null").select(
             "scope", "txn_id", F.lit(ADJUDICATED).alias("tier"), F.col("delta").alias("delta_paise"), "confidence", "reason", F.col("n_candidates").cast("long").alias("candidates_considered")
         )
-        record(chosen, rows, ADJUDICATED, turn)
+        record(chosen, rows, ["scope", "row_id"], ADJUDICATED, turn)
 
     all_claims = cut(_union(claims, spark, CLAIMS), "claims")
     matched = _union(matches, spark, MATCH)
     members = all_claims.groupBy("scope", "txn_id").agg(F.sort_array(F.collect_list("row_id")).alias("row_ids"))
     matched = matched.join(members, ["scope", "txn_id"]).withColumn("exception_type", F.lit(None).cast("string")).select(*classify.RESULT)
-    left = available(settlement, all_claims).select("scope").distinct().withColumn("rows_left", F.lit(True))
+    left = free.select("scope").distinct().withColumn("rows_left", F.lit(True))
     unsure = _union(declined, spark, "scope long, txn_id string").distinct().withColumn("declined", F.lit(True))
     rest = lines.withColumn("is_credit", F.lit(True)).unionByName(other.withColumn("is_credit", F.lit(False)))
     rest = rest.join(pending_n, ["scope", "txn_id"], "left").join(unsure, ["scope", "txn_id"], "left").join(left, "scope", "left")
