@@ -1,0 +1 @@
+"""Joins, windows, arithmetic, choice, explanations, scores and the audit log."""

@@ -1,0 +1 @@
+"""The cascade, the derived views and the registered queries."""

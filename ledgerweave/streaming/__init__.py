@@ -1,0 +1 @@
+"""No streams in this domain: a later bank feed is a new batch run, guarded by operators.audit.existing_run."""
