@@ -21,6 +21,8 @@ from .common import partitions, written
 
 #: Fixed value: the characters that do not count, [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
+#: Characters of a text that order the ranges; a hash orders texts with the same head.
+HEAD = 32
 #: A text is hot from this share of a range's rows, or so many rows, whichever is more.
 HOT_SHARE, HOT_ROWS = 0.5, 128
 
@@ -42,11 +44,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     salted = rows.join(F.broadcast(hot), F.xxhash64("norm") == F.col("hot_key"), "left").select(
         "doc_id", "norm", "points", *(["row"] if carry else []), F.col("salts").isNotNull().alias("hot"),
+        F.substring("norm", 1, HEAD).alias("head"), F.xxhash64("norm").alias("tag"),
         F.coalesce(F.pmod(F.xxhash64("doc_id", "points"), F.col("salts")), F.lit(0)).alias("salt"),
     )
-    ranged = salted.repartitionByRange(n, "norm", "salt")
-    best = Window.partitionBy("norm", "salt").orderBy(F.desc("points"), F.asc_nulls_last("doc_id"))
-    group = Window.partitionBy("norm", "salt")
+    # Ranges are cut by the head of the text and a hash: only those are sampled for the splitters, not whole texts.
+    ranged = salted.repartitionByRange(n, "head", "tag", "salt")
+    group = Window.partitionBy("head", "tag", "norm", "salt")
+    best = group.orderBy(F.desc("points"), F.asc_nulls_last("doc_id"))
     local = ranged.select(
         "doc_id", *(["row"] if carry else []), "hot", F.first("doc_id").over(best).alias("best_id"), F.first("points").over(best).alias("best_points"),
         F.count(F.lit(1)).over(group).alias("rows"), F.row_number().over(best).alias("place"), "norm",
