@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,16 +50,16 @@ def truth_of(spark, sf_dir):
     return t.select("scope", "txn_id", "scenario", F.when(F.col("row_ids") == "", F.array().cast("array<string>")).otherwise(F.split("row_ids", r"\|")).alias("expected_row_ids"), "expect_exception")
 
 
-@functools.lru_cache(maxsize=4)
-def _reconciled(app: str, sf_dir: str, adjudicated: bool) -> Reconciliation:
-    spark = SparkSession.getActiveSession()
-    run = reconcile if adjudicated else deterministic_only
-    return run(settlement_of(spark, sf_dir), bank_of(spark, sf_dir))
+_RUNS: dict[tuple[str, str, bool], Reconciliation] = {}
 
 
 def reconciled(spark: SparkSession, sf_dir: str, adjudicated: bool = True) -> Reconciliation:
     """The run of a directory, kept as written tables for the queries that start from it."""
-    return _reconciled(spark.sparkContext.applicationId, sf_dir, adjudicated)
+    key = (spark.sparkContext.applicationId, sf_dir, adjudicated)
+    if key not in _RUNS:
+        run = reconcile if adjudicated else deterministic_only
+        _RUNS[key] = run(settlement_of(spark, sf_dir), bank_of(spark, sf_dir))
+    return _RUNS[key]
 
 
 # -- scalar functions ---------------------------------------------------------------------------------------------

@@ -5,8 +5,6 @@ The texts are shared by Spark and DuckDB; only the calls that differ are filled
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerweave.storage import cut
@@ -112,10 +110,18 @@ def with_views(dialect: dict, *names: str) -> str:
     return "WITH " + ",".join(PARTS[n](dialect) for n in wanted)
 
 
-@functools.lru_cache(maxsize=16)
-def _base(app: str, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """settlement_v and bank_v of a directory as written tables, made once in a session."""
-    spark = SparkSession.getActiveSession()
+_KEPT: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def _base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """settlement_v and bank_v of a directory as written tables, made once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KEPT:
+        _KEPT[key] = _derived(spark, sf_dir)
+    return _KEPT[key]
+
+
+def _derived(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     _tables(spark, sf_dir)
     made = spark.sql(f"{with_views(SPARK, 'settlement')} SELECT * FROM settlement_4")
     cut(made, "settlement").createOrReplaceTempView("settlement_w")
@@ -132,6 +138,6 @@ def _tables(spark: SparkSession, sf_dir: str) -> None:
 def view(spark: SparkSession, sf_dir: str, name: str, part: str | None = None) -> DataFrame:
     """A derived view over the tables of a directory."""
     if name in ("settlement_v", "bank_v"):
-        return _base(spark.sparkContext.applicationId, sf_dir)[name == "bank_v"]
+        return _base(spark, sf_dir)[name == "bank_v"]
     _tables(spark, sf_dir)
     return spark.sql(f"{with_views(SPARK, part or name.removesuffix('_v'))} SELECT * FROM {name}")
