@@ -9,8 +9,9 @@ sets with 0.8 of their union in common miss all tables with a probability under
    documents of one map task, so that a hot key reaches the next task as one row a map task, then over all.
 3. Those ties are confirmed on full sets; confirmed links give preliminary components.
 4. Only keys whose members still lie in several components can hold a link that matters. Their members meet in
-   blocks of bounded size; each pair of different components is taken up in the first table it shares, if the
-   minima of both agree as far as a link allows, and is confirmed on full sets.
+   blocks of bounded size; pairs of different components whose minima agree as far as a link allows tie those
+   components into clusters, told by spanning trees.
+5. The full sets of each cluster meet in blocks: every pair of different components is tested there.
 
 So all candidate pairs that could join two components are tested, and no group of copies is expanded.
 
@@ -37,6 +38,8 @@ HALVES, MINIMA = (13, 13), (3, 3)
 #: Members of a key that meet in one block; share of the minima that must agree before a pair is confirmed, as a
 #: part of the threshold (a pair at the threshold falls below it with a probability under 1e-7).
 BLOCK, AGREE = 512, 0.68
+#: Shingles that meet in one block.
+WEIGHT = 1 << 20
 N_MINIMA = HALVES[0] * MINIMA[0] + HALVES[1] * MINIMA[1]
 
 
@@ -196,50 +199,104 @@ def _likely(similarity: float):
     return run
 
 
-def _crossing(similarity: float):
-    """Pairs of one block pair of a key that lie in different components and share no earlier table."""
+class _Forest:
+    """Names that were joined; only joins that tie two trees together are worth telling."""
 
-    def pairs(rows):
-        cid, comp, block = (np.array(rows[c], np.int64) for c in ("cid", "comp", "block"))
-        sig = np.frombuffer(b"".join(rows["sig"]), "<u2").reshape(len(cid), -1)
-        first, second = halves(sig)
-        key = np.array(rows["key"][:1], np.int64).view(np.uint64)[0]
-        i, j = next((divmod(int(np.argmax(k == key)), HALVES[1]) for k in map(lambda r: table_keys(sig[r : r + 1])[0], range(len(cid))) if (k == key).any()), (0, 0))
-        # A repeated id may stand for several sets, of which only one has the key; the rule of the first table needs both keys.
-        bound = mixed(mixed(first[:, i] + mixed(np.array([i * HALVES[1] + j + 1], np.uint64))) + second[:, j]) == key
-        lo, hi = rows["lo"][0], rows["hi"][0]
-        for x in np.flatnonzero(block == lo):
-            y = np.flatnonzero(((block == hi) if lo != hi else (np.arange(len(cid)) > x)) & (comp != comp[x]))
-            if len(y):
-                ok = (np.argmax(first[y] == first[x], axis=1) == i) & (np.argmax(second[y] == second[x], axis=1) == j)
-                ok &= (sig[y] == sig[x]).mean(axis=1) >= AGREE * similarity
-                ok |= ~(bound[y] & bound[x])
-                y = y[ok]
-                yield np.minimum(cid[x], cid[y]), np.maximum(cid[x], cid[y])
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _told(found):
+    a, b = (np.array(x, np.int64) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _runs(batches, columns: list[str], keys: int):
+    """The rows of each run of equal first columns, as lists by column; the rows come in that order."""
+    held, of = None, None
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in columns)):
+            if row[:keys] != of:
+                if held:
+                    yield held
+                held, of = {c: [] for c in columns}, row[:keys]
+            for c, v in zip(columns, row):
+                held[c].append(v)
+    if held:
+        yield held
+
+
+def _crossing(similarity: float):
+    """Ties between the components that likely pairs of one block pair of a key lie in, as a spanning forest."""
+
+    def ties(rows):
+        comp, block = (np.array(rows[c], np.int64) for c in ("comp", "block"))
+        sig = np.frombuffer(b"".join(rows["sig"]), "<u2").reshape(len(comp), -1)
+        apart, tree = rows["lo"][0] != rows["hi"][0], comp.copy()
+        for x in range(len(comp) - 1):
+            if (tree == tree[0]).all():
+                break
+            y = x + 1 + np.flatnonzero((tree[x + 1 :] != tree[x]) & ((block[x + 1 :] != block[x]) | (not apart)))
+            y = y[(sig[y] == sig[x]).mean(axis=1) >= AGREE * similarity] if len(y) else y
+            for k in np.unique(tree[y], return_index=True)[1]:
+                yield int(comp[x]), int(comp[y[k]])
+                tree[tree == tree[y[k]]] = tree[x]
 
     def run(batches):
-        held, of = None, None
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in CROSS)):
-                if row[:3] != of:
-                    if held:
-                        yield from out(held)
-                    held, of = {c: [] for c in CROSS}, row[:3]
-                for c, v in zip(CROSS, row):
-                    held[c].append(v)
-        if held:
-            yield from out(held)
-
-    def out(held):
-        got = list(pairs(held))
-        if got:
-            a, b = (np.concatenate(x) for x in zip(*got))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        for held in _runs(batches, CROSS, 3):
+            yield _told(list(ties(held)))
 
     return run
 
 
 CROSS = ["key", "lo", "hi", "block", "cid", "comp", "sig"]
+MEET = ["cluster", "lo", "hi", "block", "cid", "comp", "shingles"]
+
+
+def _meeting(similarity_percent: int):
+    """Links of one block pair of a cluster, from all pairs of different components on their full sets.
+
+    The sets of one block are turned into a list of owners for each shingle; each set of the other block counts
+    its owners. Told are the components that a link joins.
+    """
+
+    def links(rows):
+        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+        cid, comp, block = (np.array(rows[c], np.int64) for c in ("cid", "comp", "block"))
+        size, forest = np.array([len(x) for x in sets], np.int64), _Forest()
+        near, far = np.flatnonzero(block == rows["lo"][0]), np.flatnonzero(block == rows["hi"][0])
+        if not len(near) or not len(far):
+            return
+        owner = np.repeat(far, size[far])
+        shingle = np.concatenate([sets[y] for y in far])
+        order = np.argsort(shingle, kind="stable")
+        shingle, owner = shingle[order], owner[order]
+        for x in near.tolist():
+            lo, hi = (np.searchsorted(shingle, sets[x], side) for side in ("left", "right"))
+            n = hi - lo
+            at = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
+            both = np.bincount(owner[at], minlength=len(cid))
+            ok = (100 * both >= similarity_percent * (size[x] + size - both)) & (both > 0) & (comp != comp[x])
+            for y in np.flatnonzero(ok).tolist():
+                if forest.join(int(comp[x]), int(comp[y])):
+                    yield int(comp[x]), int(comp[y])
+
+    def run(batches):
+        for held in _runs(batches, MEET, 3):
+            yield _told(list(links(held)))
+
+    return run
 
 
 def _confirmed(similarity_percent: int):
@@ -305,12 +362,25 @@ def near_groups(
         .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cid", "comp")
     )
     met = open_.join(reps, "cid").select(*CROSS).repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "cid")
-    crossing = met.mapInArrow(_crossing(share), "a long, b long").distinct()
-    all_links = links.unionByName(written(confirmed(crossing), "links-2"))
-    last = components(all_links)
+    likely = written(met.mapInArrow(_crossing(share), "a long, b long").distinct(), "likely")
+
+    # Clusters of components with likely pairs; the full sets of each meet once, in blocks that bound members and shingles.
+    cluster = components(likely).select(F.col("node").alias("comp"), F.col("component").alias("cluster"))
+    placed = full.select("cid", "shingles").join(first.withColumnRenamed("node", "cid"), "cid", "left")
+    placed = placed.select("cid", F.coalesce("component", "cid").alias("comp"), "shingles").join(cluster, "comp")
+    sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("shingles") / 8).alias("weight"))
+    sizes = sizes.select("cluster", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / WEIGHT)).cast("int").alias("blocks"))
+    spread = (
+        placed.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("long"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cid", "comp", "shingles")
+        .repartition(n, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "cid")
+    )
+    joined = components(written(spread.mapInArrow(_meeting(similarity_percent), "a long, b long"), "links-2"))
 
     # Rows of one class belong together; so do classes that share an id.
-    of = classes.join(last.withColumnRenamed("node", "cid"), "cid", "left").select("digest", F.coalesce("component", "cid").alias("component_id"))
+    of = classes.join(first.withColumnRenamed("node", "cid"), "cid", "left").select("digest", F.coalesce("component", "cid").alias("node"))
+    of = of.join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = sets.join(of, "digest", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
