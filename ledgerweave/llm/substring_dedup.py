@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from .common import ids_and_text, partitions, written
+from .common import bucketed, ids_and_text, lean_batches, partitions, written
 from .near_dedup import mixed
 
 #: Bytes in a q-gram; bytes of text after which a block is closed; positions that are handled at a time.
@@ -354,8 +354,9 @@ def _marked(rows: DataFrame, length: int) -> DataFrame:
     """All columns of rows but text, then n_bytes, spans, kept."""
     if length < 2 * GRAM:
         raise ValueError(f"length is at least {2 * GRAM}")
+    lean_batches(rows.sparkSession)
     n = partitions(rows.sparkSession)
-    blocks = written(rows.mapInArrow(_blocks(length, n), BLOCK_SCHEMA), "text-blocks", "uncompressed")
+    blocks = bucketed(rows.mapInArrow(_blocks(length, n), BLOCK_SCHEMA), "block", n, "text_blocks")
     judged = _asked(blocks, _judged, n, "judged")
     first = blocks.select("block", "doc_lens", "texts", "rows").join(judged, "block", "left")
     opened = written(first.mapInArrow(_opened(length, n), OPEN_SCHEMA), "open-blocks", "uncompressed")
