@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ledgerweave.config import ReconcileConfig
 from ledgerweave.storage import cut
 
-from .arith import complement, subsets
+from .arith import MOST_NEGATIVE, MOST_TARGET, complement, subsets
 from .index import day_pools
 from .tiers import named_batches
 
@@ -121,6 +121,18 @@ def solve(pools: DataFrame, how: str, most: int = 3) -> DataFrame:
     return pools.withColumn("answer", answer("amounts", "target"))
 
 
+def subset_ways(pools: DataFrame, most_rows: int) -> DataFrame:
+    """pool, n, ways (0, 1, or 2 for more), declined: one row a pool. pools: pool, amounts (array), target.
+
+    Declined, with ways null: more than most_rows rows, or a target or refunds beyond the bounds of arith.
+    """
+    n, bad = F.size("amounts").cast("long"), F.size(F.filter("amounts", lambda x: x < 0))
+    asked = pools.select("pool", "target", n.alias("n"), ((n > most_rows) | (F.col("target") <= 0) | (F.col("target") > MOST_TARGET) | (bad > MOST_NEGATIVE)).alias("declined"), "amounts")
+    solved = solve(asked.withColumn("amounts", F.when(F.col("declined"), F.array().cast("array<bigint>")).otherwise(F.col("amounts"))), "subset")
+    ways = F.when(F.col("declined"), None).when(F.col("answer") == "", 0).otherwise(F.size(F.split("answer", r"\|")))
+    return solved.select("pool", "n", ways.cast("int").alias("ways"), "declined")
+
+
 def whole_pools(found: DataFrame, free: DataFrame) -> DataFrame:
     """(scope, txn_id, cand_no, row_id) of every candidate; large pools that were taken whole get their rows here."""
     listed = found.select("scope", "txn_id", "cand_no", F.explode("row_ids").alias("row_id"))

@@ -373,6 +373,14 @@ def subset_sum_small(spark, sf_dir):
     return solved.select("pool", F.when(F.col("answer") == "", 0).otherwise(F.size(F.split("answer", r"\|"))).cast("int").alias("ways"))
 
 
+@query()
+def subset_sum(spark, sf_dir):
+    """Every pool, with every other row's sum as the target: solved up to the row gate of the cascade, a declined row beyond it."""
+    rows = pool_rows(spark, sf_dir)
+    asked = rows.groupBy("pool").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "amount"))), lambda x: x["amount"]).alias("amounts"), F.sum(F.when(F.col("pos") % 2 == 0, F.col("amount"))).alias("target"))
+    return pools.subset_ways(asked, ReconcileConfig().subset_safe_rows)
+
+
 @query()
 def spurious_match_rate(spark, sf_dir):
     """Pools of every size up to 24: the first rows of the day groups, with every other row's sum as the target."""

@@ -60,6 +60,31 @@ def test_subsets():
         assert len(got) == min(2, len(ways)) and set(got) <= ways and len(set(got)) == len(got)
 
 
+def brute_ways(amounts, target):
+    """How many sets of non-zero amounts sum to target, by all their sums."""
+    sums = np.zeros(1, np.int64)
+    for x in amounts:
+        sums = np.concatenate([sums, sums + x]) if x else sums
+    return int((sums == target).sum()) - (target == 0)
+
+
+def test_subset_ways(spark):
+    from ledgerweave.operators import pools
+    from ledgerweave.plans import registry
+
+    rng = random.Random(3)
+    made = {f"{n}_{k}": [rng.choice([0, -700, rng.randint(1, 900), rng.randint(1, 9000) * 100]) for _ in range(n)] for n in (1, 5, 13, 16, 20, 21) for k in range(4)}
+    asked = [(p, a, sum(a[::2])) for p, a in made.items()]
+    got = {r.pool: (r.n, r.ways, r.declined) for r in pools.subset_ways(spark.createDataFrame(asked, "pool string, amounts array<long>, target long"), 20).collect()}
+    assert got == {p: (len(a), None, True) if len(a) > 20 or t <= 0 else (len(a), min(2, brute_ways(a, t)), False) for p, a, t in asked}
+    rows, sf = {}, "/root/testdata/sf0.01"
+    for r in registry.pool_rows(spark, sf).orderBy("pos").collect():
+        rows.setdefault(r.pool, []).append(r.amount)
+    want = {p: (len(a), None, True) if len(a) > 20 or sum(a[::2]) <= 0 else (len(a), min(2, brute_ways(a, sum(a[::2]))), False) for p, a in rows.items()}
+    assert any(12 < n <= 20 and not d for n, _, d in want.values()) and any(d for *_, d in want.values())
+    assert {r.pool: (r.n, r.ways, r.declined) for r in registry.QUERIES["subset_sum"](spark, sf).collect()} == want
+
+
 def test_complement():
     assert arith.complement([500, 700, 900, 1100, 1900], 5100 - 2600) == (1, 4)
     drop = arith.complement([500, 700, 900, 1100, 1300], 4500 - 2000)
