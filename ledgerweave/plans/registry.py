@@ -383,10 +383,10 @@ def subset_sum(spark, sf_dir):
 
 @query()
 def spurious_match_rate(spark, sf_dir):
-    """Pools of every size up to 24: the first rows of the day groups, with every other row's sum as the target."""
+    """The day groups, whole and with their refunds; every other row's sum is the target."""
     s = settlement_of(spark, sf_dir)
     w = tiers.Window.partitionBy("scope", "settled_on")
-    rows = s.withColumn("pos", F.row_number().over(w.orderBy("row_seq")) - 1).withColumn("n", F.count(F.lit(1)).over(w)).filter("n <= 24 and net_paise > 0")
+    rows = s.withColumn("pos", F.row_number().over(w.orderBy("row_seq")) - 1)
     made = rows.groupBy("scope", "settled_on").agg(F.sort_array(F.collect_list(F.struct("pos", "net_paise"))).alias("r"))
     made = made.select(F.concat_ws("_", "scope", "settled_on").alias("pool_id"), F.transform("r", lambda x: x["net_paise"]).alias("amounts"), F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + F.when(x["pos"] % 2 == 0, x["net_paise"]).otherwise(0)).alias("target"))
     return score.spurious_match_rate(made)

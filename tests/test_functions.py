@@ -104,6 +104,24 @@ def test_spurious(spark):
     assert got[12] == 0 and got[28] >= 15
 
 
+def test_spurious_all_sizes(spark):
+    from ledgerweave.plans import registry
+
+    rng = random.Random(5)
+    made = [[rng.choice([0, -300, rng.randint(1, 50)]) * 100 for _ in range(n)] for n in (3, 8, 16) for _ in range(6)] + [[-1] * 16 + [16, 10**9], [1] * 41]
+    rows = [(str(k), a, sum(a[::2])) for k, a in enumerate(made)]
+    want = {n: sum(brute_ways(a, t) > 1 for _, a, t in rows if len(a) == n) for n in (3, 8, 16, 18)}
+    got = {r.n: r for r in score.spurious_match_rate(spark.createDataFrame(rows, "pool_id string, amounts array<long>, target long")).collect()}
+    assert {n: got[n].spurious for n in want} == want and want[18] == 1 and all(got[n].evaluated == got[n].pools for n in want)
+    assert (got[41].pools, got[41].evaluated, got[41].spurious, got[41].rate) == (1, 0, None, None)
+
+    sf = "/root/testdata/sf0.01"
+    sizes = registry.settlement_of(spark, sf).groupBy("scope", "settled_on").count().groupBy("count").agg(F.count(F.lit(1))).collect()
+    got = {r.n: r for r in registry.QUERIES["spurious_match_rate"](spark, sf).collect()}
+    assert {n: r.pools for n, r in got.items()} == dict(map(tuple, sizes)) and max(got) > 24
+    assert all(r.evaluated == (r.pools if n <= 40 else 0) for n, r in got.items())
+
+
 def test_policy_and_replies(spark):
     c = spark.createDataFrame([(0, "tie", 1, 0, 0, 1), (0, "tie", 2, 0, 0, 1), (0, "win", 1, 0, 0, 1), (0, "win", 2, 90000, 0, 1), (0, "one", 1, 5, 1, 1)], "scope long, txn_id string, cand_no int, delta long, lag int, n_rows long")
     got = {r.txn_id: (r.cand_no, r.confidence) for r in adjudicate.rank_candidates(c).collect()}
