@@ -2,12 +2,13 @@
 
 Two classifiers look at a document: one at its text (hashed character n-grams with case, word shapes), one at its
 page metadata (source, language, size, layout of lines). Both start from the labelled sample. In each round each
-marks the documents of an unlabelled pool that it is confident about, and the other one trains on those marks too.
+scores all unlabelled documents and hands over those that it is surest about, at most HANDED of each class; the
+other one trains on those marks too. Equal documents (text and metadata) count as one.
 Labelled documents that were left out then calibrate each view, and the two calibrated logits are added (the prior
 counted once) to score all documents.
 
-Labelled sample and pool are bounded: `per_class` documents for each label and `pool` more, whole texts, picked by
-a hash of their ids. Training is on the driver; the weights have a fixed size; scoring covers every document.
+The labelled sample is bounded: `per_class` documents for each label, whole texts, picked by a hash of their ids.
+Training is on the driver, on that sample and the marks; the weights have a fixed size.
 
 Defined results: without labels of both classes every row is kept with score 0.5; a document with contradicting
 labels counts as unlabelled; null text counts as empty, null metadata as a value of its own; repeated rows get
@@ -30,10 +31,12 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 from .common import lean_batches
 from .ftrl import SoftmaxFTRL, platt, scores
 
-#: Features of each view (powers of two), the bounds of the samples, and the rounds of co-training.
-TEXT_BITS, META_BITS, PER_CLASS, POOL, ROUNDS = 12, 10, 1500, 3000, 3
+#: Features of each view (powers of two), the bound of the sample, and the rounds of co-training.
+TEXT_BITS, META_BITS, PER_CLASS, ROUNDS = 12, 10, 1500, 3
 #: How sure a view must be of a mark, and how many marks of a class it hands over in a round.
 SURE, HANDED = 0.98, 300
+#: Tasks that merge the best of all tasks before the driver does.
+MERGERS = 16
 WORD = re.compile(r"\S+").findall
 
 
@@ -101,32 +104,128 @@ def _sides(docs: DataFrame, id_col: str, text_col: str) -> list:
     ]
 
 
-def co_train(labelled: list, marks: np.ndarray, pool: list, rounds: int = ROUNDS):
-    """Weights of both views, and (slope, offset) of each, from rows ((at, x), (at, x)) and their labels 0 or 1."""
+class _Best:
+    """The surest HANDED marks (sure, key) of each class and view, equal sureness by key; a key counts once."""
+
+    def __init__(self):
+        self.kept: dict[tuple[int, int], dict[int, float]] = {}
+
+    def add(self, view: int, y: int, keys: list, sure: list) -> None:
+        kept = self.kept.setdefault((view, y), {})
+        kept.update(zip(keys, sure))
+        if len(kept) > HANDED:
+            self.kept[view, y] = dict(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:HANDED])
+
+    def batch(self) -> pa.RecordBatch:
+        rows = [(v, y, key, sure) for (v, y), kept in self.kept.items() for key, sure in kept.items()]
+        columns = zip(*rows) if rows else ((), (), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.float64()))], ["view", "y", "key", "sure"])
+
+
+def _merged(batches):
+    best = _Best()
+    for batch in batches:
+        view, y = (batch.column(k).to_numpy() for k in (0, 1))
+        for v in (0, 1):
+            for c in (0, 1):
+                at = pa.array((view == v) & (y == c))
+                best.add(v, c, *(batch.column(k).filter(at).to_pylist() for k in (2, 3)))
+    yield best.batch()
+
+
+def surest(unlabelled: DataFrame, weights: list, cal: list, given: list) -> list[tuple[int, int, int, float]]:
+    """(view, class, key, sureness): what each view is surest about among all rows, without keys given to the other view before."""
+    sent = unlabelled.sparkSession.sparkContext.broadcast((weights, cal, [set(g) for g in given]))
+
+    def ranked(batches):
+        weights, cal, given = sent.value
+        best = _Best()
+        for batch in batches:
+            keys, margins = batch.column("key").to_pylist(), np.zeros((2, batch.num_rows))
+            texts = batch.column("text")
+            for i, meta in enumerate(zip(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")))):
+                text = texts[i].as_py()
+                for v, (at, x) in enumerate((text_view(text), meta_view(*meta, text))):
+                    s = x.astype(np.float32).astype(float) @ weights[v][at]
+                    margins[v, i] = s[1] - s[0]
+            for v in (0, 1):
+                p = 1 / (1 + np.exp(-np.clip(cal[v][0] * margins[v] + cal[v][1], -30, 30)))
+                for y, sure in ((1, p), (0, 1 - p)):
+                    at = [i for i in np.flatnonzero(sure >= SURE) if keys[i] not in given[1 - v]]
+                    best.add(v, y, [keys[i] for i in at], sure[at].tolist())
+        yield best.batch()
+
+    kind = "view int, y int, key long, sure double"
+    rows = unlabelled.mapInArrow(ranked, kind).repartition(MERGERS).mapInArrow(_merged, kind).collect()
+    last = _Best()
+    for r in rows:
+        last.add(r["view"], r.y, [r.key], [r.sure])
+    # Class 1 goes first where a key is on both lists.
+    return [(v, y, key, sure) for (v, y), kept in sorted(last.kept.items(), key=lambda x: (x[0][0], -x[0][1])) for key, sure in kept.items()]
+
+
+def _once(names: list[str]):
+    """_views, for the first row of each key in a task."""
+    views = _views(names)
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            at = []
+            for i, key in enumerate(batch.column("h").to_pylist()):
+                if key not in seen:
+                    seen.add(key)
+                    at.append(i)
+            if at:
+                yield from views([batch.take(pa.array(at))])
+
+    return run
+
+
+def _unpacked(r) -> tuple:
+    return tuple((np.frombuffer(r[f"at{v}"], np.int32), np.frombuffer(r[f"x{v}"], np.float32).astype(float)) for v in (0, 1))
+
+
+NAMES = ["h", "y", "at0", "x0", "at1", "x1"]
+VIEWED = "h long, y int, at0 binary, x0 binary, at1 binary, x1 binary"
+
+
+def looked_up(unlabelled: DataFrame, keys: set[int]) -> dict[int, tuple]:
+    """Both views of the documents with these keys."""
+    if not keys:
+        return {}
+    wanted = unlabelled.sparkSession.createDataFrame([(k,) for k in sorted(keys)], "key long")
+    rows = unlabelled.join(F.broadcast(wanted), "key").select(F.col("key").alias("h"), F.lit(0).alias("y"), "source", "lang", "n_chars", "text")
+    return {r.h: _unpacked(r) for r in rows.mapInArrow(_once(NAMES), VIEWED).dropDuplicates(["h"]).collect()}
+
+
+def co_train(labelled: list, marks: np.ndarray, unlabelled: DataFrame | None, rounds: int = ROUNDS):
+    """Weights of both views, and (slope, offset) of each, from rows ((at, x), (at, x)) and their labels 0 or 1.
+
+    unlabelled: key, source, lang, n_chars, text.
+    """
     rest = np.arange(len(labelled)) % 4 == 0
     own = [[r[v] for r, out in zip(labelled, rest) if not out] for v in (0, 1)]
     own_y = marks[~rest].tolist()
-    given: list[dict[int, int]] = [{}, {}]  # pool rows marked for each view, by the other one
+    given: list[dict[int, int]] = [{}, {}]  # keys marked for each view, by the other one
+    known: dict[int, tuple] = {}
     weights, cal = [None, None], [(1.0, 0.0)] * 2
     for turn in range(rounds + 1):
         for v in (0, 1):
             extra = sorted(given[v].items())
             model = SoftmaxFTRL(VIEWS[v], 2, alpha=0.5)
-            weights[v] = model.fit(own[v] + [pool[i][v] for i, _ in extra], own_y + [y for _, y in extra], epochs=3, seed=turn).weights()
+            weights[v] = model.fit(own[v] + [known[k][v] for k, _ in extra], own_y + [y for _, y in extra], epochs=3, seed=turn).weights()
             s = scores([r[v] for r, out in zip(labelled, rest) if out], weights[v])
             cal[v] = platt(s[:, 1] - s[:, 0], marks[rest])
-        if turn == rounds or not pool:
+        if turn == rounds or unlabelled is None:
             break
-        for v in (0, 1):
-            s = scores([r[v] for r in pool], weights[v])
-            p = 1 / (1 + np.exp(-np.clip(cal[v][0] * (s[:, 1] - s[:, 0]) + cal[v][1], -30, 30)))
-            for y, sure in ((1, p), (0, 1 - p)):
-                order = [int(i) for i in np.argsort(-sure, kind="stable") if sure[i] >= SURE and int(i) not in given[1 - v]]
-                given[1 - v].update(dict.fromkeys(order[:HANDED], y))
+        for v, y, key, _ in surest(unlabelled, weights, cal, given):
+            given[1 - v].setdefault(key, y)
+        known |= looked_up(unlabelled, {k for g in given for k in g} - set(known))
     return weights, cal
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, pool: int = POOL, id_col="doc_id", text_col="text"):
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col="doc_id", text_col="text"):
     """(weights of both views, their calibrations, prior logit), or None where labels of a class are missing."""
     marked = (
         labels.select(F.col("doc_id").cast("long").alias("of"), F.col("quality").cast("int").alias("y")).filter("of is not null and y in (0, 1)")
@@ -139,25 +238,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, pool: in
     share = F.when(F.col("y") == 1, min(1.0, 1.2 * per_class / sizes[1])).otherwise(min(1.0, 1.2 * per_class / sizes[0]))
     picked = marked.withColumn("lh", h("of")).filter(F.col("lh") < share * (1 << 30))  # about 2.4 * per_class rows, whatever the size
     rows = docs.select(*_sides(docs, id_col, text_col)).filter("doc_id is not null").withColumn("h", h("doc_id"))
-    total = docs.count()
     known = rows.join(F.broadcast(picked.drop("lh")), F.col("doc_id") == F.col("of")).select("h", "y", "source", "lang", "n_chars", "text")
-    drawn = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("pool")), F.lit(1 << 30)) < min(1.0, pool / max(total, 1)) * (1 << 30))
-    drawn = drawn.join(F.broadcast(picked.select("of")), F.col("doc_id") == F.col("of"), "left_anti").select("h", F.lit(None).cast("int").alias("y"), "source", "lang", "n_chars", "text")
-    names = ["h", "y", "at0", "x0", "at1", "x1"]
-    got = known.unionByName(drawn).mapInArrow(_views(names), "h long, y int, at0 binary, x0 binary, at1 binary, x1 binary").collect()
-    got.sort(key=lambda r: (r.h, r.y is None))
-    row = lambda r: tuple((np.frombuffer(r[f"at{v}"], np.int32), np.frombuffer(r[f"x{v}"], np.float32).astype(float)) for v in (0, 1))
+    unlabelled = rows.join(F.broadcast(picked.select("of")), F.col("doc_id") == F.col("of"), "left_anti")
+    unlabelled = unlabelled.select(F.xxhash64("text", "source", "lang", "n_chars").alias("key"), "source", "lang", "n_chars", "text")
+    got = known.mapInArrow(_views(NAMES), VIEWED).collect()
+    got.sort(key=lambda r: r.h)
     labelled, used = [], {0: 0, 1: 0}
     for r in got:
-        if r.y is not None and used[r.y] < per_class:
+        if used[r.y] < per_class:
             used[r.y] += 1
-            labelled.append((row(r), r.y))
+            labelled.append((_unpacked(r), r.y))
     if min(used.values()) < 4:
         return None
     # Both classes are spread evenly over the part that trains and the part that calibrates.
     labelled = [x for y in (0, 1) for x in labelled if x[1] == y]
     marks = np.array([y for _, y in labelled])
-    weights, cal = co_train([x for x, _ in labelled], marks, [row(r) for r in got if r.y is None])
+    weights, cal = co_train([x for x, _ in labelled], marks, unlabelled)
     return weights, cal, float(np.log(used[1] / used[0]))
 
 

@@ -50,6 +50,38 @@ def test_quality_held_out(spark):
     assert right > 0.98, right
 
 
+def test_marks_come_from_all_documents(spark, monkeypatch):
+    """The surest marks of every class and view over more documents than a pool held, copies once."""
+    from pyspark.sql import functions as F
+
+    rng, n = np.random.default_rng(6), 4000
+    words = ["alpha", "Beta", "GAMMA 7", "delta,", "12", "eps!"]
+    rows = [(i, " ".join(rng.choice(words, 6)), f"s{rng.integers(40)}", "en", int(rng.integers(1, 999))) for i in range(n)]
+    rows += [rows[5]] * 700
+    docs = spark.createDataFrame(rows, "key long, text string, source string, lang string, n_chars long").repartition(7)
+    weights = [rng.normal(size=(size, 2)) * 20 for size in quality.VIEWS]
+    margins = []
+    for v in (0, 1):
+        viewed = {r[0]: quality.meta_view(*r[2:], r[1]) if v else quality.text_view(r[1]) for r in rows}
+        margins.append({k: float(np.diff(x.astype(np.float32).astype(float) @ weights[v][at])[0]) for k, (at, x) in viewed.items()})
+    given, cal = [{1: 1, 2: 0}, {3: 1}], [(0.8, -0.8 * np.median(list(m.values()))) for m in margins]
+    got = quality.surest(docs, weights, cal, given)
+    for v in (0, 1):
+        sure = {k: 1 / (1 + np.exp(-np.clip(cal[v][0] * m + cal[v][1], -30, 30))) for k, m in margins[v].items()}
+        for y in (0, 1):
+            mine = {k: p if y else 1 - p for k, p in sure.items() if (p if y else 1 - p) >= quality.SURE and k not in given[1 - v]}
+            want = sorted(mine, key=lambda k: (-mine[k], k))[: quality.HANDED]
+            assert len(want) > 50 and {k for w, c, k, _ in got if (w, c) == (v, y)} == set(want)
+    assert set(quality.looked_up(docs, {5, 3999})) == {5, 3999}
+
+    seen = []
+    whole = quality.surest
+    monkeypatch.setattr(quality, "surest", lambda d, *a: (seen.append(d.count()), whole(d, *a))[1])
+    table = spark.createDataFrame(rows[:n], "doc_id long, text string, source string, lang string, n_chars long")
+    labels = table.filter("doc_id < 40").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    assert quality.fit(table, labels) is not None and seen == [n - 40] * quality.ROUNDS
+
+
 def test_quality_odd(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (None, 0), (2, None), (3, 7), (4, 0), (4, 1)], "doc_id long, quality int")
     assert quality.keep_good(odd, labels).count() == 13  # nothing to learn from
