@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own in a local session without it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         where = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -29,6 +31,42 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Steps:
+    """Tables of the steps of one run, in one folder that is emptied once no later step reads them."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def written(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        self.made += 1
+        path = f"{self.path}/{self.made}-{name}"
+        df.write.option("compression", codec).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def emptied(self) -> None:
+        self.spark.range(0).write.mode("overwrite").parquet(self.path)
+
+
+#: A key is hot from so many rows, or from the rows that a task gets on average, whichever is more.
+HOT_ROWS = 256
+
+
+def hot_keys(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """key, salts for every hot key of a written table: n rows at most. salts is the number of parts that its rows are split into."""
+    limit = max(HOT_ROWS, rows.count() // n)
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("hot_rows")).filter(F.col("hot_rows") > limit).select(
+        key, F.ceil(F.col("hot_rows") / limit).cast("int").alias("salts")
+    )
+
+
+def joined_hot(rows: DataFrame, table: DataFrame, key: str, n: int) -> DataFrame:
+    """Inner join of a written table with another on key; rows of hot keys are split, and the other side's copied to the parts."""
+    hot = F.broadcast(hot_keys(rows, key, n))
+    left = rows.join(hot, key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("salts")).cast("int"), F.lit(0)))
+    right = table.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0)))))
+    return left.drop("salts").join(right.drop("salts"), [key, "salt"]).drop("salt")
+
+
 def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
     """Write df to the shared folder in n hash buckets of key and read it again: joins on key move the other side only."""
     spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"

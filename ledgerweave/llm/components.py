@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import HOT_ROWS, Steps, partitions, written
 
 
 def _all_stars(edges: DataFrame) -> bool:
@@ -16,25 +16,37 @@ def _all_stars(edges: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).filter("below > 1 or below + above > 1").isEmpty()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _with_low(edges: DataFrame, low: DataFrame, limit: int) -> DataFrame:
+    """edges and `m`, the smallest neighbour of u. Nodes of over `limit` edges are few, and meet their edges where those lie."""
+    hubs = F.broadcast(low.filter(F.col("n") > limit).select("u", "m"))
+    rest = edges.join(hubs.select("u"), "u", "left_anti").join(low.filter(F.col("n") <= limit).select("u", "m"), "u")
+    return edges.join(hubs, "u").unionByName(rest)
+
+
+def components(links: DataFrame, steps: Steps | None = None, most_rounds: int = 60) -> DataFrame:
     """node, component (smallest node reachable) for every node of links (a, b); nodes without links don't appear.
 
     Alternates two star steps until only stars are left: every node's larger neighbours are tied to its smallest
     neighbour, then every node and its smaller neighbours are. The number of rounds grows with the logarithm of the
-    number of nodes. Minima are taken with partial sums and the joins are on single nodes, which Spark may split.
-    Each round is written to the shared folder. Repeated links, self-links and nulls are ignored.
+    number of nodes. Minima are taken with partial sums. Edges of hubs (at most twice the number of partitions, by
+    the bound on their edges) aren't shuffled: the hubs are broadcast. Each round is written to the shared folder,
+    in the folder of `steps` if given. Repeated links, self-links and nulls are ignored.
     """
+    keep = steps.written if steps else written
+    n = partitions(links.sparkSession)
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    edges = written(edges, "links")
+    edges = keep(edges, "links")
     for _ in range(most_rounds):
         if _all_stars(edges):
             break
+        limit = max(HOT_ROWS, edges.count() // n)
+        lowest = lambda e: e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = written(small.filter("u <> v").distinct(), "links")
+        low = lowest(both).select("u", F.least("u", "m").alias("m"), "n")
+        large = keep(_with_low(both, low, limit).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "links")
+        low = lowest(large)
+        small = _with_low(large, low, limit).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        edges = keep(small.filter("u <> v").distinct(), "links")
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_text, partitions, written
+from .common import Steps, ids_and_text, joined_hot, partitions, written
 from .components import components
 
 #: Halves of the first and the second collection, and minima in each half.
@@ -40,6 +40,8 @@ HALVES, MINIMA = (13, 13), (3, 3)
 BLOCK, AGREE = 512, 0.68
 #: Shingles that meet in one block.
 WEIGHT = 1 << 20
+#: Hash buckets of keys for each task that ties them; a task holds one bucket at a time.
+FINE = 16
 N_MINIMA = HALVES[0] * MINIMA[0] + HALVES[1] * MINIMA[1]
 
 
@@ -171,17 +173,13 @@ def _dealt(n: int, most: int = 8_000):
 
 
 def _tied(batches):
-    """Keys that several map tasks have: each task's smallest member, tied to the smallest of all."""
-    keys, ids = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for batch in batches:
-        for x in batch.column("packed"):
-            raw = x.as_py()
-            keys.append(np.frombuffer(raw, np.uint64, len(raw) // 16))
-            ids.append(np.frombuffer(raw, np.int64, -1, len(raw) // 2))
-    keys, ids, rep, size, _ = _groups(np.concatenate(keys), np.concatenate(ids))
-    several = size > 1
-    for at in range(0, len(keys), 1 << 18):
-        s = np.flatnonzero(several[at : at + (1 << 18)]) + at
+    """Keys that several map tasks have: each task's smallest member, tied to the smallest of all. Rows come by bucket."""
+    for held in _runs(batches, ["bucket", "packed"], 1):
+        raws = held["packed"]
+        keys = np.concatenate([np.frombuffer(raw, np.uint64, len(raw) // 16) for raw in raws])
+        ids = np.concatenate([np.frombuffer(raw, np.int64, -1, len(raw) // 2) for raw in raws])
+        keys, ids, rep, size, _ = _groups(keys, ids)
+        s = np.flatnonzero(size > 1)
         if len(s):
             yield pa.RecordBatch.from_arrays([pa.array(keys[s].view(np.int64)), pa.array(ids[s]), pa.array(rep[s])], ["key", "cid", "rep"])
 
@@ -317,39 +315,36 @@ def near_groups(
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     n, share = partitions(docs.sparkSession), similarity_percent / 100
+    steps = Steps(docs.sparkSession, "near")
     rows = ids_and_text(docs, id_col, text_col)
     sets = written(rows.mapInArrow(_sets(words_in_shingle), "doc_id long, n_shingles long, digest binary, sig binary"), "sets")
     named = sets.filter("doc_id is not null and digest is not null")
-    classes = named.groupBy("digest").agg(F.min("doc_id").alias("cid"), F.first("sig").alias("sig"))
-    # A repeated id may name several texts; the class then needs a name of its own to find its set again.
-    classes = written(classes, "classes")
-    reps = classes.groupBy("cid").agg(F.first("sig").alias("sig"))
-    dealt = written(classes.select("cid", "sig").mapInArrow(_dealt(n), ROWS), "keys")
+    # A class is named by its smallest id. A repeated id may name several texts: those are one node with several sets.
+    classes = steps.written(named.groupBy("digest").agg(F.min("doc_id").alias("cid"), F.first("sig").alias("sig")), "classes")
+    reps = classes.select("cid", "sig")
+    dealt = steps.written(reps.mapInArrow(_dealt(n * FINE), ROWS), "keys")
     inside = dealt.filter("bucket is null").select("key", "cid", "rep")
-    over = dealt.filter("bucket is not null").select("bucket", "packed").repartition(n, "bucket").mapInArrow(_tied, "key long, cid long, rep long")
-    ties = written(inside.unionByName(over), "ties")
+    over = dealt.filter("bucket is not null").select("bucket", "packed").repartition(n, "bucket").sortWithinPartitions("bucket")
+    ties = steps.written(inside.unionByName(over.mapInArrow(_tied, "key long, cid long, rep long")), "ties")
 
     # Full sets of the documents that have a candidate at all.
     wanted = ties.select("cid").distinct()
     full = rows.join(wanted, rows["doc_id"] == wanted["cid"], "left_semi").mapInArrow(
         _full_sets(words_in_shingle), "cid long, digest binary, shingles binary"
     )
-    full = written(full.join(classes.select(F.col("cid"), F.col("digest")), ["cid", "digest"], "left_semi").dropDuplicates(["cid", "digest"]), "full-sets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(full.select(F.col("cid").alias("a"), F.col("shingles").alias("set_a")), "a")
-        both = left.join(full.select(F.col("cid").alias("b"), F.col("shingles").alias("set_b")), "b")
-        return both.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(similarity_percent), "a long, b long")
-
-    def with_sig(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(reps.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a")
-        return left.join(reps.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b")
-
-    stars = ties.filter("cid <> rep").select(F.col("rep").alias("a"), F.col("cid").alias("b")).distinct()
-    links = written(confirmed(with_sig(stars).mapInArrow(_likely(share), "a long, b long")), "links-1")
-    first = components(links)
-
-    member = written(
+    full = steps.written(full.join(classes.select(F.col("cid"), F.col("digest")), ["cid", "digest"], "left_semi").dropDuplicates(["cid", "digest"]), "full-sets")
+
+    # The smallest member of a key may have a third of all documents on its side: that side of the pairs is split.
+    stars = steps.written(ties.filter("cid <> rep").select(F.col("rep").alias("a"), F.col("cid").alias("b")).distinct(), "stars")
+    signed = joined_hot(stars, reps.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a", n)
+    signed = signed.join(reps.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b")
+    near = steps.written(signed.mapInArrow(_likely(share), "a long, b long").distinct(), "near-stars")
+    held = joined_hot(near, full.select(F.col("cid").alias("a"), F.col("shingles").alias("set_a")), "a", n)
+    held = held.join(full.select(F.col("cid").alias("b"), F.col("shingles").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
+    links = steps.written(held.mapInArrow(_confirmed(similarity_percent), "a long, b long"), "links-1")
+    first = components(links, steps)
+
+    member = steps.written(
         ties.select("key", "cid").distinct().join(first.withColumnRenamed("node", "cid"), "cid", "left")
         .select("key", "cid", F.coalesce("component", "cid").alias("comp")), "members",
     )
@@ -362,10 +357,10 @@ def near_groups(
         .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cid", "comp")
     )
     met = open_.join(reps, "cid").select(*CROSS).repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "cid")
-    likely = written(met.mapInArrow(_crossing(share), "a long, b long").distinct(), "likely")
+    likely = steps.written(met.mapInArrow(_crossing(share), "a long, b long").distinct(), "likely")
 
     # Clusters of components with likely pairs; the full sets of each meet once, in blocks that bound members and shingles.
-    cluster = components(likely).select(F.col("node").alias("comp"), F.col("component").alias("cluster"))
+    cluster = components(likely, steps).select(F.col("node").alias("comp"), F.col("component").alias("cluster"))
     placed = full.select("cid", "shingles").join(first.withColumnRenamed("node", "cid"), "cid", "left")
     placed = placed.select("cid", F.coalesce("component", "cid").alias("comp"), "shingles").join(cluster, "comp")
     sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("shingles") / 8).alias("weight"))
@@ -376,11 +371,12 @@ def near_groups(
         .select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cid", "comp", "shingles")
         .repartition(n, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "cid")
     )
-    joined = components(written(spread.mapInArrow(_meeting(similarity_percent), "a long, b long"), "links-2"))
+    joined = components(steps.written(spread.mapInArrow(_meeting(similarity_percent), "a long, b long"), "links-2"), steps)
 
     # Rows of one class belong together; so do classes that share an id.
     of = classes.join(first.withColumnRenamed("node", "cid"), "cid", "left").select("digest", F.coalesce("component", "cid").alias("node"))
-    of = of.join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    of = written(of.join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id")), "component-ids")
+    steps.emptied()
     out = sets.join(of, "digest", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
