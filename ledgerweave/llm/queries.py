@@ -49,7 +49,8 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = substring_dedup.repeated_spans(documents(spark, sf_dir), length=400)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     return spans.select(
-        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        "kept_text",
     )
 
 

@@ -3,7 +3,7 @@
 A byte goes if some string of `length` bytes that covers it starts in more than one place. Every string of that
 length belongs to one sampled suffix: the one whose q-gram has the smallest name inside the string (the leftmost of
 equals), so equal strings belong to suffixes with equal q-grams at the same place inside them. Sampled suffixes
-start in the bucket of their q-gram. A bucket is refined by the bucket names at later offsets, q, 2q and 4q bytes
+start in the bucket of their q-gram. A bucket is refined by the bucket names at later offsets, q, 2q, ... bytes
 on, each level reusing the names of the level before; strings are looked up in the deepest level that they cover.
 Names are 64-bit hashes of the content that they stand for, so that buckets of all documents meet without a global
 renumbering, and one shuffle sorts all levels.
@@ -38,10 +38,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from .common import bucketed, ids_and_text, lean_batches, partitions, written
+from .near_dedup import _runs as runs_of
 from .near_dedup import mixed
 
-#: Bytes in a q-gram; bytes of text after which a block is closed; positions that are handled at a time.
-GRAM, BLOCK_BYTES, CHUNK = 32, 8 << 20, 1 << 22
+#: Bytes of text after which a block is closed; positions that are handled at a time; hash buckets for each task
+#: that judges them (it holds one at a time).
+BLOCK_BYTES, CHUNK, FINE = 4 << 20, 1 << 22, 8
 #: Low bits of a gram's name that give way to its position when the smallest is sought.
 PLACE = np.uint64((1 << 24) - 1)
 FACTOR = 0x9E3779B97F4A7C55
@@ -66,6 +68,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def gram_size(length: int) -> int:
+    """Bytes in a q-gram: the largest power of two in a third of the length, so that buckets are refined at least once."""
+    return 1 << (length // 3).bit_length() - 1
+
+
 class Names:
     """Names of any stretch of one text, from prefix sums of a polynomial over scrambled bytes."""
 
@@ -78,7 +85,7 @@ class Names:
         return mixed((self.sums[stop] - self.sums[start]) * self.down[start])
 
 
-def sampled(names: Names, n: int, length: int, gram: int = GRAM):
+def sampled(names: Names, n: int, length: int, gram: int):
     """(position, first string's start, last string's start) of every sampled suffix of a text of n bytes."""
     width = length - gram + 1
     out = []
@@ -98,7 +105,7 @@ def sampled(names: Names, n: int, length: int, gram: int = GRAM):
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3
 
 
-def bucket_names(names: Names, place: np.ndarray, level: int, gram: int = GRAM) -> np.ndarray:
+def bucket_names(names: Names, place: np.ndarray, level: int, gram: int) -> np.ndarray:
     """The bucket of suffixes at `place` after `level` refinements: two buckets of the level before, gram * 2^(level-1) apart."""
     if level == 0:
         return names(place, place + gram)
@@ -106,9 +113,9 @@ def bucket_names(names: Names, place: np.ndarray, level: int, gram: int = GRAM)
     return mixed(bucket_names(names, place, level - 1, gram) * np.uint64(3) + bucket_names(names, place + before, level - 1, gram))
 
 
-def strings(raw: np.ndarray, length: int, gram: int = GRAM):
+def strings(raw: np.ndarray, length: int):
     """(first start, last start, bucket, content) for each sampled suffix and level of a text."""
-    n = len(raw)
+    n, gram = len(raw), gram_size(length)
     if n < length:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 2
     names = Names(raw)
@@ -174,10 +181,13 @@ def _blocks(length: int, n: int):
 
         def close():
             lo, hi, bucket, content = (np.concatenate(x) for x in zip(*found))
-            both = np.stack([bucket, content], axis=1)
-            pair, which, times = np.unique(both, axis=0, return_inverse=True, return_counts=True) if len(both) else (both, np.empty(0, np.int64), np.empty(0, np.int64))
-            place, used, packs = _by_bucket(np.ascontiguousarray(pair[:, 0]), n, np.ascontiguousarray(pair[:, 1]), (times > 1).astype(np.uint8))
-            rows = _zip(lo, hi, place[which.ravel()])
+            order = np.lexsort((content, bucket))
+            b, c = bucket[order], content[order]
+            new = np.r_[True, (b[1:] != b[:-1]) | (c[1:] != c[:-1])] if len(b) else np.empty(0, bool)
+            times, which = np.diff(np.r_[np.flatnonzero(new), len(b)]), np.empty(len(b), np.int64)
+            which[order] = np.cumsum(new) - 1
+            place, used, packs = _by_bucket(b[new], n, c[new], (times > 1).astype(np.uint8))
+            rows = _zip(np.diff(lo, prepend=0).astype("<i4"), (hi - lo).astype("<i4"), place[which].astype("<i4"))
             return pa.RecordBatch.from_pylist(
                 [{"block": me + made, "others": _stream(others), "doc_lens": list(lens), "texts": zstandard.compress(b"".join(texts), 3), "rows": rows, "buckets": used, "packs": packs}],
                 schema=BLOCK_ARROW,
@@ -211,18 +221,13 @@ ALONE, REPEATED, OPEN, SHOWN = 0, 1, 2, 3
 
 def _judged(batches):
     """An answer for each pair of each block: SHOWN is a repeated content that the open ones of its bucket are held against."""
-    blocks, buckets, sizes, parts = [], [], [], []
-    for batch in batches:
-        blocks += batch.column("block").to_pylist()
-        buckets += batch.column("bucket").to_pylist()
-        for x in batch.column("pack"):
-            raw = x.as_py()
-            n = len(raw) // 17
-            parts.append((np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.uint64, n, 8 * n), np.frombuffer(raw, np.uint8, n, 16 * n)))
-            sizes.append(n)
-    if not parts:
-        return
-    key, content, many = (np.concatenate(x) for x in zip(*parts))
+    for held in runs_of(batches, ["bucket", "block", "pack"], 1):
+        sizes = [len(raw) // 17 for raw in held["pack"]]
+        parts = [(np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.uint64, n, 8 * n), np.frombuffer(raw, np.uint8, n, 16 * n)) for raw, n in zip(held["pack"], sizes)]
+        yield _answers(held, sizes, _verdicts(*(np.concatenate(x) for x in zip(*parts))))
+
+
+def _verdicts(key: np.ndarray, content: np.ndarray, many: np.ndarray) -> np.ndarray:
     order = np.lexsort((content, key))
     k, c = key[order], content[order]
     new_key = np.r_[True, k[1:] != k[:-1]]
@@ -236,37 +241,28 @@ def _judged(batches):
     # A repeated content is shown only where its bucket has open ones.
     has_open = np.bincount(of_key, answer == OPEN)[of_key] > 0
     out[order] = np.where((answer == SHOWN) & ~has_open, REPEATED, answer)
-    yield _answers(blocks, buckets, sizes, out)
+    return out
 
 
 def _seen_twice(batches):
     """For each name of each block, whether it was seen more than once in all."""
-    blocks, buckets, sizes, parts = [], [], [], []
-    for batch in batches:
-        blocks += batch.column("block").to_pylist()
-        buckets += batch.column("bucket").to_pylist()
-        for x in batch.column("pack"):
-            raw = x.as_py()
-            n = len(raw) // 9
-            parts.append((np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.uint8, n, 8 * n)))
-            sizes.append(n)
-    if not parts:
-        return
-    key, many = (np.concatenate(x) for x in zip(*parts))
-    _, which = np.unique(key, return_inverse=True)
-    yield _answers(blocks, buckets, sizes, (np.bincount(which, 1.0 + many)[which] > 1).astype(np.uint8))
-
-
-def _answers(blocks, buckets, sizes, answer):
-    ends = np.cumsum(sizes)
-    blobs = [zstandard.compress(x.tobytes(), 1) for x in np.split(answer, ends[:-1])]
-    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], ["block", "bucket", "answer"])
+    for held in runs_of(batches, ["bucket", "block", "pack"], 1):
+        sizes = [len(raw) // 9 for raw in held["pack"]]
+        parts = [(np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.uint8, n, 8 * n)) for raw, n in zip(held["pack"], sizes)]
+        key, many = (np.concatenate(x) for x in zip(*parts))
+        _, which = np.unique(key, return_inverse=True)
+        yield _answers(held, sizes, (np.bincount(which, 1.0 + many)[which] > 1).astype(np.uint8))
+
+
+def _answers(held: dict, sizes: list[int], answer: np.ndarray):
+    blobs = [zstandard.compress(x.tobytes(), 1) for x in np.split(answer, np.cumsum(sizes)[:-1])]
+    return pa.RecordBatch.from_arrays([pa.array(held["block"], pa.int64()), pa.array(held["bucket"], pa.int32()), pa.array(blobs, pa.binary())], ["block", "bucket", "answer"])
 
 
 def _asked(table: DataFrame, judge, n: int, name: str) -> DataFrame:
     """The answers on a table's packs, gathered by block: one for each bucket that the block has."""
     packs = table.select("block", F.explode(F.arrays_zip("buckets", "packs")).alias("p")).select("block", F.col("p.buckets").alias("bucket"), F.col("p.packs").alias("pack"))
-    answers = packs.repartition(n, "bucket").mapInArrow(judge, "block long, bucket int, answer binary")
+    answers = packs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(judge, "block long, bucket int, answer binary")
     return answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "answer")).alias(name))
 
 
@@ -285,7 +281,9 @@ def _opened(length: int, n: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 answer = _gathered(batch.column("judged")[i].as_py())
-                lo, hi, pair = _unzip(batch.column("rows")[i].as_py(), "<i8", "<i8", "<i8")
+                lo, hi, pair = (x.astype(np.int64) for x in _unzip(batch.column("rows")[i].as_py(), "<i4", "<i4", "<i4"))
+                lo = np.cumsum(lo)
+                hi = lo + hi
                 mine = answer[pair] if len(pair) else np.empty(0, np.uint8)
                 shut = (mine == REPEATED) | (mine == SHOWN)
                 look = np.flatnonzero(mine >= OPEN)
@@ -317,7 +315,7 @@ def _opened(length: int, n: int):
     return run
 
 
-def _cut(length: int):
+def _cut(length: int, words: int):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
@@ -327,11 +325,11 @@ def _cut(length: int):
                 at = at[again[which] > 0] if len(which) else at
                 lens = batch.column("doc_lens")[i].as_py()
                 text = np.frombuffer(zstandard.decompress(batch.column("texts")[i].as_py()), np.uint8)
-                change = np.zeros(len(text) + 1, np.int64)
+                change = np.zeros(len(text) + 1, np.int32)
                 for first, last in ((lo, hi), (at, at)):
                     np.add.at(change, first, 1)
                     np.add.at(change, last + length, -1)
-                gone = np.cumsum(change[:-1]) > 0
+                gone = np.cumsum(change[:-1], dtype=np.int32) > 0
                 others = pa.ipc.open_stream(zstandard.decompress(batch.column("others")[i].as_py())).read_all()
                 end = np.cumsum(lens)
                 for a in range(0, len(lens), 256):
@@ -339,54 +337,53 @@ def _cut(length: int):
                     for stop, size in zip(end[a : a + 256], lens[a : a + 256]):
                         g, t = gone[stop - size : stop], text[stop - size : stop]
                         edge = np.flatnonzero(np.diff(np.r_[False, g, False]))
+                        for lo_, hi_ in zip(edge[::2], edge[1::2]) if words else ():
+                            if len(t[lo_:hi_].tobytes().split()) < words:
+                                g[lo_:hi_] = False
+                        edge = np.flatnonzero(np.diff(np.r_[False, g, False])) if words else edge
                         spans.append([{"start": s, "stop": e} for s, e in zip(edge[::2].tolist(), edge[1::2].tolist())])
                         kept.append(t[~g].tobytes() if len(edge) else t.tobytes())
                     side = others.slice(a, 256).combine_chunks()
                     yield pa.RecordBatch.from_arrays(
-                        [*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in side.columns), pa.array(lens[a : a + 256], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary())],
-                        [*side.schema.names, "n_bytes", "spans", "kept"],
+                        [*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in side.columns), pa.array(lens[a : a + 256], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())],
+                        [*side.schema.names, "n_bytes", "spans", "kept", "kept_text"],
                     )
 
     return run
 
 
-def _marked(rows: DataFrame, length: int) -> DataFrame:
-    """All columns of rows but text, then n_bytes, spans, kept."""
-    if length < 2 * GRAM:
-        raise ValueError(f"length is at least {2 * GRAM}")
+def _marked(rows: DataFrame, length: int, words: int = 0) -> DataFrame:
+    """All columns of rows but text, then n_bytes, spans, kept, kept_text."""
+    if length < 24:
+        raise ValueError("length is at least 24")
     lean_batches(rows.sparkSession)
     n = partitions(rows.sparkSession)
-    blocks = bucketed(rows.mapInArrow(_blocks(length, n), BLOCK_SCHEMA), "block", n, "text_blocks")
+    blocks = bucketed(rows.mapInArrow(_blocks(length, n * FINE), BLOCK_SCHEMA), "block", n, "text_blocks")
     judged = _asked(blocks, _judged, n, "judged")
     first = blocks.select("block", "doc_lens", "texts", "rows").join(judged, "block", "left")
-    opened = written(first.mapInArrow(_opened(length, n), OPEN_SCHEMA), "open-blocks", "uncompressed")
+    opened = written(first.mapInArrow(_opened(length, n * FINE), OPEN_SCHEMA), "open-blocks", "uncompressed")
     seen = _asked(opened, _seen_twice, n, "seen")
     last = blocks.select("block", "others", "doc_lens", "texts").join(opened.select("block", "closed", "open"), "block").join(seen, "block", "left")
     span = ArrayType(StructType([StructField("start", LongType()), StructField("stop", LongType())]))
-    more = [StructField("n_bytes", LongType()), StructField("spans", span), StructField("kept", BinaryType())]
-    return last.mapInArrow(_cut(length), StructType([f for f in rows.schema.fields if f.name != "text"] + more))
+    more = [StructField("n_bytes", LongType()), StructField("spans", span), StructField("kept", BinaryType()), StructField("kept_text", StringType())]
+    return last.mapInArrow(_cut(length, words), StructType([f for f in rows.schema.fields if f.name != "text"] + more))
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, spans (array of start, stop in bytes: the removed runs), kept (the bytes that stay) for every row."""
+    """doc_id, n_bytes, spans (array of start, stop in bytes: the removed runs), kept (the bytes that stay) and kept_text
+    (those as a text, without characters that a cut has split) for every row."""
     return _marked(ids_and_text(docs, id_col, text_col), length)
 
 
-def cut_passages(docs: DataFrame, length: int = 400, text_col: str = "text") -> DataFrame:
+def cut_passages(docs: DataFrame, length: int = 400, words: int = 0, text_col: str = "text") -> DataFrame:
     """docs with the repeated passages cut out of the text column; rows whose text is cut to nothing stay, empty.
 
-    A cut may fall inside a character: the incomplete bytes at its ends go too. A null text comes back empty.
+    With `words`, only runs of at least so many words are cut (words lie between ASCII blanks; one that the run
+    holds in part counts). A cut may fall inside a character: the incomplete bytes at its ends go too. A null text
+    comes back empty.
     """
     own = [c for c in docs.columns if c != text_col]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"x{k}") for k, c in enumerate(own)], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    marked = _marked(rows, length)
-    back = {c: F.col(f"x{k}") for k, c in enumerate(own)} | {text_col: F.col("text")}
-
-    def whole(batches):
-        for batch in batches:
-            text = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
-            keep = [c for c in batch.schema.names if c[0] == "x"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(text, pa.string())], [*keep, "text"])
-
-    flat = marked.drop("n_bytes", "spans").mapInArrow(whole, StructType([*(f for f in rows.schema.fields if f.name != "text"), StructField("text", StringType())]))
-    return flat.select(*[back[c].alias(c) for c in docs.columns])
+    marked = _marked(rows, length, words)
+    back = {c: F.col(f"x{k}") for k, c in enumerate(own)} | {text_col: F.col("kept_text")}
+    return marked.select(*[back[c].alias(c) for c in docs.columns])

@@ -54,5 +54,28 @@ def test_odd_and_empty(spark, odd, none):
 
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    want = [(*r[:4], hashlib.sha256(r[4]).hexdigest()) for r in brute(rows, 400)]
+    want = [(*r[:4], hashlib.sha256(r[4]).hexdigest(), r[4].decode("utf-8", "ignore")) for r in brute(rows, 400)]
     assert sorted(map(tuple, queries.op8_substring_dedup(spark, sf).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_cut_by_words(spark, sf):
+    """Of the runs of 200 bytes and more, those of 50 words and more go, from every document of the table."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    seen = {}
+    for _, text in rows:
+        raw = text.encode()
+        for s in range(len(raw) - 199):
+            seen[hash(raw[s : s + 200])] = seen.get(hash(raw[s : s + 200]), 0) + 1
+    want = {}
+    for i, text in rows:
+        raw = text.encode()
+        gone = np.zeros(len(raw), bool)
+        for s in range(len(raw) - 199):
+            if seen[hash(raw[s : s + 200])] > 1:
+                gone[s : s + 200] = True
+        edge = np.flatnonzero(np.diff(np.r_[False, gone, False]))
+        for lo, hi in zip(edge[::2], edge[1::2]):
+            gone[lo:hi] = len(raw[lo:hi].split()) >= 50
+        want[i] = np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+    got_ = {r.doc_id: r.text for r in substring_dedup.cut_passages(spark.read.parquet(f"{sf}/documents.parquet"), 200, 50).collect()}
+    assert got_ == want and got_ != dict(rows)
