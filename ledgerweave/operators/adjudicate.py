@@ -41,13 +41,12 @@ Policy = Callable[[DataFrame], DataFrame]
 def adjudicate(candidates: DataFrame, policy: Policy = rank_candidates) -> tuple[DataFrame, DataFrame]:
     """Decisions of a policy in statement order, and the rows they claim.
 
-    candidates: scope, txn_id, txn_seq, cand_no, row_ids, delta, lag, n_rows; none of the rows is claimed yet. A line
+    candidates: a written table scope, txn_id, txn_seq, cand_no, row_ids, delta, lag, n_rows; none of the rows is claimed yet. A line
     is decided once no undecided earlier line has one of its rows among its candidates; a chosen candidate's rows
     spoil the candidates of later lines. Each round decides every such line at once. A line whose candidates are
     all spoilt gets no decision.
     """
-    live = cut(candidates, "candidates")
-    decided = None
+    live, decided = candidates, None
     while live.limit(1).count():
         rows = live.select(*KEY, "txn_seq", F.explode("row_ids").alias("row_id"))
         first = rows.groupBy("scope", "row_id").agg(F.min("txn_seq").alias("first"))

@@ -31,11 +31,6 @@ def settlement_groups(settlement: DataFrame, claims: DataFrame | None = None) ->
     )
 
 
-def first_days(settlement: DataFrame) -> DataFrame:
-    """scope, settlement_id, group_day: the date of each batch's first row in file order."""
-    return settlement.filter("settlement_id is not null").groupBy("scope", "settlement_id").agg(F.min_by("settled_on", "row_seq").alias("group_day"))
-
-
 def free_groups(free: DataFrame, days: DataFrame) -> DataFrame:
     """settlement_groups from rows that are known to be available and the batches' days."""
     sums = free.filter("settlement_id is not null").groupBy("scope", "settlement_id").agg(F.count(F.lit(1)).alias("n"), F.sum("net_paise").alias("net"))

@@ -8,10 +8,12 @@ Pools too large for either gate are sent as totals, since nothing but their whol
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,12 @@ FOUND = (
     "delta long, lag int, risk double, n_rows long, wins boolean, declined boolean"
 )
 
+FOUND_ARROW = pa.schema([
+    ("scope", pa.int64()), ("txn_id", pa.string()), ("cand_no", pa.int32()), ("strategy", pa.string()), ("row_ids", pa.list_(pa.string())),
+    ("whole_days", pa.list_(pa.int32())), ("net", pa.int64()), ("delta", pa.int64()), ("lag", pa.int32()), ("risk", pa.float64()), ("n_rows", pa.int64()),
+    ("wins", pa.bool_()), ("declined", pa.bool_()),
+])
+
 
 def day_masks(window: int) -> list[list[int]]:
     """The sets of up to MOST_DAYS offsets, as the table that pool totals are joined with."""
@@ -74,9 +82,11 @@ def arithmetic_pass(lines: DataFrame, free: DataFrame, refs: DataFrame, batch_da
         .unionByName(row(loose, none, F.col("row_id"), F.col("row_seq"), F.col("net_paise"), one))
         .unionByName(row(large, none, none, F.lit(0).cast("long"), F.col("pool_net"), F.col("pool_n")))
     )
-    keys = ["scope", "island"]
+    keys, n = ["scope", "island"], int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.toDF(*rows.columns)  # columns of its own: both sides come from the same lines
-    return asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(lambda a, b: _replay(a, b, config), FOUND)
+    # Islands hold few bytes and much work: the number of tasks is set, so that it isn't cut down by their size.
+    asked, rows = asked.repartition(n, *keys), rows.repartition(n, *keys)
+    return asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(lambda a, b: _replay(a, b, config), FOUND)
 
 
 def day_combinations(lines: DataFrame, pools: DataFrame, window: int = 3) -> DataFrame:
@@ -144,10 +154,11 @@ def whole_pools(found: DataFrame, free: DataFrame) -> DataFrame:
 class _Pool:
     """Rows that may be taken together, in file order."""
 
-    def __init__(self, rows: pd.DataFrame):
-        rows = rows.sort_values("row_seq", kind="stable")
-        self.day, self.n, self.whole = int(rows.day.iloc[0]), int(rows.rows.sum()), bool(rows.row_id.isna().any())
-        self.ids, self.net = rows.row_id.to_numpy(), rows.net.to_numpy(np.int64)
+    def __init__(self, day: int, rows: list[tuple]):
+        rows.sort(key=lambda r: r[0])
+        _, ids, net, many = zip(*rows)
+        self.day, self.n, self.whole = day, sum(many), None in ids
+        self.ids, self.net = np.array(ids, object), np.array(net, np.int64)
         self.free = np.ones(len(rows), bool)
 
     def left(self):
@@ -161,12 +172,15 @@ def _risk(hypotheses: float, spread: int) -> float:
     return 1.0 if spread <= 0 else min(1.0, hypotheses / spread)
 
 
-def _replay(lines: pd.DataFrame, rows: pd.DataFrame, config: ReconcileConfig) -> pd.DataFrame:
-    batches = {k: _Pool(g) for k, g in rows[rows.settlement_id.notna()].groupby("settlement_id")}
-    days = {int(k): _Pool(g) for k, g in rows[rows.settlement_id.isna()].groupby("day")}
-    where = {r: (p, k) for p in [*batches.values(), *days.values()] for k, r in enumerate(p.ids) if r is not None}
+def _replay(lines: pa.Table, rows: pa.Table, config: ReconcileConfig) -> pa.Table:
+    held: dict[str | int, tuple[int, list]] = {}
+    for sid, day, *row in zip(*(rows.column(c).to_pylist() for c in ("settlement_id", "day", "row_seq", "row_id", "net", "rows"))):
+        held.setdefault(day if sid is None else sid, (day, []))[1].append(tuple(row))
+    pools = {k: _Pool(day, found) for k, (day, found) in held.items()}
+    batches, days = ({k: p for k, p in pools.items() if isinstance(k, kind)} for kind in (str, int))
+    where = {r: (p, k) for p in pools.values() for k, r in enumerate(p.ids) if r is not None}
     out = []
-    for line in lines.sort_values("txn_seq").itertuples():
+    for line in sorted((_Line(**r) for r in lines.drop_columns("island").to_pylist()), key=lambda r: r.txn_seq):
         found, declined = _anchored(line, batches, config)
         if not found:
             found, more = _unattributed(line, days, config)
@@ -182,7 +196,18 @@ def _replay(lines: pd.DataFrame, rows: pd.DataFrame, config: ReconcileConfig) ->
                 pool.free[k] = False
             for d in found[0][2]:
                 days.pop(d)
-    return pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
+    columns = zip(*out) if out else [()] * len(FOUND_ARROW)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND_ARROW)], schema=FOUND_ARROW)
+
+
+@dataclass
+class _Line:
+    scope: int
+    txn_id: str
+    txn_seq: int
+    day: int
+    credit_paise: int
+    named: list[str] | None
 
 
 def _anchored(line, batches, config):

@@ -17,12 +17,12 @@ def named_batches(lines: DataFrame, utr_map: DataFrame) -> DataFrame:
 
 
 def exact_edges(lines: DataFrame, groups: DataFrame, utr_map: DataFrame, config: ReconcileConfig) -> DataFrame:
-    """scope, txn_id, txn_seq, settlement_id, times, delta, lag: named batches whose available total is the credit."""
+    """scope, txn_id, txn_seq, day, settlement_id, times, delta, lag: named batches whose available total is the credit."""
     hits = named_batches(lines, utr_map).join(groups, ["scope", "settlement_id"]).withColumn("lag", F.datediff("value_date", "group_day"))
     return (
         hits.filter((F.col("net") == F.col("credit_paise")) & (F.abs("lag") <= config.date_window_days))
-        .groupBy("scope", "txn_id", "txn_seq", "settlement_id", "lag").agg(F.count(F.lit(1)).alias("times"), F.lit(0).cast("long").alias("delta"))
-        .select("scope", "txn_id", "txn_seq", "settlement_id", "times", "delta", "lag")
+        .groupBy("scope", "txn_id", "txn_seq", F.unix_date("value_date").alias("day"), "settlement_id", "lag").agg(F.count(F.lit(1)).alias("times"), F.lit(0).cast("long").alias("delta"))
+        .select("scope", "txn_id", "txn_seq", "day", "settlement_id", "times", "delta", "lag")
     )
 
 
@@ -35,25 +35,30 @@ def fuzzy_edges(lines: DataFrame, groups: DataFrame, config: ReconcileConfig) ->
     probes = probes.withColumn("bucket", F.explode(F.array(*[bucket("credit_paise") + k for k in (-1, 0, 1)])))
     hits = probes.join(groups.withColumn("bucket", bucket("net")), ["scope", "group_day", "bucket"])
     hits = hits.withColumn("delta", F.col("credit_paise") - F.col("net")).filter(F.abs("delta") <= tolerance)
-    return hits.select("scope", "txn_id", "txn_seq", "settlement_id", F.lit(1).cast("long").alias("times"), "delta", F.datediff("value_date", "group_day").alias("lag"))
+    return hits.select("scope", "txn_id", "txn_seq", F.unix_date("value_date").alias("day"), "settlement_id", F.lit(1).cast("long").alias("times"), "delta", F.datediff("value_date", "group_day").alias("lag"))
 
 
-EDGE = "scope long, txn_id string, txn_seq long, settlement_id string, times long, delta long, lag int, wins boolean"
+EDGE = "scope long, txn_id string, txn_seq long, day int, settlement_id string, times long, delta long, lag int, wins boolean"
 
 
-def claim_in_order(edges: DataFrame) -> DataFrame:
+def claim_in_order(edges: DataFrame, date_window_days: int = 3) -> DataFrame:
     """edges and `wins`: whether the line claims the batch in a pass over the lines in order; edges dead by then are left out.
 
     A line claims when exactly one of its batches is left. Lines that share no batch with another line are decided
-    by windows alone. Only contested ones are replayed in order, by date islands that cannot touch each other.
+    by windows alone. Only contested ones are replayed in order. Lines that want the same batch are at most two date
+    windows apart, so a longer gap between contested lines of a scope parts them into islands that are replayed side
+    by side.
     """
     batch, line = Window.partitionBy("scope", "settlement_id"), Window.partitionBy("scope", "txn_id")
     seen = edges.withColumn("wanted", F.min("txn_seq").over(batch) != F.max("txn_seq").over(batch))
     seen = seen.withColumn("contested", F.max("wanted").over(line)).withColumn("options", F.sum("times").over(line)).drop("wanted")
     clear = seen.filter(~F.col("contested")).withColumn("wins", F.col("options") == 1)
-    # The batches of a line reach out to other contested lines: those of one scope are replayed together.
-    fought = seen.filter("contested").groupBy("scope").applyInPandas(_replayed, EDGE)
     names = [c.split()[0] for c in EDGE.split(", ")]
+    in_order = Window.partitionBy("scope").orderBy("day", "txn_seq", "settlement_id")
+    gap = F.col("day") - F.lag("day").over(in_order)
+    islands = seen.filter("contested").withColumn("starts", F.when(gap > 2 * date_window_days, 1).otherwise(0))
+    islands = islands.withColumn("island", F.sum("starts").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    fought = islands.groupBy("scope", "island").applyInPandas(lambda e: _replayed(e[names[:-1]]), EDGE)
     return clear.select(*names).unionByName(fought)
 
 

@@ -11,7 +11,7 @@ from ledgerweave.config import ADJUDICATED, ARITHMETIC, CONFIDENCE, EXACT, FUZZY
 from ledgerweave.functions.scalar import reason_text
 from ledgerweave.operators import adjudicate as choose
 from ledgerweave.operators import classify, pools, tiers
-from ledgerweave.operators.index import CLAIMS, first_days, free_groups, split_lines, utr_map
+from ledgerweave.operators.index import CLAIMS, free_groups, settlement_groups, split_lines, utr_map
 from ledgerweave.storage import cut
 
 MATCH = "scope long, txn_id string, tier string, delta_paise long, confidence double, reason string, candidates_considered long"
@@ -40,51 +40,51 @@ def reconcile(settlement: DataFrame, bank: DataFrame, config: ReconcileConfig =
     settlement = cut(settlement.select("scope", "row_id", "row_seq", "net_paise", "settled_on", "settlement_id", "utr"), "settlement")
     bank = cut(bank.select("scope", "txn_id", "txn_seq", "value_date", "narration", "credit_paise", "debit_paise"), "bank")
     lines, other = split_lines(bank)
-    refs, batch_days = cut(utr_map(settlement), "references"), cut(first_days(settlement), "batch-days")
+    refs, batches = cut(utr_map(settlement), "references"), cut(settlement_groups(settlement), "batches")
+    batch_days = batches.select("scope", "settlement_id", "group_day")
     free, claims, matches, declined = settlement, [], [], []
-    columns = settlement.columns
-
-    def record(found: DataFrame, rows: DataFrame, on: list[str], tier: str, turn: int) -> None:
-        """Matches (MATCH) leave the lines; what `rows` names by `on` (with txn_id) leaves the free rows."""
-        nonlocal lines, free
-        marked = cut(free.join(rows.select(*on, "txn_id"), on, "left"), "marked")
-        free = marked.filter("txn_id is null").select(*columns)
-        matches.append(found)
-        claims.append(marked.filter("txn_id is not null").select("scope", "row_id", "txn_id", F.lit(tier).alias("tier"), F.lit(turn).alias("round")))
-        lines = lines.join(found.select("scope", "txn_id"), ["scope", "txn_id"], "left_anti")
-
-    def batch_pass(edges: DataFrame, tier: str, turn: int) -> tuple[DataFrame, bool]:
-        done = cut(tiers.claim_in_order(edges), tier)
+    line, batch = ["scope", "txn_id"], ["scope", "settlement_id"]
+
+    def batch_pass(edges: DataFrame, tier: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Edges that won nothing, those that won a batch, and the matches (MATCH) that these make."""
+        done = cut(tiers.claim_in_order(edges, config.date_window_days), tier)
         won = done.filter("wins")
-        if won.isEmpty():
-            return done, False
         reason = reason_text(F.lit(REASONS["exact" if tier == EXACT else "fuzzy"]), F.lit(0.0), F.col("delta"))
-        found = won.select(
-            "scope", "txn_id", F.lit(tier).alias("tier"), F.col("delta").alias("delta_paise"), F.lit(CONFIDENCE[tier]).alias("confidence"), reason.alias("reason"),
+        made = won.select(
+            *line, F.lit(tier).alias("tier"), F.col("delta").alias("delta_paise"), F.lit(CONFIDENCE[tier]).alias("confidence"), reason.alias("reason"),
             F.lit(1).cast("long").alias("candidates_considered"),
         )
-        record(found, won, ["scope", "settlement_id"], tier, turn)
-        return done.filter("not wins"), True
+        return done.filter("not wins"), won.select(*line, "settlement_id", F.lit(tier).alias("tier")), made
 
     turn, moved = 0, True
     while moved:
-        turn, pending = turn + 1, []
-        left, a = batch_pass(tiers.exact_edges(lines, free_groups(free, batch_days), refs, config), EXACT, turn)
-        pending.append(left)
-        left, b = batch_pass(tiers.fuzzy_edges(lines, free_groups(free, batch_days), config), FUZZY, turn)
-        pending.append(left)
-        found = cut(pools.arithmetic_pass(lines, free, refs, batch_days, config), ARITHMETIC)
-        declined.append(found.filter("declined").select("scope", "txn_id"))
-        rows = cut(pools.whole_pools(found.filter("cand_no >= 0"), free), "found-rows")
-        won = found.filter("wins")
-        c = not won.isEmpty()
-        if c:
-            match = won.select(
-                "scope", "txn_id", F.lit(ARITHMETIC).alias("tier"), F.col("delta").alias("delta_paise"), F.lit(CONFIDENCE[ARITHMETIC]).alias("confidence"),
+        turn += 1
+        groups = batches if turn == 1 else cut(free_groups(free, batch_days), "groups")
+        left_1, won_1, made_1 = batch_pass(tiers.exact_edges(lines, groups, refs, config), EXACT)
+        lines = lines.join(won_1, line, "left_anti")
+        left_2, won_2, made_2 = batch_pass(tiers.fuzzy_edges(lines, groups.join(won_1, batch, "left_anti"), config), FUZZY)
+        lines = lines.join(won_2, line, "left_anti")
+        pending, whole = [left_1, left_2], won_1.unionByName(won_2)
+        rest = free.join(whole, batch, "left_anti")
+        found = cut(pools.arithmetic_pass(lines, rest, refs, batch_days, config), ARITHMETIC)
+        declined.append(found.filter("declined").select(*line))
+        rows = cut(pools.whole_pools(found.filter("cand_no >= 0"), rest), "found-rows")
+        won_3 = found.filter("wins")
+        moved = not whole.isEmpty() or not won_3.isEmpty()
+        if moved:
+            made_3 = won_3.select(
+                *line, F.lit(ARITHMETIC).alias("tier"), F.col("delta").alias("delta_paise"), F.lit(CONFIDENCE[ARITHMETIC]).alias("confidence"),
                 reason_text(F.col("strategy"), F.col("risk"), F.col("delta")).alias("reason"), F.lit(1).cast("long").alias("candidates_considered"),
             )
-            record(match, rows.join(won.select("scope", "txn_id"), ["scope", "txn_id"], "left_semi"), ["scope", "row_id"], ARITHMETIC, turn)
-        moved = a or b or c
+            matches += [made_1, made_2, made_3]
+            lines = cut(lines.join(won_3, line, "left_anti"), "lines")
+            drawn = rows.join(won_3.select(*line), line, "left_semi").select("scope", "row_id", F.col("txn_id").alias("drawn_by"))
+            # One write a turn: rows of whole batches and single rows leave the free rows together.
+            marked = free.join(whole, batch, "left").join(drawn, ["scope", "row_id"], "left")
+            marked = marked.withColumn("tier", F.coalesce("tier", F.when(F.col("drawn_by").isNotNull(), ARITHMETIC))).withColumn("txn_id", F.coalesce("txn_id", "drawn_by"))
+            marked = cut(marked.select(*settlement.columns, "txn_id", "tier"), "marked")
+            free = marked.filter("txn_id is null").select(*settlement.columns)
+            claims.append(marked.filter("txn_id is not null").select("scope", "row_id", "txn_id", "tier", F.lit(turn).alias("round")))
 
     # Nothing moved in the last turn, so its candidates hold as they are.
     edges = _union([e.withColumn("of", F.lit(k)) for k, e in enumerate(pending)], spark, tiers.EDGE)
@@ -109,7 +109,10 @@ def reconcile(settlement: DataFrame, bank: DataFrame, config: ReconcileConfig =
         chosen = decided.filter("row_ids is not null").select(
             "scope", "txn_id", F.lit(ADJUDICATED).alias("tier"), F.col("delta").alias("delta_paise"), "confidence", "reason", F.col("n_candidates").cast("long").alias("candidates_considered")
         )
-        record(chosen, rows, ["scope", "row_id"], ADJUDICATED, turn)
+        matches.append(chosen)
+        lines = lines.join(chosen, line, "left_anti")
+        claims.append(rows.select("scope", "row_id", "txn_id", F.lit(ADJUDICATED).alias("tier"), F.lit(turn).alias("round")))
+        free = free.join(rows, ["scope", "row_id"], "left_anti")
 
     all_claims = cut(_union(claims, spark, CLAIMS), "claims")
     matched = _union(matches, spark, MATCH)
