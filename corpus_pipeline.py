@@ -29,8 +29,11 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 400 bytes and more that start in several places; n_chars follows the text."""
-    cut = substring_dedup.cut_passages(docs, length=400)
+    """Documents without the passages of 50 words and more that stand in several places; n_chars follows the text.
+
+    They are found by their strings of 200 bytes: 50 words have that many at three letters and a blank each.
+    """
+    cut = substring_dedup.cut_passages(docs, length=200, words=50)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in cut.columns else cut
 
 
@@ -59,7 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: A trained classifier has no SQL; tests hold every stage against a brute-force version instead.
+#: A trained classifier has no SQL; tests/llm/test_pipeline.py holds every stage against a brute-force version.
 ORACLE_SQL = None
 
 QUERIES = {"pipeline": run}
