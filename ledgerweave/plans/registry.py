@@ -146,21 +146,24 @@ def clean_text(spark, sf_dir):
 
 _pair = ", ".join(f"('{k}', '{v}')" for k, v in ACTIONS.items())
 RESULTS = f""",
-base_r AS (SELECT b.*, t.row_ids, t.expect_exception, CASE WHEN b.scenario = 17 THEN CASE ((b.day + 3 * b.scope) % 6) WHEN 0 THEN -7 WHEN 1 THEN -3 WHEN 2 THEN -1 WHEN 3 THEN 1 WHEN 4 THEN 4 ELSE 9 END ELSE 0 END AS delta
-    FROM bank_v b JOIN truth_v t ON t.scope = b.scope AND t.txn_id = b.txn_id),
+base_r AS (SELECT b.*, t.row_ids, t.expect_exception, CASE WHEN b.scenario = 17 THEN CASE ((b.day + 3 * b.scope) % 6) WHEN 0 THEN -7 WHEN 1 THEN -3 WHEN 2 THEN -1 WHEN 3 THEN 1 WHEN 4 THEN 4 ELSE 9 END ELSE 0 END AS delta,
+        least(1e0, CASE WHEN row_ids = '' THEN 0e0 WHEN b.scenario = 11 THEN CASE WHEN x.day IS NULL THEN 2e0 / g.net ELSE 4e0 / (g.net + CASE WHEN y.txn_seq < b.txn_seq THEN h.held ELSE x.net END) END
+            WHEN b.scenario = 12 THEN (1e0 + g.n + CAST(g.n AS DOUBLE) * (g.n - 1) / 2 + CAST(g.n AS DOUBLE) * (g.n - 1) * (g.n - 2) / 6) / g.net WHEN b.scenario = 13 AND b.k = 1 THEN 2e0 * g.n / g.net ELSE 0e0 END) AS risk
+    FROM bank_v b JOIN truth_v t ON t.scope = b.scope AND t.txn_id = b.txn_id JOIN batch_v g ON g.scope = b.scope AND g.day = b.day
+    LEFT JOIN batch_v x ON b.scenario = 11 AND x.scope = b.scope AND x.day = b.day + 1 LEFT JOIN held_v h ON h.scope = x.scope AND h.day = x.day LEFT JOIN bank_v y ON y.scope = x.scope AND y.day = x.day AND y.k = 1),
 results_v AS (SELECT scope, txn_id, txn_seq, value_date, narration, credit_paise, debit_paise, scenario, CASE WHEN row_ids = '' THEN 'tier5_exception' WHEN scenario IN (9, 10, 17) THEN 'tier2_fuzzy' WHEN scenario IN (11, 12, 13) THEN 'tier3_subset_sum' WHEN scenario = 18 THEN 'tier4_adjudicated' ELSE 'tier1_exact' END AS tier,
     row_ids, CAST(delta AS BIGINT) AS delta_paise, CASE WHEN row_ids = '' THEN 0e0 WHEN scenario IN (9, 10, 17) THEN 0.9e0 WHEN scenario IN (11, 12, 13) THEN 0.85e0 WHEN scenario = 18 THEN 0.72e0 ELSE 0.99e0 END AS confidence,
-    CASE WHEN expect_exception = 'ambiguous_candidates' THEN '2 candidates, none separable on the evidence' WHEN expect_exception = 'orphan_credit' THEN '{REASONS['orphan_credit']}' WHEN expect_exception = 'chargeback_debit' THEN '{REASONS['chargeback_debit']}'
+    concat(CASE WHEN expect_exception = 'ambiguous_candidates' THEN '2 candidates, none separable on the evidence' WHEN expect_exception = 'orphan_credit' THEN '{REASONS['orphan_credit']}' WHEN expect_exception = 'chargeback_debit' THEN '{REASONS['chargeback_debit']}'
         WHEN scenario IN (9, 10) THEN '{REASONS['fuzzy']}' WHEN scenario = 17 THEN concat('{REASONS['fuzzy']}, delta ', delta, 'p') WHEN scenario = 11 THEN 'whole settle-date groups' WHEN scenario = 12 THEN 'day group minus held-back rows'
-        WHEN scenario = 13 AND k = 1 THEN 'leading slice of the batch' WHEN scenario = 13 THEN 'remaining rows of a partly paid batch' WHEN scenario = 18 THEN '{REASONS['closer']}' ELSE '{REASONS['exact']}' END AS reason,
+        WHEN scenario = 13 AND k = 1 THEN 'leading slice of the batch' WHEN scenario = 13 THEN 'remaining rows of a partly paid batch' WHEN scenario = 18 THEN '{REASONS['closer']}' ELSE '{REASONS['exact']}' END, CASE WHEN risk <> 0 THEN printf(', collision risk %.1e', risk) ELSE '' END) AS reason,
     expect_exception AS exception_type, CAST(CASE WHEN scenario = 18 THEN 2 WHEN row_ids = '' THEN 0 ELSE 1 END AS BIGINT) AS candidates_considered FROM base_r),
 action_v AS (SELECT * FROM (VALUES {_pair}) AS a(exception_type, action))"""
 RV = ("truth",)
 
 
 def plain(results: DataFrame) -> DataFrame:
-    """Results with the row ids as one text and without the size of the risk in the reason."""
-    return results.withColumn("row_ids", F.array_join("row_ids", "|")).withColumn("reason", F.regexp_replace("reason", ", collision risk .*", ""))
+    """Results with the row ids as one text."""
+    return results.withColumn("row_ids", F.array_join("row_ids", "|"))
 
 
 @query(RESULTS + " SELECT DISTINCT r.exception_type, a.action FROM results_v r JOIN action_v a ON a.exception_type = r.exception_type", RV)
@@ -278,6 +281,20 @@ def claim_exact(spark, sf_dir):
     return tiers.claim_in_order(_exact(spark, sf_dir)).filter("wins").select("scope", "txn_id", "settlement_id")
 
 
+TWINS = GROUPS + """, twofold AS (SELECT scope, txn_id, 2 * txn_seq AS txn_seq, settlement_id, times FROM exact UNION ALL
+    SELECT scope, concat(txn_id, '_twin'), 2 * txn_seq + CASE WHEN txn_seq % 2 = 0 THEN 1 ELSE -1 END, settlement_id, times FROM exact)"""
+
+
+@query(TWINS + """ SELECT scope, txn_id, settlement_id FROM (SELECT *, sum(times) OVER (PARTITION BY scope, txn_id) AS options, row_number() OVER (PARTITION BY scope, settlement_id ORDER BY txn_seq) AS place FROM twofold) WHERE options = 1 AND place = 1""", ("bank",))
+def claim_contested(spark, sf_dir):
+    """Every line has a twin, before or after it, that wants the same batch: the first of both wins it."""
+    edges = _exact(spark, sf_dir)
+    seq = 2 * F.col("txn_seq")
+    twin = edges.withColumn("txn_id", F.concat("txn_id", F.lit("_twin"))).withColumn("txn_seq", seq + F.when(F.col("txn_seq") % 2 == 0, 1).otherwise(-1))
+    both = edges.withColumn("txn_seq", seq).unionByName(twin)
+    return tiers.claim_in_order(both).filter("wins").select("scope", "txn_id", "settlement_id")
+
+
 # -- part-paid batches ----------------------------------------------------------------------------------------------
 
 PART = GROUPS + ", part AS (SELECT * FROM named WHERE n >= 2 AND net >= credit_paise AND abs(lag) <= 3)"
@@ -373,7 +390,29 @@ def subset_sum_small(spark, sf_dir):
     return solved.select("pool", F.when(F.col("answer") == "", 0).otherwise(F.size(F.split("answer", r"\|"))).cast("int").alias("ways"))
 
 
-@query()
+# All sums of each half of a pool, matched on what is missing; declined pools have none.
+SUBSET_WAYS = f""", ask AS (SELECT pool, any_value(n) AS n, CAST(sum(amount) FILTER (WHERE pos % 2 = 0) AS BIGINT) AS target, count(*) FILTER (WHERE amount < 0) AS bad FROM r GROUP BY pool),
+decl AS (SELECT pool, n, target, (n > {ReconcileConfig().subset_safe_rows} OR target <= 0 OR target > 100000000 OR bad > 14) AS declined FROM ask),
+ranked AS (SELECT r.pool, r.pos % 2 AS half, r.amount, row_number() OVER (PARTITION BY r.pool, r.pos % 2 ORDER BY r.pos) AS k FROM r JOIN decl ON decl.pool = r.pool WHERE NOT declined AND r.amount <> 0),
+tops AS (SELECT d.pool, half, coalesce(max(k), 0) AS top FROM (SELECT pool, h.half FROM decl, (VALUES (0), (1)) AS h(half) WHERE NOT declined) d LEFT JOIN ranked USING (pool, half) GROUP BY d.pool, half),
+sums AS (WITH RECURSIVE s AS (SELECT pool, half, CAST(0 AS BIGINT) AS k, CAST(0 AS HUGEINT) AS total, CAST(0 AS BIGINT) AS used FROM tops
+    UNION ALL SELECT s.pool, s.half, s.k + 1, s.total + c.take * q.amount, s.used + c.take FROM s JOIN ranked q ON q.pool = s.pool AND q.half = s.half AND q.k = s.k + 1, (VALUES (0), (1)) AS c(take)) SELECT s.* FROM s JOIN tops t ON t.pool = s.pool AND t.half = s.half AND t.top = s.k),
+ways AS (SELECT a.pool, count(*) AS ways FROM sums a JOIN decl d ON d.pool = a.pool JOIN sums b ON b.pool = a.pool AND a.half = 0 AND b.half = 1 AND a.total + b.total = d.target AND a.used + b.used > 0 GROUP BY a.pool)
+SELECT d.pool, d.n, CASE WHEN d.declined THEN NULL ELSE CAST(least(coalesce(w.ways, 0), 2) AS INTEGER) END AS ways, d.declined FROM decl d LEFT JOIN ways w ON w.pool = d.pool"""
+BATCH = """, r AS (SELECT concat(scope, '_', settlement_id) AS pool, net_paise AS amount, row_number() OVER (PARTITION BY scope, settlement_id ORDER BY row_id) - 1 AS pos, count(*) OVER (PARTITION BY scope, settlement_id) AS n FROM settlement_v WHERE settlement_id IS NOT NULL)"""
+
+
+@query(BATCH + SUBSET_WAYS, ("settlement",))
+def anchored_subset(spark, sf_dir):
+    """Every named batch in the order of its row ids, with every other row's sum as the credit."""
+    w = tiers.Window.partitionBy("scope", "settlement_id")
+    named = settlement_of(spark, sf_dir).filter("settlement_id is not null")
+    rows = named.select(F.concat_ws("_", "scope", "settlement_id").alias("pool"), F.col("net_paise").alias("amount"), (F.row_number().over(w.orderBy("row_id")) - 1).cast("long").alias("pos"))
+    asked = rows.groupBy("pool").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "amount"))), lambda x: x["amount"]).alias("amounts"), F.sum(F.when(F.col("pos") % 2 == 0, F.col("amount"))).alias("target"))
+    return pools.subset_ways(asked, ReconcileConfig().subset_safe_rows)
+
+
+@query(POOL + SUBSET_WAYS, ("settlement",))
 def subset_sum(spark, sf_dir):
     """Every pool, with every other row's sum as the target: solved up to the row gate of the cascade, a declined row beyond it."""
     rows = pool_rows(spark, sf_dir)
@@ -464,11 +503,11 @@ def validate_replies(spark, sf_dir):
 
 
 @query(RANKED + """ SELECT DISTINCT scope, txn_id, CASE WHEN CAST(substr(txn_id, 5) AS BIGINT) % 3 <> 0 AND n_candidates >= CAST(substr(txn_id, 5) AS BIGINT) % 3 THEN CAST(substr(txn_id, 5) AS BIGINT) % 3 END AS cand_no,
-    CASE WHEN CAST(substr(txn_id, 5) AS BIGINT) % 3 <> 0 AND n_candidates >= CAST(substr(txn_id, 5) AS BIGINT) % 3 THEN 0.6e0 ELSE 0e0 END AS confidence, n_candidates FROM k""", ("candidates",))
+    CASE WHEN CAST(substr(txn_id, 5) AS BIGINT) % 3 <> 0 AND n_candidates >= CAST(substr(txn_id, 5) AS BIGINT) % 3 THEN 0.6e0 ELSE 0e0 END AS confidence, 'outside' AS reason, n_candidates FROM k""", ("candidates",))
 def decisions_from_replies(spark, sf_dir):
     cands = view(spark, sf_dir, "candidates_v")
     replies = cands.select("scope", "txn_id").distinct().withColumn("chosen", F.format_string("cand_%05d", F.substring("txn_id", 5, 12).cast("long") % 3)).withColumn("confidence", F.lit(0.6)).withColumn("reason", F.lit("outside"))
-    return adjudicate.decisions_from_replies(cands, replies).drop("reason")
+    return adjudicate.decisions_from_replies(cands, replies)
 
 
 @query(""" SELECT c.scope, c.txn_id, count(*) AS n, min(b.narration) AS narration, min(b.credit_paise) AS amount_paise, min('cand_' || lpad(CAST(cand_no AS VARCHAR), 5, '0')) AS first_id, CAST(sum(abs(delta)) AS BIGINT) AS deltas
@@ -543,8 +582,7 @@ SELECT *, credit_paise - computed_net_paise AS residual_paise, concat({inr('cred
     CASE WHEN refunds > 0 THEN concat(' - ', refunds, ' refunds (', {inr('-refund_paise')}, ')') ELSE '' END, CASE WHEN adjustments > 0 THEN concat(' + adjustments (', {inr('adjustment_paise')}, ')') ELSE '' END) AS narrative FROM g""", RV)
 def explain_matched(spark, sf_dir):
     run = reconciled(spark, sf_dir)
-    told = explain.explain_matched(run.results, settlement_of(spark, sf_dir), bank_of(spark, sf_dir))
-    return told.withColumn("reason", F.regexp_replace("reason", ", collision risk .*", ""))
+    return explain.explain_matched(run.results, settlement_of(spark, sf_dir), bank_of(spark, sf_dir))
 
 
 @query(RESULTS + """, free AS (SELECT s.* FROM settlement_v s WHERE NOT EXISTS (SELECT 1 FROM results_v r, unnest(string_split(r.row_ids, '|')) AS m(row_id) WHERE r.scope = s.scope AND m.row_id = s.row_id))
@@ -562,8 +600,7 @@ LINES_SQL = f"""SELECT r.scope, r.txn_seq, r.txn_id, r.value_date, r.narration,
 
 @query(RESULTS + " " + LINES_SQL, RV)
 def result_lines(spark, sf_dir):
-    lines = explain.result_lines(reconciled(spark, sf_dir).results, bank_of(spark, sf_dir))
-    return lines.withColumn("reason", F.regexp_replace("reason", ", collision risk .*", ""))
+    return explain.result_lines(reconciled(spark, sf_dir).results, bank_of(spark, sf_dir))
 
 
 @query(RESULTS + """ SELECT f.which, count(*) AS n FROM (VALUES ('all'), ('matched'), ('exceptions'), ('tier2_fuzzy'), ('orphan_credit')) AS f(which) JOIN results_v r
@@ -623,8 +660,7 @@ def scenario_scores(spark, sf_dir):
 
 @query(FAULTY + " SELECT scope, txn_id, scenario, tier, CAST(len(expected) AS INTEGER) AS expected_rows, CAST(len(got) AS INTEGER) AS matched_rows, CAST(len(list_intersect(got, expected)) AS INTEGER) AS overlap, reason FROM judged WHERE verdict = 'wrong' ORDER BY scope, txn_seq LIMIT 12", RV)
 def wrong_examples(spark, sf_dir):
-    shown = score.wrong_examples(judged(spark, sf_dir), bank_of(spark, sf_dir))
-    return shown.withColumn("reason", F.regexp_replace("reason", ", collision risk .*", ""))
+    return score.wrong_examples(judged(spark, sf_dir), bank_of(spark, sf_dir))
 
 
 # -- audit ------------------------------------------------------------------------------------------------------------------
@@ -653,9 +689,13 @@ def verify_chain(spark, sf_dir):
     return audit.verify_chain(tampered)
 
 
-@query(RESULTS + " SELECT scope, CASE WHEN row_ids = '' THEN 'exception' ELSE 'match' END AS kind, txn_id AS subject, row_number() OVER (PARTITION BY scope ORDER BY txn_id) AS seq FROM results_v", RV)
+PAYLOAD = """concat('{"candidates_considered":', candidates_considered, ',"confidence":', confidence, ',"delta_paise":', delta_paise, ',"exception_type":', CASE WHEN exception_type IS NULL THEN 'null' ELSE concat('"', exception_type, '"') END,
+    ',"reason":"', reason, '","rows":', CASE WHEN row_ids = '' THEN '[]' ELSE concat('["', replace(row_ids, '|', '","'), '"]') END, ',"tier":"', tier, '"}')"""
+
+
+@query(RESULTS + f" SELECT scope, CASE WHEN row_ids = '' THEN 'exception' ELSE 'match' END AS kind, txn_id AS subject, row_number() OVER (PARTITION BY scope ORDER BY txn_id) AS seq, {PAYLOAD} AS payload FROM results_v", RV)
 def audit_records(spark, sf_dir):
-    return audit.numbered(audit.audit_records(reconciled(spark, sf_dir).results)).select("scope", "kind", "subject", "seq")
+    return audit.numbered(audit.audit_records(reconciled(spark, sf_dir).results)).select("scope", "kind", "subject", "seq", "payload")
 
 
 @query(RESULTS + " SELECT scope, txn_id, tier, row_ids, delta_paise, confidence, reason, exception_type, candidates_considered FROM results_v", RV)
@@ -725,18 +765,48 @@ SPOILT = "CASE o_orderkey % 8 WHEN 0 THEN concat('p', o_orderkey, ',payment,,not
 def quarantine_by_reason(spark, sf_dir):
     path = fresh_path(spark, "spoilt")
     lines = table(spark, sf_dir, "orders").select(F.expr(SPOILT).alias("value"))
-    header = spark.range(1).select(F.lit(",".join(files.SETTLEMENT)).alias("value"))
-    header.coalesce(1).write.text(f"{path}/0")
-    spark.read.text(f"{path}/0").unionByName(lines).coalesce(1).write.text(f"{path}/1")
-    return files.quarantine_by_reason(files.read_settlement(spark, f"{path}/1")[1])
+    return files.quarantine_by_reason(files.read_settlement(spark, _spoilt_file(lines, files.SETTLEMENT, path))[1])
+
+
+def _spoilt_file(lines: DataFrame, header: list[str], path: str) -> str:
+    """Records as CSV files, each with the header as its first line."""
+    lines.select(F.col("value").alias(",".join(header))).write.option("header", True).option("quote", "").option("escape", "").option("sep", "\u0001").csv(path)
+    return path
+
+
+SPOILT_BANK = "CASE o_orderkey % 7 WHEN 0 THEN ' ,2026-01-01,text,1.00,' WHEN 1 THEN concat('b', o_orderkey, ',2026-01-01,text,abc,') WHEN 2 THEN concat('b', o_orderkey, ',2026-01-01,text,,x1') WHEN 3 THEN concat('b', o_orderkey, ',2026-01-01,text,1.00,2.00') WHEN 4 THEN concat('b', o_orderkey, ',2026-13-45,text,1.00,') WHEN 5 THEN concat('b', o_orderkey, ',,text,1.00,') ELSE concat('b', o_orderkey, ',2026-01-01,text,1.00,') END"
+SPOILT_ORDERS = "CASE o_orderkey % 5 WHEN 0 THEN concat(o_orderkey, ',31-02-2026,1.00,c') WHEN 1 THEN concat(o_orderkey, ',2026-01-01,1.0.0,c') WHEN 2 THEN concat(o_orderkey, ',,1.00,c') WHEN 3 THEN concat(o_orderkey, ',2026-01-01') ELSE concat(o_orderkey, ',2026-01-01,1.00,c') END"
+
+
+@query("""SELECT 'bank_statement' AS source, reason, count(*) AS n FROM (SELECT CASE o_orderkey % 7 WHEN 0 THEN 'missing txn_id' WHEN 1 THEN 'unparseable amount in credit:' WHEN 2 THEN 'unparseable amount in debit:' WHEN 3 THEN 'row has both credit and debit' WHEN 4 THEN 'unparseable date:' WHEN 5 THEN 'empty date' END AS reason FROM orders) WHERE reason IS NOT NULL GROUP BY reason
+UNION ALL SELECT 'orders', reason, count(*) FROM (SELECT CASE o_orderkey % 5 WHEN 0 THEN 'unparseable date:' WHEN 1 THEN 'unparseable amount in gross:' WHEN 2 THEN 'empty date' WHEN 3 THEN 'wrong column count' END AS reason FROM orders) WHERE reason IS NOT NULL GROUP BY reason""")
+def quarantine_bank_orders(spark, sf_dir):
+    path, orders = fresh_path(spark, "spoilt"), table(spark, sf_dir, "orders")
+    bank = files.read_bank(spark, _spoilt_file(orders.select(F.expr(SPOILT_BANK).alias("value")), files.BANK, f"{path}/bank"))[1]
+    bad = files.read_orders(spark, _spoilt_file(orders.select(F.expr(SPOILT_ORDERS).alias("value")), files.ORDERS, f"{path}/orders"))[1]
+    return files.quarantine_by_reason(bank.unionByName(bad))
+
+
+@query("""SELECT 'orders' AS source, raw, reason FROM (SELECT CASE o_orderkey % 5 WHEN 0 THEN concat(o_orderkey, ',31-02-2026,1.00,c') WHEN 1 THEN concat(o_orderkey, ',2026-01-01,1.0.0,c') WHEN 2 THEN concat(o_orderkey, ',,1.00,c') WHEN 3 THEN concat(o_orderkey, ',2026-01-01') END AS raw,
+    CASE o_orderkey % 5 WHEN 0 THEN concat('unparseable date: ', chr(39), '31-02-2026', chr(39)) WHEN 1 THEN concat('unparseable amount in gross: ', chr(39), '1.0.0', chr(39)) WHEN 2 THEN 'empty date' WHEN 3 THEN 'wrong column count' END AS reason FROM orders) WHERE reason IS NOT NULL""")
+def write_quarantine(spark, sf_dir):
+    path = fresh_path(spark, "quarantine")
+    lines = table(spark, sf_dir, "orders").select(F.expr(SPOILT_ORDERS).alias("value"))
+    tables.write_quarantine(files.read_orders(spark, _spoilt_file(lines, files.ORDERS, f"{path}/in"))[1], f"{path}/out")
+    return spark.read.parquet(f"{path}/out").select("source", "raw", "reason")
+
+
+LABELS = 1000
 
 
 @query("SELECT txn_id, scenario, row_ids, expect_exception FROM truth_v", RV)
 def read_truth_json(spark, sf_dir):
     path = fresh_path(spark, "truth")
     entry = F.struct("txn_id", "scenario", "expected_row_ids", "expect_exception", F.lit("").alias("note"))
-    # A document holds one scope's labels.
-    truth_of(spark, sf_dir).groupBy("scope").agg(F.collect_list(entry).alias("entries")).write.partitionBy("scope").json(path)
+    # A document holds some of the labels: about LABELS of them, whatever the size of the table.
+    truth = truth_of(spark, sf_dir)
+    parts = truth.count() // LABELS + 1
+    truth.groupBy(F.pmod(F.xxhash64("scope", "txn_id"), F.lit(parts)).alias("part")).agg(F.collect_list(entry).alias("entries")).write.partitionBy("part").json(path)
     return files.read_truth(spark, f"{path}/*").select("txn_id", "scenario", F.array_join("expected_row_ids", "|").alias("row_ids"), "expect_exception")
 
 
@@ -753,3 +823,25 @@ def write_results(spark, sf_dir):
     tables.write_results(reconciled(spark, sf_dir).results, bank_of(spark, sf_dir), path)
     return spark.read.parquet(path).groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sum("delta_paise").alias("delta"))
 
+
+@query(DRIFT + " SELECT row_id FROM flag", ("settlement",))
+def read_truth_drift(spark, sf_dir):
+    path = fresh_path(spark, "truth")
+    flagged = drift.detect_fee_drift(settlement_of(spark, sf_dir))
+    parts = flagged.count() // LABELS + 1
+    made = flagged.groupBy(F.pmod(F.xxhash64("row_id"), F.lit(parts)).alias("part")).agg(F.collect_list("row_id").alias("fee_drift_row_ids"))
+    made.write.partitionBy("part").json(path)
+    return files.read_truth_drift(spark, f"{path}/*")
+
+
+@query(RESULTS + """ SELECT 'r1' AS run_id, 'f1' AS fingerprint, 'started' AS started_at, 'finished' AS finished_at, count(*) AS bank_lines, count(*) FILTER (WHERE row_ids <> '') AS matched, count(*) FILTER (WHERE row_ids = '') AS exceptions FROM results_v""", RV)
+def finished_runs(spark, sf_dir):
+    """A run is started, started again with the same inputs (the earlier one is returned), and finished."""
+    path, run = fresh_path(spark, "runs"), reconciled(spark, sf_dir)
+    first = tables.start_run(spark, path, "r1", "f1", "{}", "started")
+    again = tables.start_run(spark, path, "r2", "f1", "{}", "later")
+    if (first, again) != ("r1", "r1"):
+        raise RuntimeError("a run with the same fingerprint was started twice")
+    summary = score.run_summary(run.results, settlement_of(spark, sf_dir), bank_of(spark, sf_dir))
+    tables.finish_run(path, "r1", summary, "finished")
+    return tables.runs(spark, path).select("run_id", "fingerprint", "started_at", "finished_at", "bank_lines", "matched", "exceptions")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.functions.scalar import clean_text, extract_utrs, net_paise, parse_date, to_paise  # noqa: F401
@@ -31,16 +31,23 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _records(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
-    """The wanted columns as text, raw, width_ok. Column order comes from each file's header line; a missing column reads as null.
+    """The wanted columns as text, raw, line_no, width_ok. Column order comes from the header line; a missing column reads as null.
 
     Records are lines (no line breaks inside fields), so that one large file is read by many tasks. Every line counts,
-    blank ones too; the header is the line that equals the file's first.
+    blank ones too; the first line of each file is its header. line_no is the position of the line, the header being
+    1; the files of a folder are numbered through in the order of their paths.
     """
-    head = spark.read.text(path).first()
-    names = [h.strip() for h in head[0].split(",")] if head else list(wanted)
-    body = spark.read.text(path).filter(F.col("value") != F.lit(head[0])) if head else spark.read.text(path)
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    head = text.filter("start = 0").first()
+    names = [h.strip() for h in head.value.split(",")] if head else list(wanted)
+    # A task reads a block's lines one after the other; the lines before a block follow from the blocks' counts.
+    blocks = text.groupBy("file", "start").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("lines"))
+    before = F.sum("lines").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))  # a row a block
+    opens = F.first("start").over(Window.partitionBy("file").orderBy("start")) == F.col("start")
+    blocks = blocks.select("file", "start", "first", F.coalesce(before, F.lit(0)).alias("before"), opens.alias("opens"))
+    body = text.join(F.broadcast(blocks), ["file", "start"]).filter(~(F.col("opens") & (F.col("at") == F.col("first"))))
     fields = F.from_csv("value", ", ".join(f"`{k}` string" for k in range(len(names) + 1)), {"mode": "PERMISSIVE", "nullValue": "\u0000", "emptyValue": ""})
-    parsed = body.select(F.col("value").alias("raw"), fields.alias("f"), F.monotonically_increasing_id().alias("line_no"))
+    parsed = body.select(F.col("value").alias("raw"), fields.alias("f"), (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"))
     width = F.size(F.split(F.regexp_replace("raw", r'"(?:[^"]|"")*"', ""), ",", -1))
     blank = F.trim(F.translate("raw", ",", " ")) == ""
     at = {n: F.col(f"f.`{k}`") for k, n in enumerate(names)}
@@ -150,6 +157,11 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(kind).json(path, multiLine=True).select(F.explode("entries").alias("e")).select("e.*")
 
 
+def read_truth_drift(spark: SparkSession, path: str) -> DataFrame:
+    """row_id of every settlement row that the label documents name as overcharged."""
+    return spark.read.schema("fee_drift_row_ids array<string>").json(path, multiLine=True).select(F.explode("fee_drift_row_ids").alias("row_id"))
+
+
 def rupees(c: Column) -> Column:
     """Paise as a rupee text, the sign first."""
     cents = F.abs(c)

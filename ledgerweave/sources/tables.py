@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +22,29 @@ def write_drift(findings: DataFrame, path: str) -> None:
     findings.write.partitionBy("scope").parquet(path)
 
 
-def start_run(spark: SparkSession, path: str, run_id: str, fingerprint: str, config_json: str, started_at: str) -> None:
-    row = [(run_id, fingerprint, config_json, started_at)]
-    spark.createDataFrame(row, "run_id string, fingerprint string, config_json string, started_at string").write.mode("append").parquet(path)
+STARTED = "run_id string, fingerprint string, config_json string, started_at string"
+
+
+def start_run(spark: SparkSession, path: str, run_id: str, fingerprint: str, config_json: str, started_at: str) -> str:
+    """The id of the run to work under: of an earlier run of the same fingerprint if there is one, and then nothing is written."""
+    try:
+        earlier = spark.read.schema(STARTED).parquet(f"{path}/started").filter(F.col("fingerprint") == fingerprint).orderBy("started_at", "run_id").first()
+    except AnalysisException:  # no run was ever started here
+        earlier = None
+    if earlier:
+        return earlier.run_id
+    spark.createDataFrame([(run_id, fingerprint, config_json, started_at)], STARTED).write.mode("append").parquet(f"{path}/started")
+    return run_id
+
+
+def finish_run(path: str, run_id: str, summary: DataFrame, finished_at: str) -> None:
+    """Adds a run's summary (one row) to the table of finished runs."""
+    summary.select(F.lit(run_id).alias("run_id"), F.lit(finished_at).alias("finished_at"), "*").write.mode("append").parquet(f"{path}/finished")
+
+
+def runs(spark: SparkSession, path: str) -> DataFrame:
+    """Every started run, with its summary where it is finished."""
+    return spark.read.schema(STARTED).parquet(f"{path}/started").join(spark.read.parquet(f"{path}/finished"), "run_id", "left")
 
 
 def append_audit(entries: DataFrame, path: str) -> None:
