@@ -1,19 +1,21 @@
 """Quality classification by co-training.
 
 Two classifiers look at a document: one at its text (hashed character n-grams with case, word shapes), one at its
-page metadata (source, language, size, layout of lines). Both start from the labelled sample. In each round each
-scores all unlabelled documents and hands over those that it is surest about, at most HANDED of each class; the
-other one trains on those marks too. Equal documents (text and metadata) count as one.
+page metadata (source, language, size; nothing that is read from the text). Both start from the labelled sample. In
+each round each scores all unlabelled documents; all that it is sure about are marked for the other one, which then
+trains on the labelled sample and a sample of those marks. Equal documents (text and metadata) count as one.
 Labelled documents that were left out then calibrate each view, and the two calibrated logits are added (the prior
 counted once) to score all documents.
 
-The labelled sample is bounded: `per_class` documents for each label, whole texts, picked by a hash of their ids.
-Training is on the driver, on that sample and the marks; the weights have a fixed size.
+The samples that are fitted are bounded: `per_class` labelled documents for each label, and `marks_per_class` marked
+ones for each class, view and round; whole texts, picked by a hash of ids or contents. Training is on the driver;
+the weights have a fixed size.
 
-Defined results: without labels of both classes every row is kept with score 0.5; a document with contradicting
-labels counts as unlabelled; null text counts as empty, null metadata as a value of its own; repeated rows get
-equal results; rows with a null id are scored but not learned from; an empty table gives an empty result; all
-other columns are carried unchanged by `keep_good`.
+Defined results: without labels of both classes every row is kept with score 0.5; a class with fewer than four
+labelled documents is calibrated on those that it was fitted on; a document with contradicting labels counts as
+unlabelled; null text counts as empty, null metadata as a value of its own; repeated rows get equal results; rows
+with a null id are scored but not learned from; an empty table gives an empty result; all other columns are carried
+unchanged by `keep_good`.
 """
 
 from __future__ import annotations
@@ -33,9 +35,9 @@ from .ftrl import SoftmaxFTRL, platt, scores
 
 #: Features of each view (powers of two), the bound of the sample, and the rounds of co-training.
 TEXT_BITS, META_BITS, PER_CLASS, ROUNDS = 12, 10, 1500, 3
-#: How sure a view must be of a mark, and how many marks of a class it hands over in a round.
-SURE, HANDED = 0.98, 300
-#: Tasks that merge the best of all tasks before the driver does.
+#: How sure a view must be of a mark; marks of each class, view and round in the sample that is fitted.
+SURE, MARKS_PER_CLASS = 0.98, 600
+#: Tasks that merge the samples of all tasks before the driver does.
 MERGERS = 16
 WORD = re.compile(r"\S+").findall
 
@@ -71,10 +73,10 @@ def _byte_kinds() -> np.ndarray:
 BYTE_KIND = _byte_kinds()
 
 
-def meta_view(source, lang, n_chars, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """One-hot page metadata: where it comes from, its language, its size, and how its lines are laid out."""
-    lines = text.count("\n") + 1
-    facts = (f"s{source}", f"l{lang}", f"n{int(np.log2(1 + max(n_chars or 0, 0)))}", f"c{min(lines, 40)}", f"w{int(2 * np.log2(1 + len(text) / lines))}")
+def meta_view(source, lang, n_chars) -> tuple[np.ndarray, np.ndarray]:
+    """One-hot page metadata: where it comes from, its language, its size, and the first two together."""
+    size = np.log2(1 + max(n_chars or 0, 0))
+    facts = (f"s{source}", f"l{lang}", f"b{source} {lang}", f"n{int(size)}", f"m{int(4 * size)}")
     at = np.unique([xxhash.xxh3_64_intdigest(f) % (1 << META_BITS) for f in facts])
     return np.r_[at, 1 << META_BITS], np.r_[np.full(len(at), 0.5), 1.0]
 
@@ -87,7 +89,7 @@ def _views(names: list[str]):
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for source, lang, n, text in zip(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars", "text"))):
-                for k, (at, x) in enumerate((text_view(text), meta_view(source, lang, n, text))):
+                for k, (at, x) in enumerate((text_view(text), meta_view(source, lang, n))):
                     out[2 * k].append(at.astype(np.int32).tobytes())
                     out[2 * k + 1].append(x.astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), *(pa.array(o, pa.binary()) for o in out)], names)
@@ -104,17 +106,17 @@ def _sides(docs: DataFrame, id_col: str, text_col: str) -> list:
     ]
 
 
-class _Best:
-    """The surest HANDED marks (sure, key) of each class and view, equal sureness by key; a key counts once."""
+class _Sample:
+    """A sample of the marks (key, sureness) of each class and view: those with the smallest hashes; a key counts once."""
 
-    def __init__(self):
-        self.kept: dict[tuple[int, int], dict[int, float]] = {}
+    def __init__(self, most: int):
+        self.most, self.kept = most, {}
 
     def add(self, view: int, y: int, keys: list, sure: list) -> None:
         kept = self.kept.setdefault((view, y), {})
         kept.update(zip(keys, sure))
-        if len(kept) > HANDED:
-            self.kept[view, y] = dict(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:HANDED])
+        if len(kept) > self.most:
+            self.kept[view, y] = dict(sorted(kept.items(), key=lambda x: place(x[0]))[: self.most])
 
     def batch(self) -> pa.RecordBatch:
         rows = [(v, y, key, sure) for (v, y), kept in self.kept.items() for key, sure in kept.items()]
@@ -122,42 +124,49 @@ class _Best:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.float64()))], ["view", "y", "key", "sure"])
 
 
-def _merged(batches):
-    best = _Best()
-    for batch in batches:
-        view, y = (batch.column(k).to_numpy() for k in (0, 1))
-        for v in (0, 1):
-            for c in (0, 1):
-                at = pa.array((view == v) & (y == c))
-                best.add(v, c, *(batch.column(k).filter(at).to_pylist() for k in (2, 3)))
-    yield best.batch()
+def place(key: int) -> int:
+    """Where a key stands in the order that samples are drawn in."""
+    return xxhash.xxh3_64_intdigest(key.to_bytes(8, "little", signed=True))
+
+
+def _merged(most: int):
+    def run(batches):
+        sample = _Sample(most)
+        for batch in batches:
+            view, y = (batch.column(k).to_numpy() for k in (0, 1))
+            for v in (0, 1):
+                for c in (0, 1):
+                    at = pa.array((view == v) & (y == c))
+                    sample.add(v, c, *(batch.column(k).filter(at).to_pylist() for k in (2, 3)))
+        yield sample.batch()
+
+    return run
 
 
-def surest(unlabelled: DataFrame, weights: list, cal: list, given: list) -> list[tuple[int, int, int, float]]:
-    """(view, class, key, sureness): what each view is surest about among all rows, without keys given to the other view before."""
+def marked(unlabelled: DataFrame, weights: list, cal: list, given: list, most: int = MARKS_PER_CLASS) -> list[tuple[int, int, int, float]]:
+    """(view, class, key, sureness): a sample of all rows that a view is sure about, without keys given to the other view before."""
     sent = unlabelled.sparkSession.sparkContext.broadcast((weights, cal, [set(g) for g in given]))
 
-    def ranked(batches):
+    def sure_ones(batches):
         weights, cal, given = sent.value
-        best = _Best()
+        sample = _Sample(most)
         for batch in batches:
             keys, margins = batch.column("key").to_pylist(), np.zeros((2, batch.num_rows))
             texts = batch.column("text")
             for i, meta in enumerate(zip(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")))):
-                text = texts[i].as_py()
-                for v, (at, x) in enumerate((text_view(text), meta_view(*meta, text))):
+                for v, (at, x) in enumerate((text_view(texts[i].as_py()), meta_view(*meta))):
                     s = x.astype(np.float32).astype(float) @ weights[v][at]
                     margins[v, i] = s[1] - s[0]
             for v in (0, 1):
                 p = 1 / (1 + np.exp(-np.clip(cal[v][0] * margins[v] + cal[v][1], -30, 30)))
                 for y, sure in ((1, p), (0, 1 - p)):
                     at = [i for i in np.flatnonzero(sure >= SURE) if keys[i] not in given[1 - v]]
-                    best.add(v, y, [keys[i] for i in at], sure[at].tolist())
-        yield best.batch()
+                    sample.add(v, y, [keys[i] for i in at], sure[at].tolist())
+        yield sample.batch()
 
     kind = "view int, y int, key long, sure double"
-    rows = unlabelled.mapInArrow(ranked, kind).repartition(MERGERS).mapInArrow(_merged, kind).collect()
-    last = _Best()
+    rows = unlabelled.mapInArrow(sure_ones, kind).repartition(MERGERS).mapInArrow(_merged(most), kind).collect()
+    last = _Sample(most)
     for r in rows:
         last.add(r["view"], r.y, [r.key], [r.sure])
     # Class 1 goes first where a key is on both lists.
@@ -199,14 +208,24 @@ def looked_up(unlabelled: DataFrame, keys: set[int]) -> dict[int, tuple]:
     return {r.h: _unpacked(r) for r in rows.mapInArrow(_once(NAMES), VIEWED).dropDuplicates(["h"]).collect()}
 
 
-def co_train(labelled: list, marks: np.ndarray, unlabelled: DataFrame | None, rounds: int = ROUNDS):
+def left_out(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are fitted, and which calibrate: every fourth of a class, or all of it where there are fewer than four."""
+    fitted, rest = np.ones(len(marks), bool), np.zeros(len(marks), bool)
+    for y in (0, 1):
+        mine = np.flatnonzero(marks == y)
+        rest[mine[3::4] if len(mine) >= 4 else mine] = True
+        fitted[mine[3::4]] = False
+    return fitted, rest
+
+
+def co_train(labelled: list, marks: np.ndarray, unlabelled: DataFrame | None, rounds: int = ROUNDS, most: int = MARKS_PER_CLASS):
     """Weights of both views, and (slope, offset) of each, from rows ((at, x), (at, x)) and their labels 0 or 1.
 
     unlabelled: key, source, lang, n_chars, text.
     """
-    rest = np.arange(len(labelled)) % 4 == 0
-    own = [[r[v] for r, out in zip(labelled, rest) if not out] for v in (0, 1)]
-    own_y = marks[~rest].tolist()
+    fitted, rest = left_out(marks)
+    own = [[r[v] for r, into in zip(labelled, fitted) if into] for v in (0, 1)]
+    own_y = marks[fitted].tolist()
     given: list[dict[int, int]] = [{}, {}]  # keys marked for each view, by the other one
     known: dict[int, tuple] = {}
     weights, cal = [None, None], [(1.0, 0.0)] * 2
@@ -219,24 +238,24 @@ def co_train(labelled: list, marks: np.ndarray, unlabelled: DataFrame | None, ro
             cal[v] = platt(s[:, 1] - s[:, 0], marks[rest])
         if turn == rounds or unlabelled is None:
             break
-        for v, y, key, _ in surest(unlabelled, weights, cal, given):
+        for v, y, key, _ in marked(unlabelled, weights, cal, given, most):
             given[1 - v].setdefault(key, y)
         known |= looked_up(unlabelled, {k for g in given for k in g} - set(known))
     return weights, cal
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col="doc_id", text_col="text"):
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, marks_per_class: int = MARKS_PER_CLASS, id_col="doc_id", text_col="text"):
     """(weights of both views, their calibrations, prior logit), or None where labels of a class are missing."""
-    marked = (
+    known_labels = (
         labels.select(F.col("doc_id").cast("long").alias("of"), F.col("quality").cast("int").alias("y")).filter("of is not null and y in (0, 1)")
         .groupBy("of").agg(F.min("y").alias("y"), F.max("y").alias("y2")).filter("y = y2").drop("y2")
     )
-    sizes = {r.y: r["n"] for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r.y: r["n"] for r in known_labels.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if set(sizes) != {0, 1}:
         return None
     h = lambda c: F.pmod(F.xxhash64(c, F.lit("quality")), F.lit(1 << 30))
     share = F.when(F.col("y") == 1, min(1.0, 1.2 * per_class / sizes[1])).otherwise(min(1.0, 1.2 * per_class / sizes[0]))
-    picked = marked.withColumn("lh", h("of")).filter(F.col("lh") < share * (1 << 30))  # about 2.4 * per_class rows, whatever the size
+    picked = known_labels.withColumn("lh", h("of")).filter(F.col("lh") < share * (1 << 30))  # about 2.4 * per_class rows, whatever the size
     rows = docs.select(*_sides(docs, id_col, text_col)).filter("doc_id is not null").withColumn("h", h("doc_id"))
     known = rows.join(F.broadcast(picked.drop("lh")), F.col("doc_id") == F.col("of")).select("h", "y", "source", "lang", "n_chars", "text")
     unlabelled = rows.join(F.broadcast(picked.select("of")), F.col("doc_id") == F.col("of"), "left_anti")
@@ -248,12 +267,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col="
         if used[r.y] < per_class:
             used[r.y] += 1
             labelled.append((_unpacked(r), r.y))
-    if min(used.values()) < 4:
+    if not all(used.values()):
         return None
     # Both classes are spread evenly over the part that trains and the part that calibrates.
     labelled = [x for y in (0, 1) for x in labelled if x[1] == y]
     marks = np.array([y for _, y in labelled])
-    weights, cal = co_train([x for x, _ in labelled], marks, unlabelled)
+    weights, cal = co_train([x for x, _ in labelled], marks, unlabelled, most=marks_per_class)
     return weights, cal, float(np.log(used[1] / used[0]))
 
 
@@ -276,7 +295,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
                 texts = pc.cast(pc.struct_field(batch.column("row"), text_col), pa.string())
                 for i, (source, lang, size) in enumerate(zip(*columns)):
                     text = texts[i].as_py() or ""
-                    for v, (at, x) in enumerate((text_view(text), meta_view(source, lang, size, text))):
+                    for v, (at, x) in enumerate((text_view(text), meta_view(source, lang, size))):
                         s = x @ weights[v][at]
                         logits[i, v] = cal[v][0] * (s[1] - s[0]) + cal[v][1]
             p = 1 / (1 + np.exp(-np.clip(np.c_[logits, logits.sum(axis=1) - prior], -40, 40)))
