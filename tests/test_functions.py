@@ -208,3 +208,50 @@ def test_some_queries_against_sql(spark, name):
     df = registry.QUERIES[name](spark, sf)
     want = con.execute(f"select {', '.join(df.columns)} from ({registry.ORACLES[name]})").fetchall()
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
+
+
+def test_line_numbers(spark, tmp_path):
+    """Positions in the file, the header being line 1; a record that equals the header counts as one."""
+    header = ",".join(files.BANK)
+    lines = [header, "a,2026-01-01,t,1.00,", "", header, "b,2026-01-01,t,2.00,", "c,2026-13-45,t,1.00,"]
+    (tmp_path / "bank.csv").write_text("\n".join(lines) + "\n")
+    good, bad = files.read_bank(spark, str(tmp_path / "bank.csv"))
+    assert sorted((r.txn_seq, r.txn_id) for r in good.collect()) == [(2, "a"), (5, "b")]
+    assert sorted((r.line_no, r.reason) for r in bad.collect()) == [(3, "wrong column count"), (4, "unparseable amount in credit: 'credit'"), (6, "unparseable date: '2026-13-45'")]
+    many = [header] + [f"t{k:06d},2026-01-01,text of a line,{k}.00," for k in range(1, 30000)]
+    (tmp_path / "many.csv").write_text("\n".join(many) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 100_000)
+    try:
+        good, bad = files.read_bank(spark, str(tmp_path / "many.csv"))
+        assert spark.read.text(str(tmp_path / "many.csv")).rdd.getNumPartitions() > 5 and bad.count() == 0
+        assert {(r.txn_seq, r.txn_id) for r in good.select("txn_seq", "txn_id").collect()} == {(k + 1, f"t{k:06d}") for k in range(1, 30000)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_runs(spark, tmp_path):
+    """The second start of the same inputs gives the first run; a finished run has its summary."""
+    path = str(tmp_path / "runs")
+    assert tables.start_run(spark, path, "r1", "f", "{}", "t1") == "r1"
+    assert tables.start_run(spark, path, "r2", "f", "{}", "t2") == "r1"
+    assert tables.start_run(spark, path, "r3", "g", "{}", "t3") == "r3"
+    tables.finish_run(path, "r1", spark.createDataFrame([(7, 5)], "bank_lines long, matched long"), "t4")
+    got = {r.run_id: (r.finished_at, r.matched) for r in tables.runs(spark, path).collect()}
+    assert got == {"r1": ("t4", 5), "r3": (None, None)}
+
+
+def test_complement_against_all_sets():
+    """The first single, else the pair whose later row comes first with its latest partner, else the first triple."""
+    rng = random.Random(4)
+    for _ in range(400):
+        a = [rng.randint(-3, 9) for _ in range(rng.randint(1, 9))]
+        target = sum(a) - rng.randint(-2, 20)
+        gap, n = sum(a) - target, len(a)
+        singles = [(i,) for i in range(n) if a[i] == gap]
+        pairs = sorted(((j, -i) for j in range(n) for i in range(j) if a[i] + a[j] == gap))
+        triples = [(i, j, k) for i in range(n) for j in range(i + 1, n) for k in range(j + 1, n) if a[i] + a[j] + a[k] == gap]
+        want = None if gap < 0 else () if gap == 0 else singles[0] if singles else (-pairs[0][1], pairs[0][0]) if pairs else triples[0] if triples else None
+        assert arith.complement(np.array(a), target) == want
+    with pytest.raises(ValueError):
+        arith.exact_sets(np.ones(60, np.int64), 7)
