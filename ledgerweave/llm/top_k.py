@@ -1,10 +1,14 @@
 """Exact top-k inner products by pivot-table elimination.
 
-Each vector becomes floor(scale * x). The distances of every vector to a fixed set of pivots are computed once, as
-a table beside the vectors. For a query q and a candidate x, the largest |d(q, p) - d(x, p)| over the pivots is a
+Each vector becomes floor(scale * x). Pivots are vectors spread far apart: of a bounded sample, each next one is the
+one farthest from those before. The distances of every vector to the pivots of its length are computed once, as a
+table beside the vectors. For a query q and a candidate x, the largest |d(q, p) - d(x, p)| over the pivots is a
 lower bound of their distance, which caps their inner product at (|q|^2 + |x|^2 - bound^2) / 2. Candidates are
 evaluated in the order of those caps until the next cap falls below the k-th score: what is left cannot enter.
 
+Vectors that are nearly orthogonal to each other lie at nearly the same distance from every pivot: no bound can tell
+them apart then, and nearly all candidates are evaluated. `Best.evaluated` counts them.
+
 The stated query set meets all rows in blocks: candidate blocks are dealt over stripes, the query blocks are sent
 to every stripe, and each stripe keeps k rows a query; a last ranking merges the stripes.
 
@@ -22,10 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import lean_batches, partitions, written
 
-#: Rows in a block; pivots; candidates that are evaluated at a time.
-BLOCK, PIVOTS, STEP = 2048, 32, 256
+#: Rows in a block; pivots; the sample that they are picked from; candidates that are evaluated at first
+#: (twice as many each time after that).
+BLOCK, PIVOTS, SAMPLE, STEP = 1024, 128, 4096, 32
+#: Queries that are held against a block at a time.
+TILE = 64
 #: Sums of products stay whole in doubles up to here.
 EXACT = float(1 << 52)
 BLOCKS = "block long, dim int, n int, ids binary, rows binary, norms binary, table binary"
@@ -40,6 +47,20 @@ def _distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
+def spread_apart(sample: np.ndarray, most: int) -> np.ndarray:
+    """Up to `most` different rows, the longest first, then always the one farthest from all before."""
+    if not len(sample):
+        return sample
+    picked, near = [], np.full(len(sample), np.inf)
+    at = int(np.argmax(np.einsum("ij,ij->i", sample, sample)))
+    while len(picked) < most and near[at] > 0:
+        picked.append(at)
+        gap = sample - sample[at]
+        np.minimum(near, np.einsum("ij,ij->i", gap, gap), out=near)
+        at = int(np.argmax(near))
+    return sample[picked]
+
+
 def _blocks(scale: float, pivots_of: dict[int, np.ndarray]):
     def run(batches):
         me, made = TaskContext.get().partitionId() << 32, 0
@@ -79,26 +100,44 @@ class Best:
     """The k best of each query of a block so far."""
 
     def __init__(self, query_ids, rows, norms, table, k):
-        self.ids, self.rows, self.norms, self.table, self.k = query_ids, rows, norms, table, k
+        self.ids, self.rows, self.norms, self.k = query_ids, rows, norms, k
+        self.table, self.largest, self.evaluated = np.ascontiguousarray(table.T.astype(np.float32)), table.max(initial=0), 0
         self.found = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in query_ids]
 
+    def caps(self, norms, table) -> np.ndarray:
+        """What no inner product of a query (row) and a candidate (column) can exceed."""
+        largest = max(self.largest, table.max(initial=0))
+        caps = self.norms[:, None] + norms
+        if largest > 1e37:  # beyond single precision
+            return np.full(caps.shape, np.inf)
+        other = np.ascontiguousarray(table.T.astype(np.float32))
+        # Distances are kept in single precision: a bound may come out too large by a few parts in 2^24 of them, and
+        # the squares by a few in 2^50.
+        slack = 8 * 2.0**-24 * largest
+        caps += caps * 2.0**-44 + 2
+        for at in range(0, len(self.ids), TILE):
+            mine = self.table[:, at : at + TILE]
+            bound = np.zeros((mine.shape[1], len(norms)), np.float32)
+            for p in range(len(other)):
+                np.maximum(bound, np.abs(mine[p][:, None] - other[p]), out=bound)
+            caps[at : at + TILE] -= np.maximum(bound.astype(np.float64) - slack, 0) ** 2
+        return caps / 2
+
     def meet(self, ids, rows, norms, table) -> None:
         """Candidates of one block, in the order of their caps."""
-        bound = np.zeros((len(self.ids), len(ids)))
-        for p in range(table.shape[1]):
-            np.maximum(bound, np.abs(self.table[:, p : p + 1] - table[:, p]), out=bound)
-        caps = (self.norms[:, None] + norms - bound * bound) / 2
-        # Distances are rounded: a cap may come out too low by a few parts in 2^50 of the squares.
-        caps += 1 + (self.norms[:, None] + norms) * 2.0**-44
+        caps = self.caps(norms, table)
         whole = rows.shape[1] * max(np.abs(rows).max(initial=0), 1) * max(np.abs(self.rows).max(initial=0), 1) < EXACT
         for q in range(len(self.ids)):
             order = np.argsort(-caps[q], kind="stable")
             scores, names = self.found[q]
-            for at in range(0, len(order), STEP):
+            at, step = 0, STEP
+            while at < len(order):
                 if len(scores) == self.k and caps[q, order[at]] < scores[-1]:
                     break
-                some = order[at : at + STEP]
+                some = order[at : at + step]
+                at, step = at + step, 2 * step
                 some = some[ids[some] != self.ids[q]]
+                self.evaluated += len(some)
                 if whole:
                     new = (rows[some] @ self.rows[q]).astype(np.int64)
                 else:
@@ -116,14 +155,16 @@ def exact_top_k(
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best rows of every query row. is_query is over the column `id`."""
     spark = vectors.sparkSession
+    lean_batches(spark)
     sound = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter(
         F.col("id").isNotNull() & F.col("v").isNotNull()
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     )
     chosen: dict[int, list] = {}
-    for r in sound.orderBy(F.xxhash64("id"), "id").limit(pivots).collect():  # a fixed number of rows
+    for r in sound.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect():  # a fixed number of rows
         chosen.setdefault(len(r.v), []).append(np.floor(scale * np.array(r.v, np.float64)))
-    pivots_of = {d: np.array(x).reshape(len(x), d) for d, x in chosen.items()}
+    # Vectors of a length that the sample lacks have the origin alone.
+    pivots_of = {d: spread_apart(np.array(x).reshape(len(x), d), pivots) for d, x in chosen.items()}
     blocks = written(sound.mapInArrow(_blocks(scale, pivots_of), BLOCKS), "vectors")
     asked = written(sound.filter(is_query).mapInArrow(_blocks(scale, pivots_of), BLOCKS), "queries")
     n = partitions(spark)

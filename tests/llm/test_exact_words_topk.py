@@ -27,7 +27,7 @@ def brute_copies(rows):
 
 
 def test_copies(spark, odd, none, monkeypatch):
-    more = [(100 + k, "a b" if k % 3 else "ab ") for k in range(400)] + [(900, None), (901, " \t"), (902, "Ab")]
+    more = [(100 + k, "a b" if k % 3 else "ab ") for k in range(400)] + [(99, "a b ")] * 40 + [(None, "q")] * 70 + [(900, None), (901, " \t"), (902, "Ab")]
     both = odd.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     for rows in (128, 20):  # without and with hot texts split
         monkeypatch.setattr(exact_dedup, "HOT_ROWS", rows)
@@ -77,6 +77,27 @@ def test_top_k(spark):
     assert top_k.exact_top_k(df.limit(0), F.col("id") % 100 == 0).count() == 0
 
 
+def test_pivots_eliminate(spark):
+    """On vectors in groups the bounds leave few candidates to evaluate, and no cap is below a true product."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 600, (60, 24))
+    rows = np.floor(centres[rng.integers(0, 60, 3000)] + rng.normal(0, 20, (3000, 24)))
+    for data, most in ((rows, 0.25), (np.floor(rng.normal(0, 1e8, (900, 5))), 1.0)):
+        pivots = top_k.spread_apart(data[:1500], 128)
+        table = top_k._distances(data, pivots)
+        norms = table[:, 0] ** 2
+        best = top_k.Best(np.arange(40), data[:40], norms[:40], table[:40], 10)
+        assert (best.caps(norms, table) >= (data[:40].astype(np.int64) @ data.T.astype(np.int64))).all()
+        for at in range(0, len(data), 1024):
+            part = slice(at, at + 1024)
+            best.meet(np.arange(len(data))[part], data[part], norms[part], table[part])
+        assert best.evaluated <= most * 40 * len(data)
+        for q, (scores, names) in enumerate(best.found):
+            want = sorted((-int(s), j) for j, s in enumerate(data.astype(np.int64) @ data[q].astype(np.int64)) if j != q)[:10]
+            assert list(zip(-scores, names)) == want
+    assert len(top_k.spread_apart(np.ones((9, 3)), 5)) == 1 and len(top_k.spread_apart(np.empty((0, 3)), 5)) == 0
+
+
 def test_top_k_query(spark, sf):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
