@@ -3,8 +3,9 @@
 A document's ids are cut into full windows of the sequence length; what is left over (shorter than a window) is
 packed: longest first, each into the open sequence with the least room that still holds it. A segment tree over
 the possible remaining capacities finds that sequence in a number of steps that depends on the window only.
-Pieces are dealt over tasks by a hash, and each task packs its own sequences, so the padding is at most a few open
-sequences a task.
+Pieces are dealt evenly over tasks, whatever they hold, and sorted there by Spark, so that a task places one piece
+after the other and holds no more than its open sequences. Each task packs sequences of its own, so the padding is at
+most a few open sequences a task.
 
 Defined results: null text is empty, so its document is the end id alone; a null id stays null; repeated rows are
 packed once for each row; an empty table gives an empty result; other columns are ignored.
@@ -14,7 +15,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,16 +58,20 @@ class OpenWindows:
         return self.at[room].pop(), room
 
 
-def best_fit_decreasing(lengths: list[int], size: int) -> tuple[list[int], list[int]]:
-    """For each length: its sequence (from 0) and offset there."""
-    windows, sequence, offset, opened = OpenWindows(size), [0] * len(lengths), [0] * len(lengths), 0
-    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        found = windows.take(lengths[i])
+class BestFit:
+    """Places lengths, longest first: each in the open sequence with the least room for it, or in a new one."""
+
+    def __init__(self, size: int):
+        self.windows, self.size, self.opened = OpenWindows(size), size, 0
+
+    def place(self, length: int) -> tuple[int, int]:
+        """(sequence, from 0, and offset there)."""
+        found = self.windows.take(length)
         if found is None:
-            found, opened = (opened, size), opened + 1
-        sequence[i], offset[i] = found[0], size - found[1]
-        windows.put(found[0], found[1] - lengths[i])
-    return sequence, offset
+            found, self.opened = (self.opened, self.size), self.opened + 1
+        sequence, room = found
+        self.windows.put(sequence, room - length)
+        return sequence, self.size - room
 
 
 def pack_documents(
@@ -75,8 +79,10 @@ def pack_documents(
 ) -> DataFrame:
     """doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit) of every piece."""
 
+    n = partitions(docs.sparkSession)
+
     def cut(batches):
-        encoding = byte_level_encoding(tokenizer_path)
+        encoding, dealt = byte_level_encoding(tokenizer_path), TaskContext.get().partitionId() * 7919
         narrow = np.dtype("<u2") if max(encoding.n_vocab, end_id + 1) <= 1 << 16 else np.dtype("<u4")
         for batch in batches:
             names, start, total, parts = [], [], [], []
@@ -87,43 +93,31 @@ def pack_documents(
                     start.append(at)
                     total.append(len(ids))
                     parts.append(ids[at : at + size].tobytes())
+            lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // narrow.itemsize
+            # Pieces go to the tasks in turn: neither equal texts nor equal ids can meet in one.
+            turn = (dealt + np.arange(len(parts))) % (1 << 30)
+            dealt += len(parts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int64()), pa.array(start, pa.int64()), pa.array(total, pa.int64()), pa.array([narrow.itemsize] * len(names), pa.int32()), pa.array(parts, pa.binary())],
-                ["doc_id", "start", "doc_tokens", "width", "part"],
+                [pa.array(names, pa.int64()), pa.array(start, pa.int64()), pa.array(total, pa.int64()), pa.array(lengths), pa.array(turn.astype(np.int32)), pa.array([narrow.itemsize] * len(names), pa.int32()), pa.array(parts, pa.binary())],
+                ["doc_id", "start", "doc_tokens", "length", "turn", "width", "part"],
             )
 
     def packed(batches):
-        me = TaskContext.get().partitionId()
-        table = pa.Table.from_batches(list(batches), schema=PIECES)
-        if not table.num_rows:
-            return
-        width = table.column("width")[0].as_py()
-        lengths = np.array([len(x) for x in table.column("part").to_pylist()], np.int64) // width
-        table = table.append_column("length", pa.array(lengths))
-        table = table.take(pc.sort_indices(table, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")]))
-        lengths = table.column("length").to_pylist()
-        sequence, offset = best_fit_decreasing(lengths, size)
-        first = me << 32
-        for at in range(0, table.num_rows, 512):
-            part = table.slice(at, 512)
-            ids = [np.frombuffer(x, f"<u{width}").astype("<u4").tobytes() for x in part.column("part").to_pylist()]
-            n = part.num_rows
+        fit, first = BestFit(size), TaskContext.get().partitionId() << 32
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            placed = [fit.place(x) for x in batch.column("length").to_pylist()]
+            kind = f"<u{batch.column('width')[0].as_py()}"
+            ids = [np.frombuffer(x.as_py(), kind).astype("<u4").tobytes() for x in batch.column("part")]
             yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id").combine_chunks(), part.column("start").combine_chunks(), part.column("length").combine_chunks(),
-                    part.column("doc_tokens").combine_chunks(), pa.array([first + s for s in sequence[at : at + n]], pa.int64()),
-                    pa.array(offset[at : at + n], pa.int64()), pa.array(ids, pa.binary()),
-                ],
+                [*(batch.column(c) for c in ("doc_id", "start", "length", "doc_tokens")), pa.array([first + s for s, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64()), pa.array(ids, pa.binary())],
                 ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
             )
 
-    pieces = ids_and_text(docs, id_col, text_col).mapInArrow(cut, "doc_id long, start long, doc_tokens long, width int, part binary")
-    dealt = pieces.repartition(partitions(docs.sparkSession), F.xxhash64("doc_id", "start", "part"))
+    kind = "doc_id long, start long, doc_tokens long, length long, turn int, width int, part binary"
+    pieces = ids_and_text(docs, id_col, text_col).mapInArrow(cut, kind)
+    dealt = pieces.repartition(n, "turn").sortWithinPartitions(F.desc("length"), "doc_id", "start").drop("turn")
     return dealt.mapInArrow(
         packed, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
     )
-
-
-PIECES = pa.schema([
-    ("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("width", pa.int32()), ("part", pa.binary()),
-])
