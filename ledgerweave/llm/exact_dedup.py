@@ -1,9 +1,11 @@
 """Exact copies by sorting whole contents, with DataFrame operators only.
 
 Sampled splitters deal the normalised texts over ranges, each range is sorted externally, and neighbours with the
-same full text form a group (a window over the sorted range; nothing is compared by a digest). A text that many
-rows share would fill one range, so the rows of every hot text carry a salt that splits them; the texts of their
-few winners are then compared again in full. Hot texts are counted exactly, with partial sums before the shuffle.
+same full text form a group (a window over the sorted range; membership is never decided by a digest there). Ranges
+are cut and sorted by a head of the text, a hash, then the whole text. A text that many rows share would fill one
+range, so the rows of every hot text are dealt over parts in turn; the texts of the parts' few winners are then
+compared again in full, and the parts' rows find their winner by the SHA-256 of the text. Hot texts are counted
+exactly, with partial sums before the shuffle.
 
 Of a group, the row with the most code points in its original text stays, then the smallest doc_id (nulls last).
 
@@ -45,7 +47,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     salted = rows.join(F.broadcast(hot), F.xxhash64("norm") == F.col("hot_key"), "left").select(
         "doc_id", "norm", "points", *(["row"] if carry else []), F.col("salts").isNotNull().alias("hot"),
         F.substring("norm", 1, HEAD).alias("head"), F.xxhash64("norm").alias("tag"),
-        F.coalesce(F.pmod(F.xxhash64("doc_id", "points"), F.col("salts")), F.lit(0)).alias("salt"),
+        F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("salts")), F.lit(0)).alias("salt"),
     )
     # Ranges are cut by the head of the text and a hash: only those are sampled for the splitters, not whole texts.
     ranged = salted.repartitionByRange(n, "head", "tag", "salt")
@@ -53,24 +55,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     best = group.orderBy(F.desc("points"), F.asc_nulls_last("doc_id"))
     local = ranged.select(
         "doc_id", *(["row"] if carry else []), "hot", F.first("doc_id").over(best).alias("best_id"), F.first("points").over(best).alias("best_points"),
-        F.count(F.lit(1)).over(group).alias("rows"), F.row_number().over(best).alias("place"), "norm",
+        F.count(F.lit(1)).over(group).alias("rows"), F.row_number().over(best).alias("place"), "norm", "salt",
     )
     # Only the winners of hot texts keep their text for the second comparison.
     local = local.withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256)).withColumn(
         "norm", F.when(F.col("hot") & (F.col("place") == 1), F.col("norm"))
     )
     local = written(local, "exact")
-    winner = F.min(F.struct((-F.col("best_points")).alias("points"), F.col("best_id").isNull().alias("no_id"), F.col("best_id").alias("id")))
+    winner = F.min(F.struct((-F.col("best_points")).alias("points"), F.col("best_id").isNull().alias("no_id"), F.col("best_id").alias("id"), F.col("salt").alias("part")))
     merged = (
         local.filter("hot and place = 1").groupBy("norm").agg(winner.alias("w"), F.sum("rows").alias("all_rows"), F.first("text_sha256").alias("of"))
-        .select("of", F.col("w.id").alias("hot_id"), (-F.col("w.points")).alias("hot_points"), "all_rows")
+        .select("of", F.col("w.id").alias("hot_id"), F.col("w.part").alias("hot_part"), "all_rows")
     )
     joined = local.drop("norm").join(F.broadcast(merged), F.col("hot") & (F.col("text_sha256") == F.col("of")), "left")
     is_hot = F.col("of").isNotNull()
     return joined.select(
         "doc_id", F.when(is_hot, F.col("hot_id")).otherwise(F.col("best_id")).alias("keep_id"),
         F.coalesce("all_rows", "rows").cast("long").alias("group_size"),
-        ((F.col("place") == 1) & (~is_hot | (F.col("best_id").eqNullSafe(F.col("hot_id")) & (F.col("best_points") == F.col("hot_points"))))).alias("kept"),
+        ((F.col("place") == 1) & (~is_hot | (F.col("salt") == F.col("hot_part")))).alias("kept"),
         "text_sha256", *(["row"] if carry else []),
     )
 
