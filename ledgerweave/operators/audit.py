@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ledgerweave.config import EXCEPTION
+from ledgerweave.sources.files import exists
 
 #: The hash before a chain's first entry, and the separator of the hashed fields.
 GENESIS, SEPARATOR = "0" * 64, "\u001f"
@@ -26,8 +27,7 @@ def entry_hash(previous: Column) -> Column:
 
 def fingerprint(spark: SparkSession, paths: list[str], variant: str = "") -> DataFrame:
     """One row `fingerprint`: of the files' contents, whatever their names and order, and of the run's variant. Absent files are skipped."""
-    fs = spark._jvm.org.apache.hadoop.fs
-    there = [p for p in paths if fs.FileSystem.get(spark._jvm.java.net.URI(p), spark._jsc.hadoopConfiguration()).exists(fs.Path(p))]
+    there = [p for p in paths if exists(spark, p)]
     if not there:
         digests = spark.range(1).select(F.lit("").alias("all"))
     else:

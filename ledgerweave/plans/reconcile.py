@@ -114,7 +114,7 @@ def reconcile(settlement: DataFrame, bank: DataFrame, config: ReconcileConfig =
         claims.append(rows.select("scope", "row_id", "txn_id", F.lit(ADJUDICATED).alias("tier"), F.lit(turn).alias("round")))
         free = free.join(rows, ["scope", "row_id"], "left_anti")
 
-    all_claims = cut(_union(claims, spark, CLAIMS), "claims")
+    all_claims = _union(claims, spark, CLAIMS)  # over written tables
     matched = _union(matches, spark, MATCH)
     members = all_claims.groupBy("scope", "txn_id").agg(F.sort_array(F.collect_list("row_id")).alias("row_ids"))
     matched = matched.join(members, ["scope", "txn_id"]).withColumn("exception_type", F.lit(None).cast("string")).select(*classify.RESULT)

@@ -114,7 +114,7 @@ _KEPT: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
 def _base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """settlement_v and bank_v of a directory as written tables, made once in an application."""
+    """settlement_v and bank_v of a directory as written tables, made once in an application: its tables must not change meanwhile."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _KEPT:
         _KEPT[key] = _derived(spark, sf_dir)

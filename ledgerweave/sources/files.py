@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +26,13 @@ class Parsed:
     quarantine: DataFrame
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) is not None and bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path, or a pattern of paths, names anything."""
+    try:
+        spark.read.text(path)
+    except AnalysisException:
+        return False
+    return True
 
 
 def _records(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
@@ -126,7 +131,7 @@ def read_bank(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_orders(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A missing file reads as an empty table."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         empty = spark.createDataFrame([], ", ".join(f"{c} string" for c in ORDERS) + ", raw string, line_no long, width_ok boolean")
         return _split("orders", empty, order_reason(), typed_orders())
     return _split("orders", _records(spark, path, ORDERS), order_reason(), typed_orders())
