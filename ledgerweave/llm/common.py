@@ -85,15 +85,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-#: Rows that go to a Python worker at a time.
-BATCH_ROWS = 1000
+#: Rows and bytes that go to a Python worker at a time, at most.
+BATCH_ROWS, BATCH_BYTES = 250, 32 << 20
 
 
 def lean_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at a time: documents are long, and Spark counts rows, not bytes."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """Bound what a Python worker holds at a time: documents are long, and Spark's own bounds are for short rows.
+
+    These are settings of the session, and stay: results are computed later than they are asked for.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
 
 
 def ids_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ sets with 0.8 of their union in common miss all tables with a probability under
    documents of one map task, so that a hot key reaches the next task as one row a map task, then over all.
 3. Those ties are confirmed on full sets; confirmed links give preliminary components.
 4. Only keys whose members still lie in several components can hold a link that matters. Their members meet in
-   blocks of bounded size; pairs of different components whose minima agree as far as a link allows tie those
+   blocks of bounded size, but blocks of one large component never meet each other; pairs of different components whose minima agree as far as a link allows tie those
    components into clusters, told by spanning trees.
 5. The full sets of each cluster meet in blocks: every pair of different components is tested there.
 
@@ -27,7 +27,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Steps, ids_and_text, joined_hot, partitions, written
@@ -310,6 +310,27 @@ def _confirmed(similarity_percent: int):
     return run
 
 
+def _in_blocks(members: DataFrame, key: str, weight: Column) -> DataFrame:
+    """members (key, comp, cid, ...) with lo, hi, block: the pairs of blocks of a key that each takes part in.
+
+    Blocks hold about BLOCK members and WEIGHT of weight. A component that fills a block has blocks of its own, which
+    don't meet each other: its members hold together already. So a large group of copies costs in proportion to its
+    size, not to the square of it.
+    """
+    large = (F.col("n") >= BLOCK) | (F.col("w") >= WEIGHT)
+    parts = members.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w"))
+    parts = parts.select(key, "comp", large.alias("large"), F.when(large, F.col("comp")).otherwise(F.lit(0)).alias("part"), "n", "w")
+    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.sum("w") / WEIGHT)).cast("long")
+    sizes = parts.groupBy(key, "large", "part").agg(blocks.alias("blocks"))
+    up_to = Window.partitionBy(key).orderBy("large", "part").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sizes.select("*", (F.sum("blocks").over(up_to) - F.col("blocks")).alias("start"), F.sum("blocks").over(Window.partitionBy(key)).alias("all_blocks"))
+    slots = parts.select(key, "comp", "large", "part").join(sizes, [key, "large", "part"]).drop("part")
+    placed = members.join(slots, [key, "comp"]).withColumn("block", F.col("start") + F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all_blocks") - 1)))
+    placed = placed.filter(~F.col("large") | (F.col("other") < F.col("start")) | (F.col("other") >= F.col("start") + F.col("blocks")))
+    return placed.select(*members.columns, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block")
+
+
 def near_groups(
     docs: DataFrame, words_in_shingle: int = 5, similarity_percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -348,29 +369,17 @@ def near_groups(
         ties.select("key", "cid").distinct().join(first.withColumnRenamed("node", "cid"), "cid", "left")
         .select("key", "cid", F.coalesce("component", "cid").alias("comp")), "members",
     )
-    mixed_keys = member.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("n")).filter("least < most")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
-    open_ = (
-        member.join(mixed_keys.select("key", "n"), "key").withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("long"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cid", "comp")
-    )
-    met = open_.join(reps, "cid").select(*CROSS).repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "cid")
+    several = member.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most")
+    met = _in_blocks(member.join(several, "key", "left_semi"), "key", F.lit(1)).join(reps, "cid").select(*CROSS)
+    met = met.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "cid")
     likely = steps.written(met.mapInArrow(_crossing(share), "a long, b long").distinct(), "likely")
 
     # Clusters of components with likely pairs; the full sets of each meet once, in blocks that bound members and shingles.
     cluster = components(likely, steps).select(F.col("node").alias("comp"), F.col("component").alias("cluster"))
     placed = full.select("cid", "shingles").join(first.withColumnRenamed("node", "cid"), "cid", "left")
     placed = placed.select("cid", F.coalesce("component", "cid").alias("comp"), "shingles").join(cluster, "comp")
-    sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("shingles") / 8).alias("weight"))
-    sizes = sizes.select("cluster", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / WEIGHT)).cast("int").alias("blocks"))
-    spread = (
-        placed.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("long"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cid", "comp", "shingles")
-        .repartition(n, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "cid")
-    )
+    spread = _in_blocks(placed, "cluster", F.length("shingles") / 8).select(*MEET)
+    spread = spread.repartition(n, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "cid")
     joined = components(steps.written(spread.mapInArrow(_meeting(similarity_percent), "a long, b long"), "links-2"), steps)
 
     # Rows of one class belong together; so do classes that share an id.
