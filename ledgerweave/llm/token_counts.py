@@ -29,7 +29,8 @@ CACHE_WORDS = 400_000
 #: The pre-token pattern of the word vocabulary.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words for which normalising and splitting here agrees with the tokenizer: no combining marks, no rare scripts.
-PLAIN = re.compile("[\x21-\x7e\xa1-\xac\xae-ɏ]+").fullmatch
+#: Latin; Greek and Cyrillic in lower case; kana, unified ideographs and Hangul syllables.
+PLAIN = re.compile("[\x21-\x7e\xa1-\xac\xae-\u024f\u03ac-\u03ce\u0430-\u045f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3]+").fullmatch
 #: str.split() takes these as blanks; the tokenizer does not.
 NOT_BLANK = re.compile("[\x1c-\x1f]").search
 

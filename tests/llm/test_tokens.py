@@ -1,5 +1,6 @@
 """Token counts, token files and packing against the tokenizers library, row by row."""
 
+import functools
 import random
 import zlib
 
@@ -49,24 +50,34 @@ def test_counts_on_documents(spark, sf, word):
 def test_counts_on_any_text(text):
     path = P.path("word_bpe_49k.json")
     count = token_counts._counter(path, token_counts_whole())
-    assert count(text) == len(Tokenizer_word().encode(text, add_special_tokens=False).ids)
+    assert count(text) == len(tokenizer("word_bpe_49k.json").encode(text, add_special_tokens=False).ids)
 
 
-_kept = {}
+@pytest.mark.parametrize("lo,hi", [(0x21, 0x7E), (0xA1, 0x24F), (0x3AC, 0x3CE), (0x430, 0x45F), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3)])
+def test_counts_in_every_script_of_the_shortcut(lo, hi):
+    """Single characters of a script, and words mixed with Latin."""
+    rng, count = random.Random(lo), token_counts._counter(P.path("word_bpe_49k.json"), token_counts_whole())
+    texts = [chr(rng.randint(lo, hi)) for _ in range(500)]
+    for _ in range(1500):
+        texts.append("".join(chr(rng.randint(lo, hi)) if rng.random() < 0.8 else chr(rng.randint(0x21, 0x24F)) for _ in range(rng.randint(2, 8))))
+    for text, coded in zip(texts, tokenizer("word_bpe_49k.json").encode_batch(texts, add_special_tokens=False)):
+        assert count(text) == len(coded.ids), text
 
 
+@functools.cache
 def token_counts_whole():
-    return _kept.setdefault("whole", token_counts.whole_tokens(P.path("word_bpe_49k.json")))
+    return token_counts.whole_tokens(P.path("word_bpe_49k.json"))
 
 
-def Tokenizer_word():
-    return _kept.setdefault("word", Tokenizer.from_file(P.path("word_bpe_49k.json")))
+@functools.cache
+def tokenizer(name):
+    return Tokenizer.from_file(P.path(name))
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=40))
 def test_byte_ids_on_any_text(text):
-    byte = _kept.setdefault("byte", Tokenizer.from_file(P.path("byte_bpe_50k.json")))
+    byte = tokenizer("byte_bpe_50k.json")
     assert bpe.encode_ids(bpe.byte_level_encoding(P.path("byte_bpe_50k.json")), text).tolist() == ids_of(byte, text)
 
 
