@@ -380,16 +380,6 @@ def complement_3(spark, sf_dir):
     return pools.solve(asked, "complement").select("pool", "answer").filter(F.size(F.split("answer", ",")) == 3)
 
 
-@query(POOL + """, small AS (SELECT pool, list(amount ORDER BY pos) AS a, CAST(sum(amount) FILTER (WHERE pos % 2 = 0) AS BIGINT) AS target FROM r WHERE n <= 12 GROUP BY pool),
-hit AS (SELECT s.pool, count(m) AS ways FROM small s LEFT JOIN range(1, 4096) t(m) ON m < (1 << len(a)) AND list_sum(list_transform(a, lambda x, i: CASE WHEN (m >> (i - 1)) & 1 = 1 THEN x ELSE 0 END)) = target GROUP BY s.pool)
-SELECT pool, CAST(least(ways, 2) AS INTEGER) AS ways FROM hit WHERE pool IN (SELECT pool FROM small WHERE target > 0)""", ("settlement",))
-def subset_sum_small(spark, sf_dir):
-    rows = pool_rows(spark, sf_dir).filter("n <= 12")
-    asked = rows.groupBy("pool").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "amount"))), lambda x: x["amount"]).alias("amounts"), F.sum(F.when(F.col("pos") % 2 == 0, F.col("amount"))).alias("target"))
-    solved = pools.solve(asked.filter("target > 0"), "subset")
-    return solved.select("pool", F.when(F.col("answer") == "", 0).otherwise(F.size(F.split("answer", r"\|"))).cast("int").alias("ways"))
-
-
 # All sums of each half of a pool, matched on what is missing; declined pools have none.
 SUBSET_WAYS = f""", ask AS (SELECT pool, any_value(n) AS n, CAST(sum(amount) FILTER (WHERE pos % 2 = 0) AS BIGINT) AS target, count(*) FILTER (WHERE amount < 0) AS bad FROM r GROUP BY pool),
 decl AS (SELECT pool, n, target, (n > {ReconcileConfig().subset_safe_rows} OR target <= 0 OR target > 100000000 OR bad > 14) AS declined FROM ask),
@@ -398,11 +388,12 @@ tops AS (SELECT d.pool, half, coalesce(max(k), 0) AS top FROM (SELECT pool, h.ha
 sums AS (WITH RECURSIVE s AS (SELECT pool, half, CAST(0 AS BIGINT) AS k, CAST(0 AS HUGEINT) AS total, CAST(0 AS BIGINT) AS used FROM tops
     UNION ALL SELECT s.pool, s.half, s.k + 1, s.total + c.take * q.amount, s.used + c.take FROM s JOIN ranked q ON q.pool = s.pool AND q.half = s.half AND q.k = s.k + 1, (VALUES (0), (1)) AS c(take)) SELECT s.* FROM s JOIN tops t ON t.pool = s.pool AND t.half = s.half AND t.top = s.k),
 ways AS (SELECT a.pool, count(*) AS ways FROM sums a JOIN decl d ON d.pool = a.pool JOIN sums b ON b.pool = a.pool AND a.half = 0 AND b.half = 1 AND a.total + b.total = d.target AND a.used + b.used > 0 GROUP BY a.pool)
-SELECT d.pool, d.n, CASE WHEN d.declined THEN NULL ELSE CAST(least(coalesce(w.ways, 0), 2) AS INTEGER) END AS ways, d.declined FROM decl d LEFT JOIN ways w ON w.pool = d.pool"""
+SELECT {{columns}} FROM (SELECT d.pool, d.n, d.target, CASE WHEN d.declined THEN NULL ELSE CAST(least(coalesce(w.ways, 0), 2) AS INTEGER) END AS ways, d.declined FROM decl d LEFT JOIN ways w ON w.pool = d.pool)"""
+WAYS = "pool, n, ways, declined"
 BATCH = """, r AS (SELECT concat(scope, '_', settlement_id) AS pool, net_paise AS amount, row_number() OVER (PARTITION BY scope, settlement_id ORDER BY row_id) - 1 AS pos, count(*) OVER (PARTITION BY scope, settlement_id) AS n FROM settlement_v WHERE settlement_id IS NOT NULL)"""
 
 
-@query(BATCH + SUBSET_WAYS, ("settlement",))
+@query(BATCH + SUBSET_WAYS.format(columns=WAYS), ("settlement",))
 def anchored_subset(spark, sf_dir):
     """Every named batch in the order of its row ids, with every other row's sum as the credit."""
     w = tiers.Window.partitionBy("scope", "settlement_id")
@@ -412,7 +403,7 @@ def anchored_subset(spark, sf_dir):
     return pools.subset_ways(asked, ReconcileConfig().subset_safe_rows)
 
 
-@query(POOL + SUBSET_WAYS, ("settlement",))
+@query(POOL + SUBSET_WAYS.format(columns=WAYS), ("settlement",))
 def subset_sum(spark, sf_dir):
     """Every pool, with every other row's sum as the target: solved up to the row gate of the cascade, a declined row beyond it."""
     rows = pool_rows(spark, sf_dir)
@@ -420,6 +411,14 @@ def subset_sum(spark, sf_dir):
     return pools.subset_ways(asked, ReconcileConfig().subset_safe_rows)
 
 
+@query(POOL + SUBSET_WAYS.format(columns="pool, ways") + " WHERE target > 0", ("settlement",))
+def subset_sum_small(spark, sf_dir):
+    """The same for pools with a positive target, without the columns that tell why there is no answer."""
+    rows = pool_rows(spark, sf_dir)
+    positive = rows.groupBy("pool").agg(F.sum(F.when(F.col("pos") % 2 == 0, F.col("amount"))).alias("target")).filter("target > 0")
+    return subset_sum(spark, sf_dir).join(positive.select("pool"), "pool", "left_semi").select("pool", "ways")
+
+
 @query()
 def spurious_match_rate(spark, sf_dir):
     """The day groups, whole and with their refunds; every other row's sum is the target."""
