@@ -6,6 +6,7 @@ import math
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -46,10 +47,12 @@ def test_copies_oracle(spark, sf):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
-def test_words(spark, sf, odd, none):
+@pytest.mark.parametrize("block", [8 << 20, 30_000])
+def test_words(spark, sf, odd, none, monkeypatch, block):
+    monkeypatch.setattr(words_bpe, "BLOCK_BYTES", block)
     path = P.path("byte_bpe_multi_50k.tiktoken")
     e = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
-    for docs in (odd, spark.read.parquet(f"{sf}/documents.parquet")):
+    for docs in (odd, spark.read.parquet(f"{sf}/documents.parquet").coalesce(2)):
         got = words_bpe.decode(words_bpe.encode(docs, path), path).collect()
         want = [(r.doc_id, len(x := e.encode_ordinary(r.text or "")), np.array(x, "<u4").tobytes(), (r.text or "").encode()) for r in docs.collect()]
         assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.n_tokens, bytes(r.ids), bytes(r.decoded))) for r in got)

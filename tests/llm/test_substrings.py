@@ -52,7 +52,9 @@ def test_odd_and_empty(spark, odd, none):
     assert cut.columns == odd.columns and cut.filter("doc_id = 8").first().text == ""
 
 
-def test_query(spark, sf):
+@pytest.mark.parametrize("block", [4 << 20, 60_000])
+def test_query(spark, sf, monkeypatch, block):
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", block)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = [(*r[:4], hashlib.sha256(r[4]).hexdigest(), r[4].decode("utf-8", "ignore")) for r in brute(rows, 400)]
     assert sorted(map(tuple, queries.op8_substring_dedup(spark, sf).collect()), key=repr) == sorted(want, key=repr)
