@@ -4,7 +4,7 @@ Encoding. Documents are split into pre-tokens; a block of documents keeps each o
 positions as numbers into that list. The words are dealt by their hash, so that a task sees all blocks' copies of
 a word, encodes each distinct word once, and sends the ids back to the blocks, where the documents are put together
 by position. Words and ids travel in packed rows: one for each block and hash bucket that it has words of. The
-number of buckets is the number of shuffle partitions, so packed rows never outnumber a block's distinct words.
+buckets of a task come one after the other, so each distinct word is encoded exactly once.
 
 Decoding looks ids up in the table of token bytes, whose size the vocabulary bounds.
 
@@ -30,8 +30,8 @@ from .common import bucketed, ids_and_text, partitions
 
 #: Bytes of text after which a block of documents is closed.
 BLOCK_BYTES = 8 << 20
-#: Distinct words a task of the encoding stage remembers at a time.
-CACHE_WORDS = 200_000
+#: Hash buckets of words for each task that encodes them; it holds one bucket's distinct words at a time.
+FINE = 4
 
 
 def _words_blob(words: list[bytes]) -> bytes:
@@ -110,10 +110,12 @@ def _encoded(rank_path: str, pattern: str):
     """Each distinct word of a bucket is encoded once; out go the ids of every block's words, in order."""
 
     def run(batches):
-        encoding, known = rank_encoding(rank_path, pattern), {}
+        encoding, known, of = rank_encoding(rank_path, pattern), {}, None
         for batch in batches:
             ids_out = []
-            for blob in batch.column("blob"):
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob")):
+                if bucket != of:  # all copies of a word lie in one bucket, and buckets come one after the other
+                    known, of = {}, bucket
                 ids = []
                 for word in _blob_words(blob.as_py()):
                     got = known.get(word)
@@ -123,8 +125,6 @@ def _encoded(rank_path: str, pattern: str):
                     ids.append(got)
                 counts = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
                 ids_out.append(zstandard.compress(np.uint32(len(ids)).tobytes() + counts.tobytes() + b"".join(ids), 1))
-                if len(known) > CACHE_WORDS:
-                    known.clear()
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(ids_out, pa.binary())], ["block", "bucket", "ids"])
 
     return run
@@ -170,11 +170,11 @@ def _assembled(batches):
 def encode(docs: DataFrame, rank_path: str, pattern: str = GPT_PATTERN, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) of every document."""
     n = partitions(docs.sparkSession)
-    blocks = bucketed(ids_and_text(docs, id_col, text_col).mapInArrow(_blocks(pattern, n), BLOCK_SCHEMA), "block", n, "word_blocks")
+    blocks = bucketed(ids_and_text(docs, id_col, text_col).mapInArrow(_blocks(pattern, n * FINE), BLOCK_SCHEMA), "block", n, "word_blocks")
     words = blocks.select("block", F.explode(F.arrays_zip("buckets", "words")).alias("w")).select(
         "block", F.col("w.buckets").alias("bucket"), F.col("w.words").alias("blob")
     )
-    coded = words.repartition(n, "bucket").mapInArrow(_encoded(rank_path, pattern), "block long, bucket int, ids binary")
+    coded = words.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_encoded(rank_path, pattern), "block long, bucket int, ids binary")
     back = coded.groupBy("block").agg(F.collect_list(F.struct("bucket", "ids")).alias("coded"))  # a row for each bucket at most
     joined = blocks.select("block", "doc_ids", "doc_words", "flat", "of").join(back, "block", "left")
     return joined.mapInArrow(_assembled, "doc_id long, n_tokens long, ids binary")
