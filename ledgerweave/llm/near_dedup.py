@@ -326,8 +326,9 @@ def _in_blocks(members: DataFrame, key: str, weight: Column) -> DataFrame:
     sizes = sizes.select("*", (F.sum("blocks").over(up_to) - F.col("blocks")).alias("start"), F.sum("blocks").over(Window.partitionBy(key)).alias("all_blocks"))
     slots = parts.select(key, "comp", "large", "part").join(sizes, [key, "large", "part"]).drop("part")
     placed = members.join(slots, [key, "comp"]).withColumn("block", F.col("start") + F.pmod(F.xxhash64("cid"), F.col("blocks")))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all_blocks") - 1)))
-    placed = placed.filter(~F.col("large") | (F.col("other") < F.col("start")) | (F.col("other") >= F.col("start") + F.col("blocks")))
+    own = lambda x: F.col("large") & (x >= F.col("start")) & (x < F.col("start") + F.col("blocks"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("all_blocks") - 1), lambda x: ~own(x))
+    placed = placed.withColumn("other", F.explode(others))
     return placed.select(*members.columns, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block")
 
 
