@@ -47,7 +47,7 @@ def adjudicate(candidates: DataFrame, policy: Policy = rank_candidates) -> tuple
     all spoilt gets no decision.
     """
     live, decided = candidates, None
-    while live.limit(1).count():
+    while waiting := live.select(*KEY).distinct().count():
         rows = live.select(*KEY, "txn_seq", F.explode("row_ids").alias("row_id"))
         first = rows.groupBy("scope", "row_id").agg(F.min("txn_seq").alias("first"))
         waits = rows.join(first, ["scope", "row_id"]).filter("first < txn_seq").select(*KEY).distinct()
@@ -55,6 +55,8 @@ def adjudicate(candidates: DataFrame, policy: Policy = rank_candidates) -> tuple
         chosen = policy(ready).join(ready.select(*KEY, "cand_no", "row_ids", "delta"), [*KEY, "cand_no"], "left")
         chosen = cut(chosen.select(*KEY, "cand_no", "confidence", "reason", "n_candidates", "row_ids", "delta"), "decisions")
         decided = chosen if decided is None else decided.unionByName(chosen)
+        if chosen.count() == waiting:
+            break
         taken = chosen.select("scope", F.explode("row_ids").alias("row_id"))
         rest = live.join(chosen.select(*KEY), KEY, "left_anti")
         spoilt = rest.select(*KEY, "cand_no", F.explode("row_ids").alias("row_id")).join(taken, ["scope", "row_id"], "left_semi").select(*KEY, "cand_no").distinct()
