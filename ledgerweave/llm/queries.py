@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, near_dedup, packing, quality, substring_dedup, token_counts, token_files, top_k, words_bpe
+from . import exact_dedup, language_id, lexical_search, manifest, near_dedup, packing, quality, sharding, substring_dedup, token_counts, token_files, top_k, words_bpe
 from .common import documents
 
 
@@ -64,6 +64,26 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row.doc_id", "score", "text_score", "meta_score", "kept")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.sharded(documents(spark, sf_dir), shards=16)
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("position").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        F.col("slot").alias("virtual_slot"),
+    )
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    more = (F.col("n_chars").cast("decimal(20)") + 1).cast("string")
+    altered = {"n_chars": F.when(touched, more).otherwise(F.col("n_chars").cast("string"))}
+    return manifest.manifest(docs, altered=altered).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
@@ -75,5 +95,11 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_words_bpe": op9_words_bpe,
     "op10_top_k": op10_top_k,
+    "op11_sharding": op11_sharding,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_manifest": op13_manifest,
 }
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op10_top_k": top_k.ORACLE}
+ORACLES = {
+    "op2_exact_dedup": exact_dedup.ORACLE, "op10_top_k": top_k.ORACLE, "op11_sharding": sharding.ORACLE, "op12_lexical_search": lexical_search.ORACLE,
+    "op13_manifest": manifest.ORACLE,
+}
