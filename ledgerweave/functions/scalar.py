@@ -81,6 +81,11 @@ def collision_risk(hypotheses: Column, spread: Column) -> Column:
     return F.when(spread <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), hypotheses.cast("double") / spread))
 
 
+def collision_risk_sql(hypotheses: str, spread: str) -> str:
+    """The same as an SQL text, for projections of many columns."""
+    return f"CASE WHEN {spread} <= 0 THEN 1.0D ELSE least(1.0D, CAST({hypotheses} AS DOUBLE) / ({spread})) END"
+
+
 def exception_action(c: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in ACTIONS.items() for x in pair])[c]
 

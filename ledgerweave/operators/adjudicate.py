@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.config import REASONS
@@ -41,28 +41,31 @@ Policy = Callable[[DataFrame], DataFrame]
 def adjudicate(candidates: DataFrame, policy: Policy = rank_candidates) -> tuple[DataFrame, DataFrame]:
     """Decisions of a policy in statement order, and the rows they claim.
 
-    candidates: a written table scope, txn_id, txn_seq, cand_no, row_ids, delta, lag, n_rows; none of the rows is claimed yet. A line
-    is decided once no undecided earlier line has one of its rows among its candidates; a chosen candidate's rows
-    spoil the candidates of later lines. Each round decides every such line at once. A line whose candidates are
-    all spoilt gets no decision.
+    candidates: a written table scope, txn_id, txn_seq, cand_no, row_ids, delta, lag, n_rows; none of the rows is claimed yet.
+    A chosen candidate's rows spoil the candidates of later lines that hold one of them; a line whose candidates
+    are all spoilt gets no decision. All lines are decided at once, then those again whose spoilt candidates change
+    by the decisions of earlier lines, until none do. A line that only shares rows with others costs no round: the
+    number of rounds is the length of the longest chain of lines that change each other's decision.
     """
-    live, decided = candidates, None
-    while waiting := live.select(*KEY).distinct().count():
-        rows = live.select(*KEY, "txn_seq", F.explode("row_ids").alias("row_id"))
-        first = rows.groupBy("scope", "row_id").agg(F.min("txn_seq").alias("first"))
-        waits = rows.join(first, ["scope", "row_id"]).filter("first < txn_seq").select(*KEY).distinct()
-        ready = live.join(waits, KEY, "left_anti")
-        chosen = policy(ready).join(ready.select(*KEY, "cand_no", "row_ids", "delta"), [*KEY, "cand_no"], "left")
-        chosen = cut(chosen.select(*KEY, "cand_no", "confidence", "reason", "n_candidates", "row_ids", "delta"), "decisions")
-        decided = chosen if decided is None else decided.unionByName(chosen)
-        if chosen.count() == waiting:
+    shape = candidates.select(*KEY, "cand_no", "row_ids", "delta")
+    rows = candidates.select(*KEY, "txn_seq", "cand_no", F.explode("row_ids").alias("row_id"))
+
+    def decide(live: DataFrame) -> DataFrame:
+        chosen = policy(live).join(shape, [*KEY, "cand_no"], "left")
+        return chosen.select(*KEY, "cand_no", "confidence", "reason", "n_candidates", "row_ids", "delta")
+
+    decided, spoilt = cut(decide(candidates), "decisions"), candidates.select(*KEY, "cand_no").limit(0)
+    while True:
+        taken = rows.join(decided.filter("row_ids is not null").select(*KEY, "cand_no"), [*KEY, "cand_no"], "left_semi").groupBy("scope", "row_id").agg(F.min("txn_seq").alias("taker"))
+        now = rows.join(taken, ["scope", "row_id"]).filter("taker < txn_seq").select(*KEY, "cand_no", F.lit(True).alias("now")).distinct()
+        seen = Observation()
+        both = now.join(spoilt.select(*KEY, "cand_no", F.lit(True).alias("was")), [*KEY, "cand_no"], "full")
+        both = cut(both.observe(seen, F.count_if(F.col("now").isNull() | F.col("was").isNull()).alias("n")), "spoilt")
+        if not seen.get["n"]:
             break
-        taken = chosen.select("scope", F.explode("row_ids").alias("row_id"))
-        rest = live.join(chosen.select(*KEY), KEY, "left_anti")
-        spoilt = rest.select(*KEY, "cand_no", F.explode("row_ids").alias("row_id")).join(taken, ["scope", "row_id"], "left_semi").select(*KEY, "cand_no").distinct()
-        live = cut(rest.join(spoilt, [*KEY, "cand_no"], "left_anti"), "candidates")
-    if decided is None:
-        decided = policy(candidates.limit(0)).join(candidates.limit(0).select(*KEY, "cand_no", "row_ids", "delta"), [*KEY, "cand_no"], "left")
+        again, spoilt = both.filter("now is null or was is null").select(*KEY).distinct(), both.filter("now").select(*KEY, "cand_no")
+        live = candidates.join(again, KEY, "left_semi").join(spoilt, [*KEY, "cand_no"], "left_anti")
+        decided = cut(decided.join(again, KEY, "left_anti").unionByName(decide(live)), "decisions")
     return decided, decided.filter("row_ids is not null").select("scope", "txn_id", F.explode("row_ids").alias("row_id"))
 
 

@@ -16,6 +16,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ledgerweave.config import EXCEPTION
 from ledgerweave.sources.files import exists
 
+from .order import positions
+
 #: The hash before a chain's first entry, and the separator of the hashed fields.
 GENESIS, SEPARATOR = "0" * 64, "\u001f"
 FIELDS = ("recorded_at", "kind", "subject", "payload")
@@ -42,27 +44,36 @@ def existing_run(runs: DataFrame, fingerprints: DataFrame) -> DataFrame:
     return runs.join(fingerprints, "fingerprint", "left_semi")
 
 
-def audit_records(results: DataFrame, quarantine: DataFrame | None = None) -> DataFrame:
-    """scope, ord, kind, subject, payload (JSON, keys in order): quarantined records first, then results."""
+#: The order of the quarantined files in the log.
+SOURCES = ["settlement_report", "bank_statement", "orders"]
+
+
+def audit_records(results: DataFrame, bank: DataFrame, quarantine: DataFrame | None = None) -> DataFrame:
+    """scope, file, line, kind, subject, payload (JSON, keys in order): quarantined records by file and line first, then results in statement order.
+
+    bank: scope, txn_id, txn_seq. A quarantine without a scope counts as scope 0.
+    """
     payload = F.to_json(
         F.struct(
             "candidates_considered", F.round("confidence", 3).alias("confidence"), "delta_paise", "exception_type", "reason", F.col("row_ids").alias("rows"), "tier"
         ), {"ignoreNullFields": "false"},
     )
     kind = F.when(F.col("tier") == EXCEPTION, "exception").otherwise("match")
-    out = results.select("scope", F.lit(1).alias("ord"), kind.alias("kind"), F.col("txn_id").alias("subject"), payload.alias("payload"))
+    placed = results.join(bank.select("scope", "txn_id", "txn_seq"), ["scope", "txn_id"])
+    out = placed.select("scope", F.lit(len(SOURCES)).alias("file"), F.col("txn_seq").alias("line"), kind.alias("kind"), F.col("txn_id").alias("subject"), payload.alias("payload"))
     if quarantine is None:
         return out
+    scope = F.coalesce(F.col("scope"), F.lit(0)) if "scope" in quarantine.columns else F.lit(0)
     bad = quarantine.select(
-        F.lit(0).cast("long").alias("scope"), F.lit(0).alias("ord"), F.lit("quarantine").alias("kind"), F.concat_ws(":", "source", F.col("line_no").cast("string")).alias("subject"),
-        F.to_json(F.struct(F.substring("raw", 1, 200).alias("raw"), "reason")).alias("payload"),
+        scope.cast("long").alias("scope"), (F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source")) - 1).cast("int").alias("file"), F.col("line_no").alias("line"), F.lit("quarantine").alias("kind"),
+        F.concat_ws(":", "source", F.col("line_no").cast("string")).alias("subject"), F.to_json(F.struct(F.substring("raw", 1, 200).alias("raw"), "reason")).alias("payload"),
     )
     return bad.unionByName(out)
 
 
 def numbered(records: DataFrame, chain: str = "scope") -> DataFrame:
-    """records with seq, from 1 in each chain."""
-    return records.withColumn("seq", F.row_number().over(Window.partitionBy(chain).orderBy("ord", "subject")).cast("long"))
+    """records with seq, from 1 in each chain, in their order; no task holds a chain."""
+    return positions(records, chain, ["file", "line", "subject"], "seq")
 
 
 def chain_append(entries: DataFrame, chain: str = "chain_id") -> DataFrame:

@@ -31,12 +31,6 @@ def settlement_groups(settlement: DataFrame, claims: DataFrame | None = None) ->
     )
 
 
-def free_groups(free: DataFrame, days: DataFrame) -> DataFrame:
-    """settlement_groups from rows that are known to be available and the batches' days."""
-    sums = free.filter("settlement_id is not null").groupBy("scope", "settlement_id").agg(F.count(F.lit(1)).alias("n"), F.sum("net_paise").alias("net"))
-    return sums.join(days, ["scope", "settlement_id"])
-
-
 def utr_map(settlement: DataFrame) -> DataFrame:
     """Distinct (scope, utr, settlement_id) of the rows that have both."""
     return settlement.filter("utr is not null and settlement_id is not null").select("scope", "utr", "settlement_id").distinct()

@@ -1,41 +1,22 @@
-"""Arithmetic candidates: named batches first, then day pools, replayed in order on small islands.
-
-A line of this tier can only meet batches and pools within the window of its date, so lines whose dates are more
-than two windows apart never meet. Those islands are formed by windows, get just the rows of their named batches
-and pools by a join on days, and are replayed in the order of the statement; the arithmetic itself is in arith.
-Pools too large for either gate are sent as totals, since nothing but their whole may be taken.
-"""
+"""Pools of a settle date without a batch: sets of whole days, held-back rows, exact subsets, nearest day first."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerweave.config import ReconcileConfig
-from ledgerweave.storage import cut
+from ledgerweave.functions.scalar import collision_risk_sql
 
 from .arith import MOST_NEGATIVE, MOST_TARGET, complement, subsets
-from .index import day_pools
-from .tiers import named_batches
+from .index import day_pools_in_window
 
 #: Days that may be taken together.
 MOST_DAYS = 4
-FOUND = (
-    "scope long, txn_id string, cand_no int, strategy string, row_ids array<string>, whole_days array<int>, net long, "
-    "delta long, lag int, risk double, n_rows long, wins boolean, declined boolean"
-)
-
-FOUND_ARROW = pa.schema([
-    ("scope", pa.int64()), ("txn_id", pa.string()), ("cand_no", pa.int32()), ("strategy", pa.string()), ("row_ids", pa.list_(pa.string())),
-    ("whole_days", pa.list_(pa.int32())), ("net", pa.int64()), ("delta", pa.int64()), ("lag", pa.int32()), ("risk", pa.float64()), ("n_rows", pa.int64()),
-    ("wins", pa.bool_()), ("declined", pa.bool_()),
-])
 
 
 def day_masks(window: int) -> list[list[int]]:
@@ -44,64 +25,111 @@ def day_masks(window: int) -> list[list[int]]:
     return [list(c) for k in range(1, MOST_DAYS + 1) for c in combinations(days, k)]
 
 
-def islands(lines: DataFrame, window: int) -> DataFrame:
-    """lines and `island`: a new one starts where the gap to the line before exceeds two windows."""
-    w = Window.partitionBy("scope").orderBy("value_date", "txn_seq")
-    gap = F.datediff("value_date", F.lag("value_date").over(w))
-    start = F.when(gap.isNull() | (gap > 2 * window), 1).otherwise(0)
-    return lines.withColumn("starts", start).withColumn("island", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("starts")
+def combined_days(near: DataFrame, window: int) -> DataFrame:
+    """scope, txn_id, credit_paise, and m (offset of the day from the line's -> n, net, ...), days, spread, hits: the sets of offsets whose whole pools sum to the credit.
 
+    near: scope, txn_id, credit_paise, lag, n, net of every pool in a line's window.
+    """
+    kept = ", ".join(c for c in near.columns if c not in ("scope", "txn_id", "credit_paise", "lag"))
+    entries = F.expr(f"map_from_entries(collect_list(struct(-lag, struct({kept})))) AS m")
+    masks = ", ".join(f"array({', '.join(map(str, m))})" for m in day_masks(window))
+    hits = f"filter(array({masks}), k -> forall(k, d -> map_contains_key(m, d)) AND aggregate(k, 0L, (a, d) -> a + m[d].net) = credit_paise) AS hits"
+    return near.groupBy("scope", "txn_id", "credit_paise").agg(entries, F.expr("sum(net) AS spread"), F.expr("count(1) AS days")).selectExpr("*", hits)
 
-def arithmetic_pass(lines: DataFrame, free: DataFrame, refs: DataFrame, batch_days: DataFrame, config: ReconcileConfig) -> DataFrame:
-    """One pass of the third tier over unresolved lines: a row (FOUND) for each candidate and each declined line.
 
-    free: the available settlement rows; batch_days: scope, settlement_id, group_day.
-    """
-    window = config.date_window_days
-    placed = cut(islands(lines.select("scope", "txn_id", "txn_seq", "value_date", "credit_paise", "narration"), window), "islands")
-    spans = placed.groupBy("scope", "island").agg(F.min("value_date").alias("first"), F.max("value_date").alias("last"))
-    days = spans.select("scope", "island", F.explode(F.sequence(F.date_sub("first", window), F.date_add("last", window))).alias("day"))
-
-    named = named_batches(placed, refs).join(batch_days.withColumnRenamed("group_day", "day"), ["scope", "settlement_id"])
-    named = named.filter(F.abs(F.datediff("value_date", "day")) <= window)
-    batches = named.groupBy("scope", "txn_id").agg(F.sort_array(F.collect_list(F.struct("utr_pos", "settlement_id"))).alias("named"))
-    asked = placed.join(batches, ["scope", "txn_id"], "left").select(
-        "scope", "island", "txn_id", "txn_seq", F.unix_date("value_date").alias("day"), "credit_paise", F.col("named.settlement_id").alias("named")
-    )
-    in_batches = free.join(named.select("scope", "settlement_id", "island", "day").distinct(), ["scope", "settlement_id"])
-    loose = free.filter("settlement_id is null").withColumnRenamed("settled_on", "day").join(days, ["scope", "day"])
-    pools = day_pools(free).select("scope", F.col("settled_on").alias("day"), F.col("n").alias("pool_n"), F.col("net").alias("pool_net"))
-    n = F.col("pool_n").cast("double")
-    small = (F.col("pool_n") <= config.subset_safe_rows) | ((1 + n + n * (n - 1) / 2 + n * (n - 1) * (n - 2) / 6) <= config.max_collision_risk * F.greatest("pool_net", F.lit(1)))
-    large = pools.filter(~small).join(days, ["scope", "day"])
-    loose = loose.join(pools.filter(small).select("scope", "day"), ["scope", "day"], "left_semi")
-    row = lambda d, key, rid, seq, net, many: d.select("scope", "island", key.alias("settlement_id"), F.unix_date("day").alias("day"), rid.alias("row_id"), seq.alias("row_seq"), net.alias("net"), many.alias("rows"))  # noqa: E731, E501
-    one, none = F.lit(1).cast("long"), F.lit(None).cast("string")
-    rows = (
-        row(in_batches, F.col("settlement_id"), F.col("row_id"), F.col("row_seq"), F.col("net_paise"), one)
-        .unionByName(row(loose, none, F.col("row_id"), F.col("row_seq"), F.col("net_paise"), one))
-        .unionByName(row(large, none, none, F.lit(0).cast("long"), F.col("pool_net"), F.col("pool_n")))
-    )
-    keys, n = ["scope", "island"], int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.toDF(*rows.columns)  # columns of its own: both sides come from the same lines
-    # Islands hold few bytes and much work: the number of tasks is set, so that it isn't cut down by their size.
-    asked, rows = asked.repartition(n, *keys), rows.repartition(n, *keys)
-    return asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(lambda a, b: _replay(a, b, config), FOUND)
+#: Of a row of combined_days with one of its hits as `mask`.
+MASK_ROWS = "aggregate(mask, 0L, (a, d) -> a + m[d].n)"
+MASK_RISK = collision_risk_sql("pow(2.0D, days)", "greatest(spread, 1)")
 
 
 def day_combinations(lines: DataFrame, pools: DataFrame, window: int = 3) -> DataFrame:
     """scope, txn_id, days (offsets from the value date, joined by a comma), n_rows, risk of every set of whole day pools that sums to the credit."""
-    from ledgerweave.functions.scalar import collision_risk
+    near = day_pools_in_window(lines, pools, window).select("scope", "txn_id", "credit_paise", "lag", "net", "n")
+    hit = combined_days(near, window).selectExpr("*", "explode(hits) AS mask")
+    return hit.selectExpr("scope", "txn_id", "array_join(CAST(mask AS array<string>), ',') AS days", f"{MASK_ROWS} AS n_rows", f"{MASK_RISK} AS risk")
+
+
+#: Risks of a pool of n rows and net in all: of an exact subset, and of leaving out up to three rows.
+SET_RISK = collision_risk_sql("pow(2.0D, n)", "greatest(net, 1)")
+DROP_RISK = collision_risk_sql("1.0D + n + CAST(n AS DOUBLE) * (n - 1) / 2 + CAST(n AS DOUBLE) * (n - 1) * (n - 2) / 6", "greatest(net, 1)")
+
 
-    from .index import day_pools_in_window
+def unsafe(config: ReconcileConfig) -> str:
+    """Whether a pool is too large, for its total, for an exact subset to be evidence."""
+    return f"(n > {config.subset_safe_rows} OR {SET_RISK} > {config.max_collision_risk}D)"
 
-    near = day_pools_in_window(lines, pools, window).groupBy("scope", "txn_id", "credit_paise")
-    near = near.agg(F.map_from_entries(F.collect_list(F.struct(-F.col("lag"), F.struct("net", "n")))).alias("m"), F.sum("net").alias("spread"), F.count(F.lit(1)).alias("days"))
-    masks = F.array(*[F.array(*map(F.lit, m)) for m in day_masks(window)])
-    met = near.withColumn("mask", F.explode(F.filter(masks, lambda k: F.forall(k, lambda d: F.map_contains_key("m", d)))))
-    total = lambda c: F.aggregate("mask", F.lit(0).cast("long"), lambda a, d: a + F.element_at("m", d)[c])
-    hit = met.filter(total("net") == F.col("credit_paise"))
-    return hit.select("scope", "txn_id", F.array_join(F.col("mask").cast("array<string>"), ",").alias("days"), total("n").alias("n_rows"), collision_risk(F.pow(F.lit(2), "days"), F.greatest("spread", F.lit(1))).alias("risk"))
+
+def _way(amounts: np.ndarray, target: int, may_drop: bool, may_set: bool, most: int) -> list[list[int]] | None:
+    """The positions kept: all but the dropped ones, else up to two exact subsets."""
+    if may_drop:
+        drop = complement(amounts, target, most)
+        if drop is not None and len(drop) < len(amounts):
+            return [[-1, *(i for i in range(len(amounts)) if i not in drop)]]
+    return [list(s) for s in subsets(amounts, target)] or None if may_set else None
+
+
+def _judged(pairs: DataFrame, rows, config: ReconcileConfig, ask: str) -> DataFrame:
+    """pairs (a line and a day) and, where asked, how and kept: what of the day's rows is the credit. Only pools that pass a gate, and hold enough, meet their rows."""
+    most = config.max_complement_drop
+
+    @F.pandas_udf("array<array<int>>")
+    def way(amounts: pd.Series, target: pd.Series, may_drop: pd.Series, may_set: pd.Series) -> pd.Series:
+        return pd.Series([_way(a, int(t), d, s, most) for a, t, d, s in zip(amounts, target, may_drop, may_set)], dtype=object)
+
+    pairs = pairs.selectExpr(
+        "*", f"{unsafe(config)} AS unsafe", f"{DROP_RISK} AS drop_risk", f"{SET_RISK} AS set_risk", f"{ask} AND net > credit_paise AND {DROP_RISK} <= {config.max_collision_risk}D AS may_drop",
+        f"{ask} AND plus >= credit_paise AND NOT {unsafe(config)} AS may_set",
+    )
+    held = rows(pairs.filter("may_drop or may_set").select("scope", "txn_id", "day", "txn_seq", "credit_paise", "may_drop", "may_set"))
+    held = held.groupBy("scope", "txn_id", "day", "credit_paise", "may_drop", "may_set").agg(F.expr("sort_array(collect_list(struct(row_seq, row_id, net_paise))) AS pool"))
+    held = held.withColumn("way", way(F.expr("pool.net_paise"), "credit_paise", "may_drop", "may_set")).filter("way is not null")
+    # Positions of held-back ways come after a -1.
+    held = held.selectExpr(
+        "scope", "txn_id", "day", "if(way[0][0] = -1, 'drop', 'set') AS how",
+        "transform(way, one -> transform(filter(one, i -> i >= 0), i -> named_struct('row_id', pool[i].row_id, 'net_paise', pool[i].net_paise))) AS kept",
+    )
+    return pairs.drop("may_drop", "may_set").join(held, ["scope", "txn_id", "day"], "left")
+
+
+PLACED = ["scope", "txn_id", "txn_seq", "credit_paise", "day", "lag", "n", "net", "plus"]
+
+
+def near_pools(near: DataFrame, rows, config: ReconcileConfig) -> DataFrame:
+    """The pools in each line's window, a row for each (PLACED) with its place, nearest first; on the first m, days, spread and hits (combined_days).
+
+    Where no set of whole days is the credit, the nearest day is judged at once: how and kept.
+    near: PLACED. rows: a function that adds a pool's rows (row_seq, row_id, net_paise) to such pairs.
+    """
+    line = combined_days(near.select(*PLACED), config.date_window_days)
+    order = "posexplode(array_sort(transform(map_entries(m), e -> struct(abs(e.key) AS far, e.value.day AS day, -e.key AS lag, e.value AS p)))) AS (at, e)"
+    pairs = line.selectExpr("scope", "txn_id", "credit_paise", "m", "days", "spread", "hits", order).selectExpr(
+        "scope", "txn_id", "e.p.txn_seq", "credit_paise", "e.day", "e.lag", "e.p.n", "e.p.net", "e.p.plus", "at + 1 AS place",
+        *(f"if(at = 0, {c}, null) AS {c}" for c in ("m", "days", "spread", "hits")), "size(hits) = 0 AS open",
+    )
+    return _judged(pairs, rows, config, "open AND place = 1")
+
+
+def nearest_first(near: DataFrame, rows, config: ReconcileConfig) -> DataFrame:
+    """Day pools tried one by one, nearest first: scope, txn_id, day (null: none yields), lag, strategy, members, risk, days_tried, declined.
+
+    A row for each way to the credit of the first day that yields one: all but up to three held-back rows, else an
+    exact subset (two of them stand for any more). declined: a pool tried before was too large for a subset to be
+    evidence. near: near_pools, kept; lines with a set of whole days are left out. The farther days are only joined
+    for lines that the nearest one leaves open.
+    """
+    line = ["scope", "txn_id"]
+    near = near.filter("open").drop("m", "days", "spread", "hits", "open")
+    first = near.filter("place = 1")
+    still = near.filter("place > 1").join(first.filter("how is not null").select(*line), line, "left_anti").drop("unsafe", "drop_risk", "set_risk", "how", "kept")
+    tried = first.unionByName(_judged(still, rows, config, "true"))
+    of_line = "OVER (PARTITION BY scope, txn_id)"
+    tried = tried.selectExpr("*", f"min(if(how is not null, place, null)) {of_line} AS stop", f"count(1) {of_line} AS pools")
+    tried = tried.selectExpr("*", f"max(unsafe AND (stop is null OR place < stop)) {of_line} AS declined").filter("place = coalesce(stop, 1)")
+    return tried.selectExpr(
+        *line, "txn_seq", "if(stop is null, null, day) AS day", "if(stop is null, null, lag) AS lag",
+        "CASE how WHEN 'drop' THEN 'day group minus held-back rows' WHEN 'set' THEN 'exact subset of one settle-date group' END AS strategy", "explode_outer(kept) AS members",
+        "CASE how WHEN 'drop' THEN drop_risk WHEN 'set' THEN set_risk END AS risk", "CAST(coalesce(stop, pools) AS BIGINT) AS days_tried", "declined",
+    )
 
 
 def complement_one(rows: DataFrame, targets: DataFrame) -> DataFrame:
@@ -141,130 +169,3 @@ def subset_ways(pools: DataFrame, most_rows: int) -> DataFrame:
     solved = solve(asked.withColumn("amounts", F.when(F.col("declined"), F.array().cast("array<bigint>")).otherwise(F.col("amounts"))), "subset")
     ways = F.when(F.col("declined"), None).when(F.col("answer") == "", 0).otherwise(F.size(F.split("answer", r"\|")))
     return solved.select("pool", "n", ways.cast("int").alias("ways"), "declined")
-
-
-def whole_pools(found: DataFrame, free: DataFrame) -> DataFrame:
-    """(scope, txn_id, cand_no, row_id) of every candidate; large pools that were taken whole get their rows here."""
-    listed = found.select("scope", "txn_id", "cand_no", F.explode("row_ids").alias("row_id"))
-    days = found.select("scope", "txn_id", "cand_no", F.explode("whole_days").alias("d")).withColumn("settled_on", F.date_from_unix_date("d"))
-    loose = free.filter("settlement_id is null").select("scope", "settled_on", "row_id")
-    return listed.unionByName(days.join(loose, ["scope", "settled_on"]).select("scope", "txn_id", "cand_no", "row_id"))
-
-
-class _Pool:
-    """Rows that may be taken together, in file order."""
-
-    def __init__(self, day: int, rows: list[tuple]):
-        rows.sort(key=lambda r: r[0])
-        _, ids, net, many = zip(*rows)
-        self.day, self.n, self.whole = day, sum(many), None in ids
-        self.ids, self.net = np.array(ids, object), np.array(net, np.int64)
-        self.free = np.ones(len(rows), bool)
-
-    def left(self):
-        return self.ids[self.free], self.net[self.free]
-
-    def size(self) -> int:
-        return self.n if self.whole and self.free.all() else int(self.free.sum())
-
-
-def _risk(hypotheses: float, spread: int) -> float:
-    return 1.0 if spread <= 0 else min(1.0, hypotheses / spread)
-
-
-def _replay(lines: pa.Table, rows: pa.Table, config: ReconcileConfig) -> pa.Table:
-    held: dict[str | int, tuple[int, list]] = {}
-    for sid, day, *row in zip(*(rows.column(c).to_pylist() for c in ("settlement_id", "day", "row_seq", "row_id", "net", "rows"))):
-        held.setdefault(day if sid is None else sid, (day, []))[1].append(tuple(row))
-    pools = {k: _Pool(day, found) for k, (day, found) in held.items()}
-    batches, days = ({k: p for k, p in pools.items() if isinstance(k, kind)} for kind in (str, int))
-    where = {r: (p, k) for p in pools.values() for k, r in enumerate(p.ids) if r is not None}
-    out = []
-    for line in sorted((_Line(**r) for r in lines.drop_columns("island").to_pylist()), key=lambda r: r.txn_seq):
-        found, declined = _anchored(line, batches, config)
-        if not found:
-            found, more = _unattributed(line, days, config)
-            declined = declined or more
-        sole = len(found) == 1
-        for k, c in enumerate(found):
-            out.append((line.scope, line.txn_id, k, *c, sole, declined))
-        if not found and declined:
-            out.append((line.scope, line.txn_id, -1, None, [], [], 0, 0, 0, 0.0, 0, False, True))
-        if sole:
-            for r in found[0][1]:
-                pool, k = where[r]
-                pool.free[k] = False
-            for d in found[0][2]:
-                days.pop(d)
-    columns = zip(*out) if out else [()] * len(FOUND_ARROW)
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND_ARROW)], schema=FOUND_ARROW)
-
-
-@dataclass
-class _Line:
-    scope: int
-    txn_id: str
-    txn_seq: int
-    day: int
-    credit_paise: int
-    named: list[str] | None
-
-
-def _anchored(line, batches, config):
-    found, declined, target = [], False, line.credit_paise
-    for name in line.named if line.named is not None else ():
-        pool = batches.get(name)
-        ids, net = pool.left() if pool else ((), np.empty(0, np.int64))
-        n, total, lag = len(ids), int(net.sum()), int(line.day - pool.day) if pool else 0
-        if n < 2 or total < target:
-            continue
-        take = lambda rows, how, risk: found.append((how, list(rows), [], int(target), 0, lag, risk, len(rows)))  # noqa: E731, B023
-        if total == target:
-            take(ids, "remaining rows of a partly paid batch", 0.0)
-            continue
-        order = np.argsort(ids.astype(str), kind="stable")
-        ids, net = ids[order], net[order]
-        ahead, behind = np.flatnonzero(np.cumsum(net) == target), np.flatnonzero(np.cumsum(net[::-1]) == target)
-        if len(ahead):
-            take(ids[: ahead[0] + 1], "leading slice of the batch", _risk(2 * n, max(total, 1)))
-        elif len(behind):
-            take(ids[n - 1 - behind[0] :], "trailing slice of the batch", _risk(2 * n, max(total, 1)))
-        elif n > config.subset_safe_rows or (risk := _risk(2.0**n, max(total, 1))) > config.max_collision_risk:
-            declined = True
-        else:
-            for rows in subsets(net, target):
-                take(ids[list(rows)], "exact subset of the named batch", risk)
-    return found, declined
-
-
-def _unattributed(line, days, config):
-    found, declined, target, w = [], False, int(line.credit_paise), config.date_window_days
-    near = {d: p for d, p in days.items() if abs(line.day - d) <= w and p.free.any()}
-    totals = {d: int(p.left()[1].sum()) for d, p in near.items()}
-    risk = _risk(2.0 ** len(near), max(sum(totals.values()), 1))
-    for size in range(1, min(len(near), MOST_DAYS) + 1):
-        for combo in combinations(sorted(near), size):
-            if sum(totals[d] for d in combo) == target:
-                listed = [r for d in combo if not near[d].whole for r in near[d].left()[0]]
-                found.append(("whole settle-date groups", listed, [d for d in combo if near[d].whole], target, 0, int(line.day - max(combo)), risk, sum(near[d].size() for d in combo)))
-    if found:
-        return found, declined
-    for d in sorted(near, key=lambda d: (abs(line.day - d), d)):
-        pool, lag = near[d], int(line.day - d)
-        ids, net = pool.left()
-        n, total = pool.size(), totals[d]
-        by_drop = _risk(1.0 + n + n * (n - 1) / 2 + n * (n - 1) * (n - 2) / 6, max(total, 1))
-        if not pool.whole and by_drop <= config.max_collision_risk:
-            drop = complement(net, target, config.max_complement_drop)
-            if drop is not None and len(drop) < n:
-                kept = np.delete(np.arange(n), list(drop))
-                found.append(("day group minus held-back rows", list(ids[kept]), [], target, 0, lag, by_drop, len(kept)))
-                return found, declined
-        if n > config.subset_safe_rows or (risk := _risk(2.0**n, max(total, 1))) > config.max_collision_risk:
-            declined = True
-            continue
-        for rows in subsets(net, target):
-            found.append(("exact subset of one settle-date group", list(ids[list(rows)]), [], target, 0, lag, risk, len(rows)))
-        if found:
-            break
-    return found, declined

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.config import ReconcileConfig
 from ledgerweave.functions.scalar import extract_utrs
+from ledgerweave.storage import cut
+
+from .components import components
 
 
 def named_batches(lines: DataFrame, utr_map: DataFrame) -> DataFrame:
@@ -16,63 +19,81 @@ def named_batches(lines: DataFrame, utr_map: DataFrame) -> DataFrame:
     return refs.join(utr_map, ["scope", "utr"])
 
 
-def exact_edges(lines: DataFrame, groups: DataFrame, utr_map: DataFrame, config: ReconcileConfig) -> DataFrame:
-    """scope, txn_id, txn_seq, day, settlement_id, times, delta, lag: named batches whose available total is the credit."""
-    hits = named_batches(lines, utr_map).join(groups, ["scope", "settlement_id"]).withColumn("lag", F.datediff("value_date", "group_day"))
-    return (
-        hits.filter((F.col("net") == F.col("credit_paise")) & (F.abs("lag") <= config.date_window_days))
-        .groupBy("scope", "txn_id", "txn_seq", F.unix_date("value_date").alias("day"), "settlement_id", "lag").agg(F.count(F.lit(1)).alias("times"), F.lit(0).cast("long").alias("delta"))
-        .select("scope", "txn_id", "txn_seq", "day", "settlement_id", "times", "delta", "lag")
-    )
+def named_in_window(lines: DataFrame, utr_map: DataFrame, batch_days: DataFrame, window: int) -> DataFrame:
+    """The same with `lag` for batches (scope, settlement_id, group_day) whose day is within the window of the line's."""
+    hits = named_batches(lines, utr_map).join(batch_days, ["scope", "settlement_id"]).withColumn("lag", F.datediff("value_date", "group_day"))
+    return hits.filter(F.abs("lag") <= window)
+
+
+def exact_edges(named: DataFrame, groups: DataFrame) -> DataFrame:
+    """scope, txn_id, txn_seq, settlement_id, times, delta, lag: named batches (named_in_window) whose available total is the credit."""
+    hits = named.join(groups.select("scope", "settlement_id", "net"), ["scope", "settlement_id"]).filter(F.col("net") == F.col("credit_paise"))
+    edges = hits.groupBy("scope", "txn_id", "txn_seq", "settlement_id", "lag").agg(F.count(F.lit(1)).alias("times"), F.lit(0).cast("long").alias("delta"))
+    return edges.select(*EDGES)
 
 
-def fuzzy_edges(lines: DataFrame, groups: DataFrame, config: ReconcileConfig) -> DataFrame:
-    """The same for batches within the window and the tolerance; a band join on (scope, day, amount bucket)."""
+def fuzzy_edges(lines: DataFrame, groups: DataFrame, config: ReconcileConfig, few_groups: bool = False) -> DataFrame:
+    """The same for batches within the window and the tolerance; a band join on (scope, day, amount bucket).
+
+    The lines are spread over the days and buckets that may hold their batch; with few_groups the batches are
+    spread instead, so that the lines are only scanned where Spark finds the batches small enough to broadcast.
+    """
     window, tolerance = config.date_window_days, config.amount_tolerance_paise
-    size = tolerance + 1
-    bucket = lambda c: F.floor(F.col(c) / F.lit(float(size))).cast("long")
-    probes = lines.withColumn("group_day", F.explode(F.sequence(F.date_sub("value_date", window), F.date_add("value_date", window))))
-    probes = probes.withColumn("bucket", F.explode(F.array(*[bucket("credit_paise") + k for k in (-1, 0, 1)])))
-    hits = probes.join(groups.withColumn("bucket", bucket("net")), ["scope", "group_day", "bucket"])
-    hits = hits.withColumn("delta", F.col("credit_paise") - F.col("net")).filter(F.abs("delta") <= tolerance)
-    return hits.select("scope", "txn_id", "txn_seq", F.unix_date("value_date").alias("day"), "settlement_id", F.lit(1).cast("long").alias("times"), "delta", F.datediff("value_date", "group_day").alias("lag"))
+    bucket = lambda c: F.floor(F.col(c) / F.lit(float(tolerance + 1))).cast("long")
+    days = lambda c: F.explode(F.sequence(F.date_sub(c, window), F.date_add(c, window)))
+    near = lambda c: F.explode(F.array(*[bucket(c) + k for k in (-1, 0, 1)]))
+    left = lines.select("scope", "txn_id", "txn_seq", "value_date", "credit_paise")
+    right = groups.select("scope", "settlement_id", "group_day", "net")
+    if few_groups:
+        left = left.withColumn("day", F.col("value_date")).withColumn("bucket", bucket("credit_paise"))
+        right = right.withColumn("day", days("group_day")).withColumn("bucket", near("net"))
+    else:
+        left = left.withColumn("day", days("value_date")).withColumn("bucket", near("credit_paise"))
+        right = right.withColumn("day", F.col("group_day")).withColumn("bucket", bucket("net"))
+    hits = left.join(right, ["scope", "day", "bucket"]).withColumn("delta", F.col("credit_paise") - F.col("net")).filter(F.abs("delta") <= tolerance)
+    return hits.select("scope", "txn_id", "txn_seq", "settlement_id", F.lit(1).cast("long").alias("times"), "delta", F.datediff("value_date", "group_day").alias("lag"))
 
 
-EDGE = "scope long, txn_id string, txn_seq long, day int, settlement_id string, times long, delta long, lag int, wins boolean"
+EDGE = "scope long, txn_id string, txn_seq long, settlement_id string, times long, delta long, lag int, wins boolean"
+EDGES = [c.split()[0] for c in EDGE.split(", ")][:-1]
 
 
-def claim_in_order(edges: DataFrame, date_window_days: int = 3) -> DataFrame:
-    """edges and `wins`: whether the line claims the batch in a pass over the lines in order; edges dead by then are left out.
+def claim_in_order(edges: DataFrame) -> DataFrame:
+    """edges and `wins`: whether the line claims the batch in a pass over the lines in order.
 
     A line claims when exactly one of its batches is left. Lines that share no batch with another line are decided
-    by windows alone. Only contested ones are replayed in order. Lines that want the same batch are at most two date
-    windows apart, so a longer gap between contested lines of a scope parts them into islands that are replayed side
-    by side.
+    by windows alone. The others form connected components of lines and batches; those in which some line has just
+    one option are replayed in order, each on its own, and in the rest nobody claims.
     """
-    batch, line = Window.partitionBy("scope", "settlement_id"), Window.partitionBy("scope", "txn_id")
-    seen = edges.withColumn("wanted", F.min("txn_seq").over(batch) != F.max("txn_seq").over(batch))
-    seen = seen.withColumn("contested", F.max("wanted").over(line)).withColumn("options", F.sum("times").over(line)).drop("wanted")
-    clear = seen.filter(~F.col("contested")).withColumn("wins", F.col("options") == 1)
-    names = [c.split()[0] for c in EDGE.split(", ")]
-    in_order = Window.partitionBy("scope").orderBy("day", "txn_seq", "settlement_id")
-    gap = F.col("day") - F.lag("day").over(in_order)
-    islands = seen.filter("contested").withColumn("starts", F.when(gap > 2 * date_window_days, 1).otherwise(0))
-    islands = islands.withColumn("island", F.sum("starts").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    fought = islands.groupBy("scope", "island").applyInPandas(lambda e: _replayed(e[names[:-1]]), EDGE)
-    return clear.select(*names).unionByName(fought)
+    return claimed(edges)[0]
+
+
+def claimed(edges: DataFrame) -> tuple[DataFrame, bool]:
+    """claim_in_order, over written tables, and whether any line wins."""
+    batch, line = "OVER (PARTITION BY scope, settlement_id)", "OVER (PARTITION BY scope, txn_id)"
+    seen = edges.selectExpr("*", f"min(txn_seq) {batch} <> max(txn_seq) {batch} AS wanted").selectExpr(*EDGES, f"max(wanted) {line} AS contested", f"sum(times) {line} AS options")
+    may = Observation()
+    seen = cut(seen.observe(may, F.expr("count_if(contested AND options = 1) AS fought"), F.expr("count_if(NOT contested AND options = 1) AS clear")), "edges")
+    if not may.get["fought"]:
+        return seen.selectExpr(*EDGES, "NOT contested AND options = 1 AS wins"), may.get["clear"] > 0
+    fought = seen.filter("contested")
+    placed = fought.join(components(fought), ["scope", "txn_seq"])
+    live = placed.groupBy("scope", "component").agg(F.min("options").alias("least")).filter("least = 1").selectExpr("scope", "component", "true AS live")
+    placed = placed.join(live, ["scope", "component"], "left")
+    still = placed.filter("live is null").selectExpr(*EDGES, "false AS wins")
+    replayed = placed.filter("live").select(*EDGES, "component").groupBy("scope", "component").applyInPandas(lambda e: _replayed(e[EDGES]), EDGE)
+    clear = seen.filter("not contested").selectExpr(*EDGES, "options = 1 AS wins")
+    return clear.unionByName(cut(still.unionByName(replayed), "contested")), True
 
 
 def _replayed(edges: pd.DataFrame) -> pd.DataFrame:
-    gone, live, wins = set(), [], []
+    gone, wins = set(), pd.Series(False, index=edges.index)
     for _, mine in edges.sort_values(["txn_seq", "settlement_id"]).groupby("txn_seq", sort=True):
-        left = mine[[s not in gone for s in mine.settlement_id]]
-        sole = len(left) == 1 and left.times.iloc[0] == 1
-        live += left.index.tolist()
-        wins += [sole] * len(left)
-        gone.update(left.settlement_id if sole else ())
-    out = edges.loc[live].copy()
-    out["wins"] = pd.Series(wins, index=out.index, dtype=bool)
-    return out[[c.split()[0] for c in EDGE.split(", ")]]
+        left = mine[~mine.settlement_id.isin(gone)]
+        if len(left) == 1 and left.times.iloc[0] == 1:
+            wins[left.index] = True
+            gone.update(left.settlement_id)
+    return edges.assign(wins=wins)
 
 
 def claim_priority(edges: DataFrame) -> DataFrame:

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from ledgerweave.config import ACTIONS, REASONS, ReconcileConfig
 from ledgerweave.functions import scalar as P
-from ledgerweave.operators import adjudicate, anchored, audit, classify, drift, explain, index, pools, score, tiers
+from ledgerweave.operators import adjudicate, anchored, arithmetic, audit, classify, drift, explain, index, pools, score, tiers
+from ledgerweave.plans.directory import read as read_store
+from ledgerweave.plans.directory import reconcile_directory
 from ledgerweave.plans.reconcile import Reconciliation, deterministic_only, reconcile
 from ledgerweave.plans.views import DUCK, view, with_views
 from ledgerweave.sources import files, tables
-from ledgerweave.storage import fresh_path
+from ledgerweave.storage import cut, fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -244,7 +246,9 @@ fuzzy AS (SELECT b.scope, b.txn_id, b.txn_seq, g.settlement_id, b.credit_paise -
 def _exact(spark, sf_dir):
     s = settlement_of(spark, sf_dir)
     lines, _ = index.split_lines(bank_of(spark, sf_dir))
-    return tiers.exact_edges(lines, index.settlement_groups(s), index.utr_map(s), ReconcileConfig())
+    groups = index.settlement_groups(s)
+    named = tiers.named_in_window(lines, index.utr_map(s), groups.select("scope", "settlement_id", "group_day"), ReconcileConfig().date_window_days)
+    return tiers.exact_edges(named, groups)
 
 
 def _fuzzy(spark, sf_dir):
@@ -308,7 +312,7 @@ SELECT scope, txn_id, settlement_id, min(taken) AS taken, n, CASE WHEN net <= 0
 
 def _part(spark, sf_dir):
     lines, _ = index.split_lines(bank_of(spark, sf_dir))
-    return anchored.part_paid(lines, settlement_of(spark, sf_dir), ReconcileConfig())
+    return anchored.part_paid_of(lines, settlement_of(spark, sf_dir), ReconcileConfig())
 
 
 @query(slice_sql("ASC"), ("bank",))
@@ -419,6 +423,84 @@ def subset_sum_small(spark, sf_dir):
     return subset_sum(spark, sf_dir).join(positive.select("pool"), "pool", "left_semi").select("pool", "ways")
 
 
+_RISK = "CASE WHEN {s} <= 0 THEN 1.0 ELSE least(1.0, {h} / {s}) END"
+_SETS_AT = f"least(1.0, power(2.0, n) / greatest(net, 1))"
+_DROPS_AT = "least(1.0, (1 + n + n * (n - 1) / 2.0 + n * (n - 1) * (n - 2) / 6.0) / greatest(net, 1))"
+_UNSAFE = f"(n > {ReconcileConfig().subset_safe_rows} OR {_SETS_AT} > {ReconcileConfig().max_collision_risk})"
+
+
+def half_sums(pool: str, rows: str) -> str:
+    """SQL: all sums of each half of the pools (key, at most a few rows) of `rows` (key, pos, row_id, amount), with the rows that they use."""
+    return f"""ranked AS (SELECT {pool}, pos % 2 AS half, amount, row_id, row_number() OVER (PARTITION BY {pool}, pos % 2 ORDER BY pos) AS k FROM {rows} WHERE amount <> 0),
+tops AS (SELECT {pool}, half, max(k) AS top FROM ranked GROUP BY {pool}, half),
+sums AS (WITH RECURSIVE s AS (SELECT DISTINCT {pool}, h.half, CAST(0 AS BIGINT) AS k, CAST(0 AS HUGEINT) AS total, CAST([] AS VARCHAR[]) AS used FROM {rows}, (VALUES (0), (1)) AS h(half)
+    UNION ALL SELECT {', '.join('s.' + c.strip() for c in pool.split(','))}, s.half, s.k + 1, s.total + c.take * q.amount, CASE WHEN c.take = 1 THEN list_append(s.used, q.row_id) ELSE s.used END
+        FROM s JOIN ranked q ON {' AND '.join(f's.{c.strip()} = q.{c.strip()}' for c in pool.split(','))} AND q.half = s.half AND q.k = s.k + 1, (VALUES (0), (1)) AS c(take))
+    SELECT s.* FROM s LEFT JOIN tops t ON {' AND '.join(f's.{c.strip()} = t.{c.strip()}' for c in pool.split(','))} AND t.half = s.half WHERE s.k = coalesce(t.top, 0))"""
+
+
+def _one_set(df):
+    """Candidates as ways (1, or 2 for more) and the rows where there is one way."""
+    return df.withColumn("ways", F.size("sets").cast("int")).withColumn("row_ids", F.when(F.col("ways") == 1, F.array_join(F.array_sort(F.col("sets")[0]["row_id"]), "|")))
+
+
+@query(f""", p AS (SELECT scope, settled_on, count(*) AS n, CAST(sum(net_paise) AS BIGINT) AS net, CAST(sum(greatest(net_paise, 0)) AS BIGINT) AS plus, count(*) FILTER (WHERE net_paise < 0) AS bad FROM settlement_v WHERE settlement_id IS NULL GROUP BY scope, settled_on),
+near AS (SELECT b.scope, b.txn_id, b.credit_paise, p.settled_on AS day, CAST(b.value_date - p.settled_on AS INTEGER) AS lag, p.n, p.net, p.plus, p.bad FROM bank_v b JOIN p ON p.scope = b.scope AND abs(b.value_date - p.settled_on) <= 3 WHERE b.credit_paise > 0),
+mapped AS (SELECT scope, txn_id, credit_paise, map_from_entries(list((-lag, net))) AS m FROM near GROUP BY ALL), mask(k) AS (VALUES {", ".join(f"([{', '.join(map(str, m))}])" for m in pools.day_masks(3))}),
+whole AS (SELECT DISTINCT scope, txn_id FROM mapped n, mask WHERE list_has_all(map_keys(n.m), mask.k) AND list_sum(list_transform(mask.k, lambda d: n.m[d])) = n.credit_paise),
+tried AS (SELECT *, row_number() OVER (PARTITION BY scope, txn_id ORDER BY abs(lag), day) AS place, {_UNSAFE} AS unsafe, {_DROPS_AT} AS drop_risk, {_SETS_AT} AS set_risk FROM near ANTI JOIN whole USING (scope, txn_id)),
+r AS (SELECT scope, settled_on AS day, row_id, net_paise AS amount, row_number() OVER (PARTITION BY scope, settled_on ORDER BY row_seq) - 1 AS pos FROM settlement_v WHERE settlement_id IS NULL),
+gap AS (SELECT scope, txn_id, day, n, net - credit_paise AS gap FROM tried WHERE drop_risk <= {ReconcileConfig().max_collision_risk} AND net > credit_paise),
+one AS (SELECT scope, txn_id, day, [min(pos)] AS d FROM gap JOIN r USING (scope, day) WHERE amount = gap GROUP BY ALL),
+two AS (SELECT scope, txn_id, day, arg_min([a.pos, b.pos], b.pos * 100000 - a.pos) AS d FROM gap JOIN r a USING (scope, day) JOIN r b USING (scope, day) WHERE a.pos < b.pos AND a.amount + b.amount = gap GROUP BY scope, txn_id, day),
+three AS (SELECT scope, txn_id, day, min([a.pos, b.pos, c.pos]) AS d FROM gap JOIN r a USING (scope, day) JOIN r b USING (scope, day) JOIN r c USING (scope, day) WHERE n <= 120 AND a.pos < b.pos AND b.pos < c.pos AND a.amount + b.amount + c.amount = gap GROUP BY scope, txn_id, day),
+drops AS (SELECT g.scope, g.txn_id, g.day, coalesce(one.d, two.d, three.d) AS d FROM gap g LEFT JOIN one USING (scope, txn_id, day) LEFT JOIN two USING (scope, txn_id, day) LEFT JOIN three USING (scope, txn_id, day) WHERE coalesce(one.d, two.d, three.d) IS NOT NULL AND len(coalesce(one.d, two.d, three.d)) < g.n),
+small AS (SELECT r.* FROM r SEMI JOIN (SELECT scope, day FROM tried WHERE NOT unsafe) t USING (scope, day)), {half_sums('scope, day', 'small')},
+sets AS (SELECT t.scope, t.txn_id, t.day, count(*) AS ways, any_value(list_sort(a.used || b.used)) AS rows FROM tried t JOIN sums a ON a.scope = t.scope AND a.day = t.day AND a.half = 0 JOIN sums b ON b.scope = t.scope AND b.day = t.day AND b.half = 1 AND a.total + b.total = t.credit_paise
+    WHERE NOT t.unsafe AND len(a.used) + len(b.used) > 0 AND t.credit_paise <= 100000000 AND t.bad <= 14 ANTI_DROPS GROUP BY t.scope, t.txn_id, t.day),
+judged AS (SELECT t.*, d.d, s.ways AS set_ways, s.rows AS set_rows, min(CASE WHEN d.d IS NOT NULL OR s.ways IS NOT NULL THEN place END) OVER w AS stop, count(*) OVER w AS days FROM tried t LEFT JOIN drops d USING (scope, txn_id, day) LEFT JOIN sets s USING (scope, txn_id, day) WINDOW w AS (PARTITION BY scope, txn_id)),
+said AS (SELECT *, max(unsafe AND (stop IS NULL OR place < stop)) OVER (PARTITION BY scope, txn_id) AS declined FROM judged)
+SELECT scope, txn_id, CASE WHEN stop IS NOT NULL THEN day END AS day, CASE WHEN stop IS NOT NULL THEN lag END AS lag, CASE WHEN d IS NOT NULL THEN 'day group minus held-back rows' WHEN set_ways IS NOT NULL THEN 'exact subset of one settle-date group' END AS strategy,
+    CASE WHEN d IS NOT NULL THEN drop_risk WHEN set_ways IS NOT NULL THEN set_risk END AS risk, CAST(coalesce(stop, days) AS BIGINT) AS days_tried, declined, CAST(CASE WHEN d IS NOT NULL THEN 1 WHEN set_ways IS NOT NULL THEN least(set_ways, 2) ELSE 0 END AS INTEGER) AS ways,
+    CASE WHEN d IS NOT NULL THEN (SELECT string_agg(r.row_id, '|' ORDER BY r.row_id) FROM r WHERE r.scope = said.scope AND r.day = said.day AND NOT list_contains(said.d, r.pos)) WHEN set_ways = 1 THEN array_to_string(set_rows, '|') END AS row_ids
+FROM said WHERE place = coalesce(stop, 1)""".replace("ANTI_DROPS", "AND NOT EXISTS (SELECT 1 FROM drops d WHERE d.scope = t.scope AND d.txn_id = t.txn_id AND d.day = t.day)"), ("bank",))
+def nearest_pool(spark, sf_dir):
+    """Every credit that no set of whole days makes up, with the day pools in its window tried nearest first."""
+    lines, _ = index.split_lines(bank_of(spark, sf_dir))
+    loose = settlement_of(spark, sf_dir).filter("settlement_id is null").select("scope", "row_id", "row_seq", "net_paise", "settled_on")
+    near = index.day_pools_in_window(lines, arithmetic.pool_totals(loose)).withColumnRenamed("settled_on", "day")
+    with_rows = lambda pairs: pairs.join(loose.withColumnRenamed("settled_on", "day"), ["scope", "day"])
+    found = pools.nearest_first(cut(pools.near_pools(near, with_rows, ReconcileConfig()), "near-pools"), with_rows, ReconcileConfig())
+    keys = ["scope", "txn_id", "day", "lag", "strategy", "risk", "days_tried", "declined"]
+    return _one_set(found.groupBy(*keys).agg(F.collect_list("members").alias("sets"))).select(*keys, "ways", "row_ids")
+
+
+@query(BATCH.replace("concat(scope, '_', settlement_id) AS pool, ", "scope, settlement_id, row_id, ") + f""", ask AS (SELECT scope, settlement_id, any_value(n) AS n, CAST(sum(amount) AS BIGINT) AS net, CAST(sum(amount) FILTER (WHERE pos % 2 = 0) AS BIGINT) AS credit, count(*) FILTER (WHERE amount < 0) AS bad FROM r GROUP BY scope, settlement_id),
+part AS (SELECT *, {_UNSAFE} AS unsafe, {_SETS_AT} AS set_risk, least(1.0, 2.0 * n / greatest(net, 1)) AS slice_risk FROM ask WHERE n >= 2 AND net >= credit AND credit > 0),
+run AS (SELECT p.scope, p.settlement_id, p.credit, p.net, r.amount, sum(r.amount) OVER w AS running, row_number() OVER w AS k FROM part p JOIN r USING (scope, settlement_id) WHERE p.net > p.credit WINDOW w AS (PARTITION BY p.scope, p.settlement_id ORDER BY r.row_id ROWS UNBOUNDED PRECEDING)),
+cuts AS (SELECT scope, settlement_id, min(k) FILTER (WHERE running = credit) AS lead, max(k) FILTER (WHERE net - running + amount = credit) AS trail FROM run GROUP BY scope, settlement_id),
+small AS (SELECT r.* FROM r SEMI JOIN (SELECT scope, settlement_id FROM part JOIN cuts USING (scope, settlement_id) WHERE NOT unsafe AND lead IS NULL AND trail IS NULL) t USING (scope, settlement_id)), {half_sums('scope, settlement_id', 'small')},
+sets AS (SELECT t.scope, t.settlement_id, count(*) AS ways, any_value(list_sort(a.used || b.used)) AS rows FROM part t JOIN sums a ON a.scope = t.scope AND a.settlement_id = t.settlement_id AND a.half = 0 JOIN sums b ON b.scope = t.scope AND b.settlement_id = t.settlement_id AND b.half = 1 AND a.total + b.total = t.credit
+    WHERE len(a.used) + len(b.used) > 0 AND t.credit <= 100000000 AND t.bad <= 14 GROUP BY t.scope, t.settlement_id)
+SELECT * FROM (SELECT p.scope, p.settlement_id, p.n, CASE WHEN net = credit THEN 'remaining rows of a partly paid batch' WHEN lead IS NOT NULL THEN 'leading slice of the batch' WHEN trail IS NOT NULL THEN 'trailing slice of the batch' WHEN ways IS NOT NULL THEN 'exact subset of the named batch' END AS strategy,
+    CAST(CASE WHEN net = credit OR lead IS NOT NULL OR trail IS NOT NULL THEN 1 ELSE least(coalesce(ways, 0), 2) END AS INTEGER) AS ways, CAST(CASE WHEN net = credit THEN n WHEN lead IS NOT NULL THEN lead WHEN trail IS NOT NULL THEN n - trail + 1 WHEN ways = 1 THEN len(rows) END AS BIGINT) AS n_rows,
+    CASE WHEN net = credit THEN 0.0 WHEN coalesce(lead, trail) IS NOT NULL THEN slice_risk WHEN ways IS NOT NULL THEN set_risk END AS risk, net > credit AND lead IS NULL AND trail IS NULL AND unsafe AS declined, CASE WHEN ways = 1 THEN array_to_string(rows, '|') END AS row_ids
+FROM part p LEFT JOIN cuts USING (scope, settlement_id) LEFT JOIN sets USING (scope, settlement_id)) WHERE strategy IS NOT NULL OR declined""", ("settlement",))
+def anchored_candidates(spark, sf_dir):
+    """Every named batch with a line that names it and whose credit is every other row's sum: remainder, slices, then exact subsets behind the gate."""
+    named = settlement_of(spark, sf_dir).filter("settlement_id is not null")
+    w = tiers.Window.partitionBy("scope", "settlement_id").orderBy("row_id")
+    credit = F.sum(F.when(F.col("pos") % 2 == 0, F.col("net_paise"))).alias("credit_paise")
+    lines = named.withColumn("pos", F.row_number().over(w) - 1).groupBy("scope", "settlement_id").agg(credit).filter("credit_paise > 0")
+    lines = lines.select("scope", F.col("settlement_id").alias("txn_id"), F.lit(1).cast("long").alias("txn_seq"), "credit_paise", F.lit(0).alias("utr_pos"), "settlement_id", F.lit(0).alias("lag"))
+    groups = index.settlement_groups(named)
+    found = anchored.anchored_candidates(lines, groups, named, ReconcileConfig()).join(groups.select("scope", "settlement_id", "n"), ["scope", "settlement_id"])
+    sets = F.filter(F.collect_list(F.coalesce("members", F.array().cast(anchored.MEMBERS))), lambda s: F.size(s) > 0)
+    out = found.groupBy("scope", "settlement_id", "n", "strategy", "risk", "declined").agg(sets.alias("sets"), F.count("strategy").cast("int").alias("ways"), F.max("n_rows").alias("most"))
+    one = F.when(F.size("sets") == 1, F.array_join(F.array_sort(F.col("sets")[0]["row_id"]), "|"))
+    return out.select("scope", "settlement_id", "n", "strategy", "ways", F.when(F.col("ways") == 1, F.col("most")).alias("n_rows"), "risk", "declined", one.alias("row_ids"))
+
+
 @query()
 def spurious_match_rate(spark, sf_dir):
     """The day groups, whole and with their refunds; every other row's sum is the target."""
@@ -692,14 +774,14 @@ PAYLOAD = """concat('{"candidates_considered":', candidates_considered, ',"confi
     ',"reason":"', reason, '","rows":', CASE WHEN row_ids = '' THEN '[]' ELSE concat('["', replace(row_ids, '|', '","'), '"]') END, ',"tier":"', tier, '"}')"""
 
 
-@query(RESULTS + f" SELECT scope, CASE WHEN row_ids = '' THEN 'exception' ELSE 'match' END AS kind, txn_id AS subject, row_number() OVER (PARTITION BY scope ORDER BY txn_id) AS seq, {PAYLOAD} AS payload FROM results_v", RV)
+@query(RESULTS + f" SELECT scope, CASE WHEN row_ids = '' THEN 'exception' ELSE 'match' END AS kind, txn_id AS subject, row_number() OVER (PARTITION BY scope ORDER BY txn_seq) AS seq, {PAYLOAD} AS payload FROM results_v", RV)
 def audit_records(spark, sf_dir):
-    return audit.numbered(audit.audit_records(reconciled(spark, sf_dir).results)).select("scope", "kind", "subject", "seq", "payload")
+    return audit.numbered(audit.audit_records(reconciled(spark, sf_dir).results, bank_of(spark, sf_dir))).select("scope", "kind", "subject", "seq", "payload")
 
 
 @query(RESULTS + " SELECT scope, txn_id, tier, row_ids, delta_paise, confidence, reason, exception_type, candidates_considered FROM results_v", RV)
 def rehydrate(spark, sf_dir):
-    return plain(audit.rehydrate(audit.audit_records(reconciled(spark, sf_dir).results)))
+    return plain(audit.rehydrate(audit.audit_records(reconciled(spark, sf_dir).results, bank_of(spark, sf_dir))))
 
 
 @query(" SELECT chain_id, seq, subject FROM entries_v WHERE chain_id < 2 ORDER BY seq, chain_id LIMIT 40", ("entries",))
@@ -844,3 +926,27 @@ def finished_runs(spark, sf_dir):
     summary = score.run_summary(run.results, settlement_of(spark, sf_dir), bank_of(spark, sf_dir))
     tables.finish_run(path, "r1", summary, "finished")
     return tables.runs(spark, path).select("run_id", "fingerprint", "started_at", "finished_at", "bank_lines", "matched", "exceptions")
+
+
+@query(RESULTS + " SELECT scope, txn_id, row_number() OVER (PARTITION BY scope ORDER BY txn_seq) AS position, tier FROM results_v", RV)
+def result_positions(spark, sf_dir):
+    path = fresh_path(spark, "results")
+    tables.write_results(reconciled(spark, sf_dir).results, bank_of(spark, sf_dir), path)
+    return spark.read.parquet(path).select(F.col("scope").cast("long").alias("scope"), "txn_id", "position", "tier")
+
+
+@query(RESULTS + """, quarantine_v AS (SELECT scope, count(*) AS bad FROM settlement_v WHERE row_seq % 11 = 0 GROUP BY scope)
+SELECT r.scope, r.position, r.txn_id, r.tier, r.delta_paise, r.reason, coalesce(q.bad, 0) + r.position AS seq FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY txn_seq) AS position FROM results_v) r LEFT JOIN quarantine_v q ON q.scope = r.scope""", RV)
+def directory_run(spark, sf_dir):
+    """The views as a directory of files, every eleventh row twice: parsed, reconciled and logged; a second call finds the run and writes nothing."""
+    path, store = fresh_path(spark, "input"), fresh_path(spark, "store")
+    s = settlement_of(spark, sf_dir)
+    twice = s.unionByName(s.filter("row_seq % 11 = 0").withColumn("row_seq", F.col("row_seq") + 1_000_000_000_000))
+    files.write_settlement_csv(twice.orderBy("row_seq", "scope"), f"{path}/settlement_report.csv", scoped=True)
+    files.write_bank_csv(bank_of(spark, sf_dir).orderBy("txn_seq", "scope"), f"{path}/bank_statement.csv", scoped=True)
+    runs = [reconcile_directory(spark, path, store, run, at) for run, at in (("first", "2026-01-01"), ("second", "2026-01-02"))]
+    if runs != [("first", True), ("first", False)]:
+        raise RuntimeError(f"the same files were run twice: {runs}")
+    lines = read_store(spark, store, "results").select("scope", "position", "txn_id", "tier", "delta_paise", "reason")
+    log = read_store(spark, store, "audit").filter("kind <> 'quarantine'").select("scope", F.col("subject").alias("txn_id"), "seq")
+    return lines.join(log, ["scope", "txn_id"])

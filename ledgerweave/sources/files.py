@@ -8,7 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerweave.functions.scalar import clean_text, extract_utrs, net_paise, parse_date, to_paise  # noqa: F401
+from ledgerweave.functions.scalar import clean_text, net_paise, parse_date, to_paise
+from ledgerweave.storage import cut
 
 #: Headers of the files.
 SETTLEMENT = ["row_id", "kind", "order_id", "gross", "fee", "tax", "settled_on", "settlement_id", "method", "utr"]
@@ -35,34 +36,101 @@ def exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
+#: One field: quoted (a doubled quote stands for one; what follows the closing quote is plain), plain, or empty.
+QUOTED = r'[^"]*+(?:""[^"]*+)*+'
+FIELD = rf'(?:"{QUOTED}"[^,]*+|[^",][^,]*+|)'
+ENDS_AFTER_PLAIN_START = rf"^{FIELD}(?:,{FIELD})*+$"
+ENDS_AFTER_QUOTED_START = rf'^{QUOTED}"[^,]*+(?:,{FIELD})*+$'
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, file, block (where it starts), at (order in the block) and out, in: whether a quoted field is open after the line, if none or one is open before it."""
+    open_after = lambda pattern: (~F.col("value").rlike(pattern)).cast("int")
+    return spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+        open_after(ENDS_AFTER_PLAIN_START).alias("out"), open_after(ENDS_AFTER_QUOTED_START).alias("in"),
+    )
+
+
+def _open_before(order: Window, start: Column) -> Column:
+    """Whether a quoted field is open before a row, from the rows before it in order and the state at their start.
+
+    A row either sets the state (out = in), keeps it, or turns it; so the state is that of the last row that sets it,
+    turned as often as rows turn it since. turns: how many rows up to this one turn it.
+    """
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    turns = F.coalesce(F.sum(F.when((F.col("out") == 1) & (F.col("in") == 0), 1).otherwise(0)).over(earlier), F.lit(0))
+    set_at = F.last(F.when(F.col("out") == F.col("in"), F.struct(F.col("out").alias("state"), F.col("turned").alias("turned"))), ignorenulls=True).over(earlier)
+    return F.when(set_at.isNotNull(), (set_at["state"] + turns - set_at["turned"]) % 2).otherwise((start + turns) % 2)
+
+
+def _turned(df: DataFrame, order: Window) -> DataFrame:
+    turns = F.when((F.col("out") == 1) & (F.col("in") == 0), 1).otherwise(0)
+    return df.withColumn("turned", F.sum(turns).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _joined_lines(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """file, line_no, value of whole records of files in which a field goes over a line break.
+
+    A block's effect on an open field follows from its lines, so the state at the start of every block follows from a row a
+    block, and each block's lines are then told apart on their own. A record that no quote closes goes on to the end of its file.
+    """
+    in_block, in_file = Window.partitionBy("file", "block").orderBy("at"), Window.partitionBy("file").orderBy("block")
+    seen = _turned(lines, in_block)
+    first = _open_before(in_block, F.lit(0)), _open_before(in_block, F.lit(1))
+    step = lambda before: F.when(before == 1, F.col("in")).otherwise(F.col("out"))
+    seen = seen.withColumn("b0", first[0]).withColumn("b1", first[1])
+    effect = seen.groupBy("file", "block").agg(F.max_by(step(F.col("b0")), "at").alias("out"), F.max_by(step(F.col("b1")), "at").alias("in"))
+    starts = _turned(effect, in_file).select("file", "block", _open_before(in_file, F.lit(0)).alias("open"))
+    placed = seen.drop("out", "in", "turned").join(starts, ["file", "block"]).join(blocks.select("file", "block", "first", "before"), ["file", "block"])
+    placed = placed.select("file", "block", "at", "value", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), F.when(F.col("open") == 1, F.col("b1")).otherwise(F.col("b0")).alias("inside"))
+    # A record is named by the number of its first line; one that began in an earlier block has that block's last.
+    begun = placed.withColumn("record", F.max(F.when(F.col("inside") == 0, F.col("line_no"))).over(in_block.rowsBetween(Window.unboundedPreceding, 0)))
+    last = begun.groupBy("file", "block").agg(F.max("record").alias("last"))
+    carried = last.select("file", "block", F.last("last", ignorenulls=True).over(in_file.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    whole = begun.join(carried, ["file", "block"]).withColumn("record", F.coalesce("record", "carried"))
+    parts = F.sort_array(F.collect_list(F.struct("line_no", "value")))
+    return whole.groupBy("file", F.col("record").alias("line_no")).agg(F.array_join(parts["value"], "\n").alias("value"))
+
+
 def _records(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
-    """The wanted columns as text, raw, line_no, width_ok. Column order comes from the header line; a missing column reads as null.
+    """The wanted columns as text, raw, line_no, width_ok. Each file's column order comes from its own header line; a missing column reads as null.
 
-    Records are lines (no line breaks inside fields), so that one large file is read by many tasks. Every line counts,
-    blank ones too; the first line of each file is its header. line_no is the position of the line, the header being
-    1; the files of a folder are numbered through in the order of their paths.
+    Lines are read by many tasks. Every line counts, blank ones too; a field in quotes may go over line breaks. line_no
+    is the position of a record's first line, the header being 1; the files of a folder are numbered through in the
+    order of their paths. Lines are only put together in files where a quoted field stays open at the end of a line.
     """
-    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
-    head = text.filter("start = 0").first()
-    names = [h.strip() for h in head.value.split(",")] if head else list(wanted)
+    text = _lines(spark, path)
     # A task reads a block's lines one after the other; the lines before a block follow from the blocks' counts.
-    blocks = text.groupBy("file", "start").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("lines"))
-    before = F.sum("lines").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))  # a row a block
-    opens = F.first("start").over(Window.partitionBy("file").orderBy("start")) == F.col("start")
-    blocks = blocks.select("file", "start", "first", F.coalesce(before, F.lit(0)).alias("before"), opens.alias("opens"))
-    body = text.join(F.broadcast(blocks), ["file", "start"]).filter(~(F.col("opens") & (F.col("at") == F.col("first"))))
-    fields = F.from_csv("value", ", ".join(f"`{k}` string" for k in range(len(names) + 1)), {"mode": "PERMISSIVE", "nullValue": "\u0000", "emptyValue": ""})
-    parsed = body.select(F.col("value").alias("raw"), fields.alias("f"), (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"))
-    width = F.size(F.split(F.regexp_replace("raw", r'"(?:[^"]|"")*"', ""), ",", -1))
-    blank = F.trim(F.translate("raw", ",", " ")) == ""
-    at = {n: F.col(f"f.`{k}`") for k, n in enumerate(names)}
-    return parsed.select("raw", "line_no", ((width == len(names)) & ~blank).alias("width_ok"), *[at.get(n, F.lit(None).cast("string")).alias(n) for n in wanted])
-
-
-def _split(source: str, records: DataFrame, reason: Column, good: list[Column]) -> tuple[DataFrame, DataFrame]:
+    blocks = cut(text.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("lines"), F.max("out").alias("breaks"), F.min_by("value", "at").alias("top")), "blocks")
+    in_file = Window.partitionBy("file").orderBy("block")
+    files = blocks.groupBy("file").agg(F.sum("lines").alias("lines"), F.max("breaks").alias("breaks"), F.min_by("top", "block").alias("top"))
+    ahead = F.coalesce(F.sum("lines").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a file
+    files = files.select("file", "breaks", ahead.alias("ahead"), F.transform(F.split("top", ","), lambda h: F.trim(F.regexp_replace(F.trim(h), '^"(.*)"$', "$1"))).alias("names"))
+    # Where each wanted column stands in the file; -1: nowhere.
+    files = cut(files.select("*", *[(F.array_position("names", n) - 1).cast("int").alias(f"at_{n}") for n in wanted]), "files")
+    within = F.coalesce(F.sum("lines").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.withColumn("within", within).join(files, "file").select("file", "block", "first", (F.col("ahead") + F.col("within")).alias("before"), (files["breaks"] == 1).alias("breaks"))
+    most, broken = files.agg(F.max(F.size("names")), F.max("breaks")).first()
+    simple = text.join(blocks.filter("not breaks"), ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "value")
+    if broken:
+        torn = blocks.filter("breaks")
+        simple = simple.unionByName(_joined_lines(text.join(torn.select("file").distinct(), "file", "left_semi"), torn))
+    body = simple.join(files.withColumn("width", F.size("names")).drop("breaks", "names"), "file").filter(F.col("line_no") > F.col("ahead") + 1)
+    most = most or len(wanted)
+    fields = F.from_csv("value", ", ".join(f"`{k}` string" for k in range(most + 1)), {"mode": "PERMISSIVE", "nullValue": "\u0000", "emptyValue": "", "escape": '"', "maxCharsPerColumn": "-1"})
+    parsed = body.withColumn("f", fields).withColumn("f", F.array(*[F.col(f"f.`{k}`") for k in range(most)]))
+    found = F.size(F.split(F.regexp_replace("value", rf'(?<=^|,)"{QUOTED}"', ""), ",", -1))
+    blank = F.trim(F.translate("value", ",", " ")) == ""
+    return parsed.select(F.col("value").alias("raw"), "line_no", ((found == F.col("width")) & ~blank).alias("width_ok"), *[F.get("f", f"at_{n}").alias(n) for n in wanted])
+
+
+def _split(source: str, records: DataFrame, reason: Column, good: list[Column], scope: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Typed rows and quarantine. With a scope both have one: of the file's own column of that name, else this."""
+    of = [] if scope is None else [F.coalesce(F.trim("scope").try_cast("bigint"), F.lit(scope)).cast("long").alias("scope")]
     judged = records.withColumn("reason", F.when(~F.col("width_ok"), "wrong column count").otherwise(reason))
-    bad = judged.filter("reason is not null").select(F.lit(source).alias("source"), "line_no", "raw", "reason")
-    return judged.filter("reason is null").select(*good), bad
+    bad = judged.filter("reason is not null").select(*of, F.lit(source).alias("source"), "line_no", "raw", "reason")
+    return judged.filter("reason is null").select(*of, *good), bad
 
 
 def _amount_reason(c: str) -> Column:
@@ -116,31 +184,37 @@ def typed_orders() -> list[Column]:
     return [F.trim("order_id").alias("order_id"), parse_date(F.col("placed_on")).alias("placed_on"), to_paise(F.col("gross")).alias("gross_paise"), F.trim("customer_id").alias("customer_id")]
 
 
-def read_settlement(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Typed rows and quarantine. Of rows with the same row_id all but the first go to quarantine."""
-    good, bad = _split("settlement_report", _records(spark, path, SETTLEMENT), settlement_reason(), [*typed_settlement(), F.col("raw")])
-    first = good.groupBy("row_id").agg(F.min("row_seq").alias("first"))
-    marked = good.join(first, "row_id").withColumn("again", F.col("row_seq") > F.col("first")).drop("first")
-    twice = marked.filter("again").select(F.lit("settlement_report").alias("source"), F.col("row_seq").alias("line_no"), "raw", F.lit("duplicate row_id").alias("reason"))
+def read_settlement(spark: SparkSession, path: str, scope: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Typed rows and quarantine. Of rows with the same row_id (in a scope) all but the first go to quarantine."""
+    good, bad = _split("settlement_report", _records(spark, path, [*SETTLEMENT, "scope"]), settlement_reason(), [*typed_settlement(), F.col("raw")], scope)
+    key = ["row_id"] if scope is None else ["scope", "row_id"]
+    first = good.groupBy(*key).agg(F.min("row_seq").alias("first"))
+    marked = good.join(first, key).withColumn("again", F.col("row_seq") > F.col("first")).drop("first")
+    twice = marked.filter("again").select(*key[:-1], F.lit("settlement_report").alias("source"), F.col("row_seq").alias("line_no"), "raw", F.lit("duplicate row_id").alias("reason"))
     return marked.filter("not again").drop("again", "raw"), bad.unionByName(twice)
 
 
-def read_bank(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return _split("bank_statement", _records(spark, path, BANK), bank_reason(), typed_bank())
+def read_bank(spark: SparkSession, path: str, scope: int | None = None) -> tuple[DataFrame, DataFrame]:
+    return _split("bank_statement", _records(spark, path, [*BANK, "scope"]), bank_reason(), typed_bank(), scope)
 
 
-def read_orders(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_orders(spark: SparkSession, path: str, scope: int | None = None) -> tuple[DataFrame, DataFrame]:
     """A missing file reads as an empty table."""
     if not exists(spark, path):
-        empty = spark.createDataFrame([], ", ".join(f"{c} string" for c in ORDERS) + ", raw string, line_no long, width_ok boolean")
-        return _split("orders", empty, order_reason(), typed_orders())
-    return _split("orders", _records(spark, path, ORDERS), order_reason(), typed_orders())
+        empty = spark.createDataFrame([], ", ".join(f"{c} string" for c in [*ORDERS, "scope"]) + ", raw string, line_no long, width_ok boolean")
+        return _split("orders", empty, order_reason(), typed_orders(), scope)
+    return _split("orders", _records(spark, path, [*ORDERS, "scope"]), order_reason(), typed_orders(), scope)
+
+
+#: The names of the files of a directory.
+FILES = ["settlement_report.csv", "bank_statement.csv", "orders.csv"]
 
 
-def load_directory(spark: SparkSession, path: str) -> Parsed:
-    settlement, a = read_settlement(spark, f"{path}/settlement_report.csv")
-    bank, b = read_bank(spark, f"{path}/bank_statement.csv")
-    orders, c = read_orders(spark, f"{path}/orders.csv")
+def load_directory(spark: SparkSession, path: str, scope: int | None = None) -> Parsed:
+    """The tables of a directory. With a scope (of rows whose file has no column of that name) they fit reconcile."""
+    settlement, a = read_settlement(spark, f"{path}/{FILES[0]}", scope)
+    bank, b = read_bank(spark, f"{path}/{FILES[1]}", scope)
+    orders, c = read_orders(spark, f"{path}/{FILES[2]}", scope)
     return Parsed(settlement, bank, orders, a.unionByName(b).unionByName(c))
 
 
@@ -173,13 +247,13 @@ def rupees(c: Column) -> Column:
     return F.concat(F.when(c < 0, "-").otherwise(""), F.call_function("div", cents, F.lit(100)).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
 
 
-def write_settlement_csv(df: DataFrame, path: str) -> None:
-    cols = [*(F.col(c) for c in SETTLEMENT[:3]), *(rupees(F.col(f"{c}_paise")).alias(c) for c in ("gross", "fee", "tax")), F.col("settled_on").cast("string").alias("settled_on"), *(F.col(c) for c in SETTLEMENT[7:])]
+def write_settlement_csv(df: DataFrame, path: str, scoped: bool = False) -> None:
+    cols = [*([F.col("scope")] if scoped else []), *(F.col(c) for c in SETTLEMENT[:3]), *(rupees(F.col(f"{c}_paise")).alias(c) for c in ("gross", "fee", "tax")), F.col("settled_on").cast("string").alias("settled_on"), *(F.col(c) for c in SETTLEMENT[7:])]
     _write(df.select(*cols), path)
 
 
-def write_bank_csv(df: DataFrame, path: str) -> None:
-    _write(df.select("txn_id", F.col("value_date").cast("string").alias("value_date"), "narration", rupees(F.col("credit_paise")).alias("credit"), rupees(F.col("debit_paise")).alias("debit")), path)
+def write_bank_csv(df: DataFrame, path: str, scoped: bool = False) -> None:
+    _write(df.select(*(["scope"] if scoped else []), "txn_id", F.col("value_date").cast("string").alias("value_date"), "narration", rupees(F.col("credit_paise")).alias("credit"), rupees(F.col("debit_paise")).alias("debit")), path)
 
 
 def write_orders_csv(df: DataFrame, path: str) -> None:
@@ -187,4 +261,4 @@ def write_orders_csv(df: DataFrame, path: str) -> None:
 
 
 def _write(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).option("emptyValue", "").option("nullValue", "").csv(path)
+    df.write.option("header", True).option("emptyValue", "").option("nullValue", "").option("escape", '"').csv(path)

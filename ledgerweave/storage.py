@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,8 +24,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table: its lineage ends here and survives lost executors."""
+def cut(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """df as a written table, in folders by the named columns if any: its lineage ends here and survives lost executors."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(*folders) if folders else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """As cut, and how many rows were written, as observed by the write itself."""
+    seen = Observation()
+    return cut(df.observe(seen, F.count(F.lit(1)).alias("n")), name), seen.get["n"]
