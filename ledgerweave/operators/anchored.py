@@ -94,7 +94,7 @@ def anchored_candidates(named: DataFrame, groups: DataFrame, rows: DataFrame, co
     at = at.withColumn("sets", _subsets(F.expr("if(ask, amounts.net_paise, array())"), "credit_paise")).selectExpr("*", "explode_outer(sets) AS chosen")
     out = at.selectExpr(
         *ASKED, "txn_seq", "CASE WHEN lead is not null THEN 'leading slice of the batch' WHEN trail is not null THEN 'trailing slice of the batch' WHEN chosen is not null THEN 'exact subset of the named batch' END AS strategy",
-        "if(lead is null, low, null) AS low", "if(lead is not null, high, null) AS high", "transform(chosen, i -> amounts[i]) AS members", "lag", f"if(chosen is null, {SLICE_RISK}, {SET_RISK}) AS risk",
+        "if(lead is null, low, null) AS low", "if(lead is not null, high, null) AS high", "transform(chosen, i -> amounts[i]) AS members", "lag", f"CASE WHEN chosen is not null THEN {SET_RISK} WHEN lead is not null OR trail is not null THEN {SLICE_RISK} END AS risk",
         "CAST(coalesce(lead, trail, size(chosen)) AS BIGINT) AS n_rows", "declined",
     ).filter("strategy is not null or declined")
     rest = remaining_rows(part).selectExpr(

@@ -466,7 +466,7 @@ SELECT scope, txn_id, CASE WHEN stop IS NOT NULL THEN day END AS day, CASE WHEN
 FROM said WHERE place = coalesce(stop, 1)""".replace("ANTI_DROPS", "AND NOT EXISTS (SELECT 1 FROM drops d WHERE d.scope = t.scope AND d.txn_id = t.txn_id AND d.day = t.day)"), ("bank",))
 def nearest_pool(spark, sf_dir):
     """Every credit that no set of whole days makes up, with the day pools in its window tried nearest first."""
-    lines, _ = index.split_lines(bank_of(spark, sf_dir))
+    lines, _ = index.split_lines(bank_of(spark, sf_dir).select("scope", "txn_id", "txn_seq", "value_date", "credit_paise"))
     loose = settlement_of(spark, sf_dir).filter("settlement_id is null").select("scope", "row_id", "row_seq", "net_paise", "settled_on")
     near = index.day_pools_in_window(lines, arithmetic.pool_totals(loose)).withColumnRenamed("settled_on", "day")
     with_rows = lambda pairs: pairs.join(loose.withColumnRenamed("settled_on", "day"), ["scope", "day"])
