@@ -13,9 +13,9 @@ The stated query set meets all rows in blocks: candidate blocks are dealt over s
 to every stripe, and each stripe keeps k rows a query; a last ranking merges the stripes.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows with a null id, take no
-part; vectors meet only vectors of their own length; an empty vector scores 0; repeated ids are rows of their own
-but never meet a query of the same id; ties go to the smaller id; an empty table gives an empty result. Scores
-beyond the range of a long are cut to it.
+part; vectors meet only vectors of their own length; an empty vector scores 0; of repeated ids each row is a
+candidate and, if asked, a query of its own, that only leaves itself out; ties go to the smaller id; an empty table
+gives an empty result. Scores beyond the range of a long are cut to it.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ BLOCK, PIVOTS, SAMPLE, STEP = 1024, 128, 4096, 32
 TILE = 64
 #: Sums of products stay whole in doubles up to here.
 EXACT = float(1 << 52)
-BLOCKS = "block long, dim int, n int, ids binary, rows binary, norms binary, table binary"
+BLOCKS = "block long, dim int, n int, keys binary, ids binary, rows binary, norms binary, table binary"
 
 
 def _distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -68,14 +68,14 @@ def _blocks(scale: float, pivots_of: dict[int, np.ndarray]):
 
         def close(dim):
             nonlocal made
-            ids, rows = (np.concatenate(x) for x in zip(*held.pop(dim)))
+            keys, ids, rows = (np.concatenate(x) for x in zip(*held.pop(dim)))
             for at in range(0, len(ids), BLOCK):
                 r = rows[at : at + BLOCK]
                 table = _distances(r, pivots_of.get(dim, np.empty((0, dim))))
                 made += 1
                 yield pa.RecordBatch.from_pylist(
-                    [{"block": me + made, "dim": dim, "n": len(r), "ids": ids[at : at + BLOCK].tobytes(), "rows": r.tobytes(), "norms": (table[:, 0] ** 2).tobytes(), "table": table.tobytes()}],
-                    schema=pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("n", pa.int32()), *[(c, pa.binary()) for c in ("ids", "rows", "norms", "table")]]),
+                    [{"block": me + made, "dim": dim, "n": len(r), "keys": keys[at : at + BLOCK].tobytes(), "ids": ids[at : at + BLOCK].tobytes(), "rows": r.tobytes(), "norms": (table[:, 0] ** 2).tobytes(), "table": table.tobytes()}],
+                    schema=pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("n", pa.int32()), *[(c, pa.binary()) for c in ("keys", "ids", "rows", "norms", "table")]]),
                 )
 
         for batch in batches:
@@ -83,11 +83,11 @@ def _blocks(scale: float, pivots_of: dict[int, np.ndarray]):
             lens = np.diff(lists.offsets.to_numpy())
             values = lists.values.to_numpy(zero_copy_only=False)[lists.offsets[0].as_py() :]
             starts = np.cumsum(lens) - lens
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            keys, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id"))
             for dim in np.unique(lens).tolist():
                 at = np.flatnonzero(lens == dim)
                 rows = np.floor(scale * values[starts[at][:, None] + np.arange(dim)].astype(np.float64)).reshape(len(at), dim)
-                held.setdefault(dim, []).append((ids[at], rows))
+                held.setdefault(dim, []).append((keys[at], ids[at], rows))
                 if sum(len(x[0]) for x in held[dim]) >= BLOCK:
                     yield from close(dim)
         for dim in list(held):
@@ -99,10 +99,11 @@ def _blocks(scale: float, pivots_of: dict[int, np.ndarray]):
 class Best:
     """The k best of each query of a block so far."""
 
-    def __init__(self, query_ids, rows, norms, table, k):
-        self.ids, self.rows, self.norms, self.k = query_ids, rows, norms, k
+    def __init__(self, keys, ids, rows, norms, table, k):
+        """keys tell the rows of the whole table apart."""
+        self.keys, self.ids, self.rows, self.norms, self.k = keys, ids, rows, norms, k
         self.table, self.largest, self.evaluated = np.ascontiguousarray(table.T.astype(np.float32)), table.max(initial=0), 0
-        self.found = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in query_ids]
+        self.found = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]
 
     def caps(self, norms, table) -> np.ndarray:
         """What no inner product of a query (row) and a candidate (column) can exceed."""
@@ -123,7 +124,7 @@ class Best:
             caps[at : at + TILE] -= np.maximum(bound.astype(np.float64) - slack, 0) ** 2
         return caps / 2
 
-    def meet(self, ids, rows, norms, table) -> None:
+    def meet(self, keys, ids, rows, norms, table) -> None:
         """Candidates of one block, in the order of their caps."""
         caps = self.caps(norms, table)
         whole = rows.shape[1] * max(np.abs(rows).max(initial=0), 1) * max(np.abs(self.rows).max(initial=0), 1) < EXACT
@@ -136,7 +137,7 @@ class Best:
                     break
                 some = order[at : at + step]
                 at, step = at + step, 2 * step
-                some = some[ids[some] != self.ids[q]]
+                some = some[keys[some] != self.keys[q]]
                 self.evaluated += len(some)
                 if whole:
                     new = (rows[some] @ self.rows[q]).astype(np.int64)
@@ -156,10 +157,11 @@ def exact_top_k(
     """query_id, rank (from 1), vec_id, score: the k best rows of every query row. is_query is over the column `id`."""
     spark = vectors.sparkSession
     lean_batches(spark)
-    sound = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter(
+    sound = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.monotonically_increasing_id().alias("key")).filter(
         F.col("id").isNotNull() & F.col("v").isNotNull()
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     )
+    sound = written(sound, "sound")  # so that a row has the same key as a query and as a candidate
     chosen: dict[int, list] = {}
     for r in sound.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect():  # a fixed number of rows
         chosen.setdefault(len(r.v), []).append(np.floor(scale * np.array(r.v, np.float64)))
@@ -176,21 +178,22 @@ def exact_top_k(
         best, of = None, None
 
         def out():
-            for q, (scores, names) in zip(best.ids.tolist(), best.found):
-                yield q, names, scores
+            for key, q, (scores, names) in zip(best.keys.tolist(), best.ids.tolist(), best.found):
+                yield q, names, scores, key
 
         def flush():
             found = [x for x in out() if len(x[1])]
             if found:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([x[0] for x in found], [len(x[1]) for x in found]), pa.int64()), pa.array(np.concatenate([x[1] for x in found]), pa.int64()), pa.array(np.concatenate([x[2] for x in found]), pa.int64())],
-                    ["query_id", "vec_id", "score"],
+                    [pa.array(np.repeat([x[0] for x in found], [len(x[1]) for x in found]), pa.int64()), pa.array(np.concatenate([x[1] for x in found]), pa.int64()), pa.array(np.concatenate([x[2] for x in found]), pa.int64()),
+                     pa.array(np.repeat([x[3] for x in found], [len(x[1]) for x in found]), pa.int64())],
+                    ["query_id", "vec_id", "score", "key"],
                 )
 
         def arrays(row, p):
             n, dim = row[f"{p}n"], row[f"{p}dim"]
             table = np.frombuffer(row[f"{p}table"], np.float64).reshape(n, -1)
-            return np.frombuffer(row[f"{p}ids"], np.int64), np.frombuffer(row[f"{p}rows"], np.float64).reshape(n, dim), np.frombuffer(row[f"{p}norms"], np.float64), table
+            return *(np.frombuffer(row[f"{p}{c}"], np.int64) for c in ("keys", "ids")), np.frombuffer(row[f"{p}rows"], np.float64).reshape(n, dim), np.frombuffer(row[f"{p}norms"], np.float64), table
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -203,16 +206,16 @@ def exact_top_k(
         if best:
             yield from flush()
 
-    partial = pairs.mapInArrow(met, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    partial = pairs.mapInArrow(met, "query_id long, vec_id long, score long, key long")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))
     return partial.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
-    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
 SELECT query_id, rank, vec_id, score FROM (
     SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score,
-        CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.e, c.e) DESC, c.vec_id) AS INTEGER) AS rank
-    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0) WHERE rank <= 10
+        CAST(row_number() OVER (PARTITION BY q.r ORDER BY list_dot_product(q.e, c.e) DESC, c.vec_id) AS INTEGER) AS rank
+    FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0) WHERE rank <= 10
 """

@@ -62,9 +62,9 @@ def test_words(spark, sf, odd, none, monkeypatch, block):
 def brute_top(rows, k):
     sound = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, q in sound:
+    for at, (i, q) in enumerate(sound):
         if i % 100 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in sound if j != i and len(v) == len(q))
+            scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for other, (j, v) in enumerate(sound) if other != at and len(v) == len(q))
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -72,7 +72,7 @@ def brute_top(rows, k):
 def test_top_k(spark):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(0, 0.2, 8).tolist()) for i in range(600)] + [(1000 + i, [0.5] * 8) for i in range(60)]
-    rows += [(700, None), (701, [None] * 8), (702, [float("nan")] * 8), (None, [1.0] * 8), (703, []), (704, []), (800, []), (900, [1e30] * 3), (901, [-1e30] * 3), (5, [9.0] * 8)]
+    rows += [(700, None), (701, [None] * 8), (702, [float("nan")] * 8), (None, [1.0] * 8), (703, []), (704, []), (800, []), (900, [1e30] * 3), (901, [-1e30] * 3), (5, [9.0] * 8), (100, [7.0] * 8), (100, [7.0] * 8), (0, [-3.0] * 8)]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
     got = sorted(map(tuple, top_k.exact_top_k(df, F.col("id") % 100 == 0, k=10).collect()))
     want = [(q, r, j, max(-(2**63), min(2**63 - 1, s))) for q, r, j, s in brute_top(rows, 10)]
@@ -89,11 +89,11 @@ def test_pivots_eliminate(spark):
         pivots = top_k.spread_apart(data[:1500], 128)
         table = top_k._distances(data, pivots)
         norms = table[:, 0] ** 2
-        best = top_k.Best(np.arange(40), data[:40], norms[:40], table[:40], 10)
+        best = top_k.Best(np.arange(40), np.arange(40), data[:40], norms[:40], table[:40], 10)
         assert (best.caps(norms, table) >= (data[:40].astype(np.int64) @ data.T.astype(np.int64))).all()
         for at in range(0, len(data), 1024):
             part = slice(at, at + 1024)
-            best.meet(np.arange(len(data))[part], data[part], norms[part], table[part])
+            best.meet(np.arange(len(data))[part], np.arange(len(data))[part], data[part], norms[part], table[part])
         assert best.evaluated <= most * 40 * len(data)
         for q, (scores, names) in enumerate(best.found):
             want = sorted((-int(s), j) for j, s in enumerate(data.astype(np.int64) @ data[q].astype(np.int64)) if j != q)[:10]
