@@ -54,10 +54,10 @@ def remaining_rows(part: DataFrame) -> DataFrame:
 
 
 def sliced(part: DataFrame, rows: DataFrame, gone: DataFrame | None = None, listed: int = 0) -> DataFrame:
-    """part, for batches that hold more than the credit, with lead and trail: how many rows by row_id from the start, and else
+    """part with lead and trail: how many rows by row_id from the start, and else
     from the end, sum to the credit; high and low: the last and first row of that slice. amounts: (row_id, net_paise) of batches of up to `listed` rows."""
     keys = [*ASKED, "txn_seq", "credit_paise", "n", "net", "lag"]
-    joined = unseen(part.filter("net > credit_paise").select(*keys).join(rows.select("scope", "settlement_id", "row_id", "net_paise"), ["scope", "settlement_id"]), gone)
+    joined = unseen(part.select(*keys).join(rows.select("scope", "settlement_id", "row_id", "net_paise"), ["scope", "settlement_id"]), gone)
     order = "OVER (PARTITION BY scope, txn_id, utr_pos, settlement_id ORDER BY row_id ROWS UNBOUNDED PRECEDING)"
     running = joined.selectExpr("*", f"sum(net_paise) {order} AS running", f"row_number() {order} AS place")
     ahead, behind = "running = credit_paise", "net - running + net_paise = credit_paise"
@@ -69,7 +69,7 @@ def sliced(part: DataFrame, rows: DataFrame, gone: DataFrame | None = None, list
 
 def slices(part: DataFrame, settlement: DataFrame, claims: DataFrame | None = None, leading: bool = True) -> DataFrame:
     """scope, txn_id, settlement_id, taken, n, risk: the shortest prefix (or suffix) by row_id that sums to the credit."""
-    cut_at = sliced(part, available(settlement, claims)).withColumn("taken", F.col("lead" if leading else "trail")).filter("taken is not null")
+    cut_at = sliced(part.filter("net > credit_paise"), available(settlement, claims)).withColumn("taken", F.col("lead" if leading else "trail")).filter("taken is not null")
     return cut_at.selectExpr("scope", "txn_id", "settlement_id", "taken", "n", f"{SLICE_RISK} AS risk")
 
 
@@ -88,17 +88,14 @@ def anchored_candidates(named: DataFrame, groups: DataFrame, rows: DataFrame, co
     remainder or a slice is told by its bounds, a subset by its members. guess: rows that lines take in this pass;
     gone: those and all taken before.
     """
-    part = part_paid(named, groups, guess)
-    at = sliced(part, rows, gone, config.subset_safe_rows)
-    at = at.selectExpr("*", f"lead is null AND trail is null AND {unsafe(config)} AS declined", f"lead is null AND trail is null AND NOT {unsafe(config)} AS ask")
+    at = sliced(part_paid(named, groups, guess), rows, gone, config.subset_safe_rows)
+    hard = "net > credit_paise AND lead is null AND trail is null"
+    at = at.selectExpr("*", f"{hard} AND {unsafe(config)} AS declined", f"{hard} AND NOT {unsafe(config)} AS ask", "net = credit_paise AS rest")
     at = at.withColumn("sets", _subsets(F.expr("if(ask, amounts.net_paise, array())"), "credit_paise")).selectExpr("*", "explode_outer(sets) AS chosen")
-    out = at.selectExpr(
-        *ASKED, "txn_seq", "CASE WHEN lead is not null THEN 'leading slice of the batch' WHEN trail is not null THEN 'trailing slice of the batch' WHEN chosen is not null THEN 'exact subset of the named batch' END AS strategy",
-        "if(lead is null, low, null) AS low", "if(lead is not null, high, null) AS high", "transform(chosen, i -> amounts[i]) AS members", "lag", f"CASE WHEN chosen is not null THEN {SET_RISK} WHEN lead is not null OR trail is not null THEN {SLICE_RISK} END AS risk",
-        "CAST(coalesce(lead, trail, size(chosen)) AS BIGINT) AS n_rows", "declined",
+    return at.selectExpr(
+        *ASKED, "txn_seq", "CASE WHEN rest THEN 'remaining rows of a partly paid batch' WHEN lead is not null THEN 'leading slice of the batch' WHEN trail is not null THEN 'trailing slice of the batch' "
+        "WHEN chosen is not null THEN 'exact subset of the named batch' END AS strategy",
+        "if(lead is null AND NOT rest, low, null) AS low", "if(lead is not null AND NOT rest, high, null) AS high", "transform(chosen, i -> amounts[i]) AS members", "lag",
+        f"CASE WHEN rest THEN 0.0D WHEN chosen is not null THEN {SET_RISK} WHEN lead is not null OR trail is not null THEN {SLICE_RISK} END AS risk",
+        "CAST(CASE WHEN rest THEN n ELSE coalesce(lead, trail, size(chosen)) END AS BIGINT) AS n_rows", "declined",
     ).filter("strategy is not null or declined")
-    rest = remaining_rows(part).selectExpr(
-        *ASKED, "txn_seq", "'remaining rows of a partly paid batch' AS strategy", "CAST(null AS STRING) AS low", "CAST(null AS STRING) AS high", f"CAST(null AS {MEMBERS}) AS members", "lag", "0.0D AS risk",
-        "n AS n_rows", "false AS declined",
-    )
-    return rest.unionByName(out)

@@ -17,7 +17,7 @@ from ledgerweave.storage import counted, cut
 
 from .anchored import MEMBERS, anchored_candidates, less_taken, unseen
 from .index import day_pools_in_window
-from .pools import MASK_RISK, MASK_ROWS, near_pools, nearest_first
+from .pools import MASK_RISK, MASK_ROWS, near_pools, nearest_first, with_rows_of
 
 LINE = ["scope", "txn_id"]
 #: Candidates, and a row without strategy for each line that is declined.
@@ -34,11 +34,7 @@ def judged(lines: DataFrame, named: DataFrame, groups: DataFrame, rows: DataFram
     mine = named.join(lines.select(*LINE), LINE, "left_semi")
     anchored = cut(anchored_candidates(mine, groups, rows, config, guess, gone), "anchored")
     rest = lines.join(anchored.filter("strategy is not null").select(*LINE), LINE, "left_anti")
-    one = loose.selectExpr("scope", "settled_on AS day", "row_seq", "row_id", "net_paise")
-
-    def with_rows(pairs: DataFrame) -> DataFrame:
-        return unseen(pairs.join(one, ["scope", "day"]), gone)
-
+    with_rows = with_rows_of(loose, lambda found: unseen(found, gone))
     near = day_pools_in_window(rest.select(*LINE, "txn_seq", "credit_paise", "value_date"), pools, config.date_window_days)
     near = less_taken(near, [*LINE, "settled_on"], ["scope", "settled_on"], {"n": "one", "net": "net_paise", "plus": "plus"}, guess).filter("n > 0")
     near = cut(near_pools(near.withColumnRenamed("settled_on", "day"), with_rows, config), "near-pools")

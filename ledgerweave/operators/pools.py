@@ -61,6 +61,8 @@ def unsafe(config: ReconcileConfig) -> str:
 
 def _way(amounts: np.ndarray, target: int, may_drop: bool, may_set: bool, most: int) -> list[list[int]] | None:
     """The positions kept: all but the dropped ones, else up to two exact subsets."""
+    if not len(amounts):
+        return None
     if may_drop:
         drop = complement(amounts, target, most)
         if drop is not None and len(drop) < len(amounts):
@@ -68,6 +70,11 @@ def _way(amounts: np.ndarray, target: int, may_drop: bool, may_set: bool, most:
     return [list(s) for s in subsets(amounts, target)] or None if may_set else None
 
 
+def by_line(rows: DataFrame) -> DataFrame:
+    """rows dealt by their line over a set number of tasks: few bytes and much work, so the number isn't cut down by their size."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "scope", "txn_id")
+
+
 def _judged(pairs: DataFrame, rows, config: ReconcileConfig, ask: str) -> DataFrame:
     """pairs (a line and a day) and, where asked, how and kept: what of the day's rows is the credit. Only pools that pass a gate, and hold enough, meet their rows."""
     most = config.max_complement_drop
@@ -80,15 +87,22 @@ def _judged(pairs: DataFrame, rows, config: ReconcileConfig, ask: str) -> DataFr
         "*", f"{unsafe(config)} AS unsafe", f"{DROP_RISK} AS drop_risk", f"{SET_RISK} AS set_risk", f"{ask} AND net > credit_paise AND {DROP_RISK} <= {config.max_collision_risk}D AS may_drop",
         f"{ask} AND plus >= credit_paise AND NOT {unsafe(config)} AS may_set",
     )
-    held = rows(pairs.filter("may_drop or may_set").select("scope", "txn_id", "day", "txn_seq", "credit_paise", "may_drop", "may_set"))
-    held = held.groupBy("scope", "txn_id", "day", "credit_paise", "may_drop", "may_set").agg(F.expr("sort_array(collect_list(struct(row_seq, row_id, net_paise))) AS pool"))
-    held = held.withColumn("way", way(F.expr("pool.net_paise"), "credit_paise", "may_drop", "may_set")).filter("way is not null")
+    # Pairs keep their row where no pool is asked for, so that they need not be joined with their answers.
+    held = rows(pairs, "may_drop OR may_set").groupBy("scope", "txn_id", "day").agg(
+        F.expr("sort_array(collect_list(if(row_id is null, null, struct(row_seq, row_id, net_paise)))) AS pool"), *[F.expr(f"first({c}) AS {c}") for c in pairs.columns if c not in ("scope", "txn_id", "day")]
+    )
+    held = held.withColumn("way", way(F.expr("pool.net_paise"), "credit_paise", "may_drop", "may_set"))
     # Positions of held-back ways come after a -1.
-    held = held.selectExpr(
-        "scope", "txn_id", "day", "if(way[0][0] = -1, 'drop', 'set') AS how",
+    return held.selectExpr(
+        *[c for c in pairs.columns if c not in ("may_drop", "may_set")], "if(way is null, null, if(way[0][0] = -1, 'drop', 'set')) AS how",
         "transform(way, one -> transform(filter(one, i -> i >= 0), i -> named_struct('row_id', pool[i].row_id, 'net_paise', pool[i].net_paise))) AS kept",
     )
-    return pairs.drop("may_drop", "may_set").join(held, ["scope", "txn_id", "day"], "left")
+
+
+def with_rows_of(loose: DataFrame, unseen=lambda rows: rows):
+    """A function that adds the rows (row_seq, row_id, net_paise; null if none) of a line's day to pairs (scope, day, ...) for which a condition holds."""
+    one = loose.selectExpr("scope AS l_scope", "settled_on AS l_day", "row_seq", "row_id", "net_paise")
+    return lambda pairs, when: unseen(pairs.join(one, F.expr(f"scope = l_scope AND day = l_day AND ({when})"), "left").drop("l_scope", "l_day"))
 
 
 PLACED = ["scope", "txn_id", "txn_seq", "credit_paise", "day", "lag", "n", "net", "plus"]
@@ -98,9 +112,9 @@ def near_pools(near: DataFrame, rows, config: ReconcileConfig) -> DataFrame:
     """The pools in each line's window, a row for each (PLACED) with its place, nearest first; on the first m, days, spread and hits (combined_days).
 
     Where no set of whole days is the credit, the nearest day is judged at once: how and kept.
-    near: PLACED. rows: a function that adds a pool's rows (row_seq, row_id, net_paise) to such pairs.
+    near: PLACED. rows: with_rows_of.
     """
-    line = combined_days(near.select(*PLACED), config.date_window_days)
+    line = combined_days(by_line(near.select(*PLACED)), config.date_window_days)
     order = "posexplode(array_sort(transform(map_entries(m), e -> struct(abs(e.key) AS far, e.value.day AS day, -e.key AS lag, e.value AS p)))) AS (at, e)"
     pairs = line.selectExpr("scope", "txn_id", "credit_paise", "m", "days", "spread", "hits", order).selectExpr(
         "scope", "txn_id", "e.p.txn_seq", "credit_paise", "e.day", "e.lag", "e.p.n", "e.p.net", "e.p.plus", "at + 1 AS place",

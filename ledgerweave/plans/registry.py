@@ -469,7 +469,7 @@ def nearest_pool(spark, sf_dir):
     lines, _ = index.split_lines(bank_of(spark, sf_dir).select("scope", "txn_id", "txn_seq", "value_date", "credit_paise"))
     loose = settlement_of(spark, sf_dir).filter("settlement_id is null").select("scope", "row_id", "row_seq", "net_paise", "settled_on")
     near = index.day_pools_in_window(lines, arithmetic.pool_totals(loose)).withColumnRenamed("settled_on", "day")
-    with_rows = lambda pairs: pairs.join(loose.withColumnRenamed("settled_on", "day"), ["scope", "day"])
+    with_rows = pools.with_rows_of(loose)
     found = pools.nearest_first(cut(pools.near_pools(near, with_rows, ReconcileConfig()), "near-pools"), with_rows, ReconcileConfig())
     keys = ["scope", "txn_id", "day", "lag", "strategy", "risk", "days_tried", "declined"]
     return _one_set(found.groupBy(*keys).agg(F.collect_list("members").alias("sets"))).select(*keys, "ways", "row_ids")

@@ -111,18 +111,21 @@ def _records(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
     files = cut(files.select("*", *[(F.array_position("names", n) - 1).cast("int").alias(f"at_{n}") for n in wanted]), "files")
     within = F.coalesce(F.sum("lines").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = blocks.withColumn("within", within).join(files, "file").select("file", "block", "first", (F.col("ahead") + F.col("within")).alias("before"), (files["breaks"] == 1).alias("breaks"))
-    most, broken = files.agg(F.max(F.size("names")), F.max("breaks")).first()
+    broken = files.agg(F.max("breaks")).first()[0]
     simple = text.join(blocks.filter("not breaks"), ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "value")
     if broken:
         torn = blocks.filter("breaks")
         simple = simple.unionByName(_joined_lines(text.join(torn.select("file").distinct(), "file", "left_semi"), torn))
     body = simple.join(files.withColumn("width", F.size("names")).drop("breaks", "names"), "file").filter(F.col("line_no") > F.col("ahead") + 1)
-    most = most or len(wanted)
-    fields = F.from_csv("value", ", ".join(f"`{k}` string" for k in range(most + 1)), {"mode": "PERMISSIVE", "nullValue": "\u0000", "emptyValue": "", "escape": '"', "maxCharsPerColumn": "-1"})
-    parsed = body.withColumn("f", fields).withColumn("f", F.array(*[F.col(f"f.`{k}`") for k in range(most)]))
-    found = F.size(F.split(F.regexp_replace("value", rf'(?<=^|,)"{QUOTED}"', ""), ",", -1))
+    parsed = body.withColumn("f", F.regexp_extract_all(F.concat(F.lit(","), "value"), F.lit(rf',("{QUOTED}$|{FIELD})'), F.lit(1)))
     blank = F.trim(F.translate("value", ",", " ")) == ""
-    return parsed.select(F.col("value").alias("raw"), "line_no", ((found == F.col("width")) & ~blank).alias("width_ok"), *[F.get("f", f"at_{n}").alias(n) for n in wanted])
+    return parsed.select(F.col("value").alias("raw"), "line_no", ((F.size("f") == F.col("width")) & ~blank).alias("width_ok"), *[_plain(F.get("f", f"at_{n}")).alias(n) for n in wanted])
+
+
+def _plain(field: Column) -> Column:
+    """A field without its quotes: what is quoted, a doubled quote as one, and what follows the closing quote."""
+    inside, after = F.regexp_extract(field, f'^"({QUOTED})', 1), F.regexp_extract(field, f'^"{QUOTED}"([^,]*)', 1)
+    return F.when(field.startswith('"'), F.concat(F.replace(inside, F.lit('""'), F.lit('"')), after)).otherwise(field)
 
 
 def _split(source: str, records: DataFrame, reason: Column, good: list[Column], scope: int | None = None) -> tuple[DataFrame, DataFrame]:

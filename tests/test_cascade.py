@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ledgerweave.config import ReconcileConfig
 from ledgerweave.functions.scalar import extract_utrs
+from ledgerweave.operators.components import components
+from ledgerweave.operators.tiers import EDGE, claim_in_order
 from ledgerweave.plans.reconcile import reconcile
 
 DAY0 = dt.date(2026, 4, 1)
@@ -56,10 +58,32 @@ def random_scope(rng):
     return rows, lines
 
 
+def dense_scope(rng, days=40):
+    """Something to pay every day, so that every line sees its neighbours' rows: whole days, days less a row, parts of batches, twins."""
+    rows, lines = [], []
+    for d in range(days):
+        sid, utr = (f"s{d}", f"{200000000000 + d}") if d % 3 == 0 else (None, None)
+        mine = [row(f"r{d}_{k}", d, rng.randint(2000, 90000) * 7, sid, utr) for k in range(rng.randint(2, 5))]
+        rows += mine
+        net, refs = sum(r["net"] for r in mine), [utr] if utr else []
+        credits = [[net], [net - mine[0]["net"]], [mine[0]["net"], net - mine[0]["net"]], [net, net], [net + 500]][rng.randrange(5)]
+        lines += [line(f"t{d}_{k}", d + rng.randint(0, 2), c, utrs=refs) for k, c in enumerate(credits)]
+    return rows, lines
+
+
+def chain_scope(parts=6):
+    """A batch that is paid out row by row, each line fitting only once the one before it has taken its row; and equal days."""
+    mine = batch(parts, sid="s", utr="300000000000", tag="c")
+    rows = mine + [row(f"e{d}", 20 + d, 70000) for d in range(4)]
+    lines = [line(f"p{k}", k % 3, r["net"], utrs=["300000000000"]) for k, r in enumerate(mine)]
+    return rows, lines + [line(f"e{d}", 20 + d, 70000) for d in range(4)]
+
+
 @pytest.mark.parametrize("adjudicated", [True, False])
 def test_against_the_model(spark, adjudicated):
     config = ReconcileConfig(adjudicate=adjudicated, subset_safe_rows=6)
     scopes = {s: random_scope(random.Random(s)) for s in range(60 if adjudicated else 20)}
+    scopes |= {100 + k: dense_scope(random.Random(k)) for k in range(3)} | {200: chain_scope()}
     got = run(spark, scopes, config)
     for s, (rows, lines) in scopes.items():
         want = Model(rows, lines, config).run()
@@ -103,6 +127,31 @@ def test_named_cases(spark):
     assert got[9, "a"][0] != "tier1_exact" and got[11, "a"][4] == "missing_in_bank"
 
 
+def test_claims_along_a_chain_and_in_cliques(spark):
+    """A chain is replayed as one component in one go; a clique of lines with several options claims nothing; components equal a union-find."""
+    edges = [(1, f"c{i}", i, f"b{j}", 1, 0, 0) for i in range(300) for j in (i - 1, i) if j >= 0]
+    edges += [(2, f"q{i}", i, f"b{j}", 1, 0, 0) for i in range(9) for j in range(7)] + [(3, "twice", 0, "b", 2, 0, 0), (3, "later", 1, "b", 1, 0, 0)]
+    df = spark.createDataFrame(edges, EDGE.rsplit(",", 1)[0])
+    won = {(r.scope, r.txn_id, r.settlement_id) for r in claim_in_order(df).filter("wins").collect()}
+    assert won == {(1, f"c{i}", f"b{i}") for i in range(300)} | {(3, "later", "b")}
+    rng = random.Random(6)
+    pairs = {(rng.randint(1, 3), rng.randint(0, 400), f"b{rng.randint(0, 420)}") for _ in range(450)}
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for s, i, b in pairs:
+        up[top((s, b))] = top((s, i))
+    least = {}
+    for s, i, _ in pairs:
+        least[top((s, i))] = min(least.get(top((s, i)), i), i)
+    got = {(r.scope, r.txn_seq): r.component for r in components(spark.createDataFrame(list(pairs), "scope long, txn_seq long, settlement_id string")).collect()}
+    assert got == {(s, i): least[top((s, i))] for s, i, _ in pairs}
+
+
 def test_references(spark):
     texts = [("NEFT-123456789012-RAZORPAY",), ("RTGS 1234567890123456 RZP",), ("BRANCH 250001 ACCT 98765",), (None,)]
     got = [r[0] for r in spark.createDataFrame(texts, "t string").select(extract_utrs(F.col("t"))).collect()]

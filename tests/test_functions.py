@@ -48,8 +48,7 @@ def test_risk_and_reason(spark):
 
 
 def test_subsets():
-    assert len(arith.subsets([100, 200, 300, 400], 700)) == 2 and arith.subsets([100, 200], 55) == []
-    assert arith.subsets([50000, 30000, 20000, -10000], 90000) and len(arith.subsets([1000, 2000, 3000], 3000)) == 2 and arith.subsets([5], 10**12) == []
+    assert arith.subsets([7, 11, 0, -4], 14) == [(0, 1, 3)] and arith.subsets([7, 11], 12) == [] and arith.subsets([3], arith.MOST_TARGET + 3) == []
     rng = random.Random(1)
     for _ in range(200):
         a = [rng.choice([0, rng.randint(-50, 200)]) for _ in range(rng.randint(1, 9))]
@@ -86,11 +85,10 @@ def test_subset_ways(spark):
 
 
 def test_complement():
-    assert arith.complement([500, 700, 900, 1100, 1900], 5100 - 2600) == (1, 4)
-    drop = arith.complement([500, 700, 900, 1100, 1300], 4500 - 2000)
-    assert drop is not None and sum([500, 700, 900, 1100, 1300][i] for i in drop) == 2000
-    assert arith.complement([10, 20], 30) == () and arith.complement([10, 20], 40) is None
-    assert arith.complement(list(np.arange(1, 130) * 1000 + 1), 10) is None
+    """Nothing to drop, more than there is, and a pool too large for triples; other cases are held against all sets below."""
+    assert arith.complement([4, 9], 13) == () and arith.complement([4, 9], 14) is None and arith.complement([], 5) is None
+    large = np.arange(arith.MOST_TRIPLE + 1) * 1000 + 7
+    assert arith.complement(large, int(large.sum()) - 21 - 6000) is None and arith.complement(large[:-1], int(large[:-1].sum()) - 21 - 6000) == (0, 1, 5)
 
 
 def test_spurious(spark):
@@ -255,3 +253,82 @@ def test_complement_against_all_sets():
         assert arith.complement(np.array(a), target) == want
     with pytest.raises(ValueError):
         arith.exact_sets(np.ones(60, np.int64), 7)
+
+
+def test_own_header_and_line_breaks(spark, tmp_path):
+    """Each file of a folder has its own column order; fields in quotes go over line breaks, also where a block ends inside one."""
+    import csv
+    import io
+
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "a.csv").write_text("txn_id,value_date,narration,credit,debit\na,2026-01-01,x,7.00,\n")
+    (tmp_path / "two" / "b.csv").write_text("txn_id,value_date,narration,debit,credit,more\nb,2026-01-01,x,,7.00,y\nc,2026-01-01,x,,7.00\n")
+    good, bad = files.read_bank(spark, str(tmp_path / "two"))
+    assert sorted((r.txn_id, r.credit_paise, r.debit_paise, r.txn_seq) for r in good.collect()) == [("a", 700, 0, 2), ("b", 700, 0, 4)]
+    assert [(r.line_no, r.reason) for r in bad.collect()] == [(5, "wrong column count")]
+    rng = random.Random(3)
+    kinds = ["plain", 'quo"te', "with, comma", "line\nbreak", '"', '""\n', 'a"b\nc"d,e', "\n\n", "", "three\n\nlines\n"]
+    rows = [[f"t{i}", "2026-01-01", rng.choice(kinds) + str(i % 7), "1.00", ""] for i in range(3000)]
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator="\n")
+    writer.writerow(files.BANK)
+    starts = []
+    for r in rows:
+        starts.append(out.getvalue().count("\n") + 1 if len(starts) < 50 else None)
+        writer.writerow(r)
+    out.write('s1,2026-01-01,stray " quote,2.00,\ns2,2026-01-01,"x"y"z,3.00,\n')
+    (tmp_path / "breaks.csv").write_text(out.getvalue())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 9_000)
+    try:
+        good, bad = files.read_bank(spark, str(tmp_path / "breaks.csv"))
+        got = {r.txn_id: (r.narration, r.txn_seq) for r in good.collect()}
+        assert spark.read.text(str(tmp_path / "breaks.csv")).rdd.getNumPartitions() > 5 and bad.count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {k: v[0] for k, v in got.items()} == {r[0]: r[2].strip(" ") for r in rows} | {"s1": 'stray " quote', "s2": 'xy"z'}
+    assert [got[r[0]][1] for r in rows[:50]] == starts[:50]
+
+
+def test_log_order_and_repeated_appends(spark, tmp_path):
+    """Quarantined records by file and line, then results in statement order; an append that is repeated leaves each entry once."""
+    kind = "scope long, txn_id string, tier string, row_ids array<string>, delta_paise long, confidence double, reason string, exception_type string, candidates_considered long"
+    results = spark.createDataFrame([(s, t, "tier1_exact", ["r"], 0, 0.99, "x", None, 1) for s in (4, 5) for t in ("a10", "a2", "b1")], kind)
+    bank = spark.createDataFrame([(s, t, k) for s in (4, 5) for k, t in enumerate(("b1", "a2", "a10"))], "scope long, txn_id string, txn_seq long")
+    bad = spark.createDataFrame([(4, "orders", 3, "r", "x"), (4, "bank_statement", 10, "r", "x"), (4, "bank_statement", 2, "r", "x"), (5, "settlement_report", 9, "r", "x")], "scope long, source string, line_no long, raw string, reason string")
+    log = audit.numbered(audit.audit_records(results, bank, bad))
+    got = {s: [r.subject for r in log.filter(F.col("scope") == s).orderBy("seq").collect()] for s in (4, 5)}
+    assert got == {4: ["bank_statement:2", "bank_statement:10", "orders:3", "b1", "a2", "a10"], 5: ["settlement_report:9", "b1", "a2", "a10"]}
+    path = str(tmp_path / "log")
+    for run in ("r1", "r2", "r1", "r1"):
+        tables.append_audit(log.withColumn("run_id", F.lit(run)), path)
+    assert tables.read_audit(spark, path, "r1").count() == tables.read_audit(spark, path, "r2").count() == 10
+
+
+def test_directory(spark, tmp_path):
+    """A second call of the same files finds the run; a run that was lost on its way is made again and replaces its parts; other settings have another fingerprint."""
+    from ledgerweave.config import ReconcileConfig
+    from ledgerweave.plans import directory
+
+    src, store = tmp_path / "in", str(tmp_path / "store")
+    src.mkdir()
+    (src / "settlement_report.csv").write_text(
+        "scope,row_id,kind,order_id,gross,fee,tax,settled_on,settlement_id,method,utr\n"
+        "7,p1,payment,,100.00,2,0.36,2026-04-01,s1,upi,123456789012\n7,p2,payment,,50.00,9,0.18,2026-04-01,s1,upi,123456789012\n8,p1,payment,,10,0,0,2026-04-01,,,\n7,p1,payment,,1,0,0,2026-04-01,,,\n"
+    )
+    (src / "bank_statement.csv").write_text('txn_id,value_date,narration,credit,debit,scope\nb1,2026-04-01,"RZP\n123456789012",138.46,,7\nb1,2026-04-02,RZP,10,,8\nb2,2026-04-02,cash,3,,8\n')
+    run = lambda run_id, at: directory.reconcile_directory(spark, str(src), store, run_id, at)
+    # What a lost run leaves: it was started, and wrote a part.
+    mark = audit.fingerprint(spark, [f"{src}/{n}" for n in files.FILES], json.dumps({**ReconcileConfig().__dict__, "scope": 0}, sort_keys=True)).first()[0]
+    tables.start_run(spark, f"{store}/runs", "lost", mark, "{}", "t0")
+    tables.write_part(spark.createDataFrame([(7, "zz")], "scope long, txn_id string"), f"{store}/results", "lost")
+    assert run("first", "t1") == ("lost", True) and run("second", "t2") == ("lost", False)
+    lines = {(r.scope, r.txn_id): (r.tier, r.position) for r in directory.read(spark, store, "results").collect()}
+    assert lines == {(7, "b1"): ("tier1_exact", 1), (8, "b1"): ("tier3_subset_sum", 1), (8, "b2"): ("tier5_exception", 2)}
+    log = directory.read(spark, store, "audit").orderBy("scope", "seq").collect()
+    assert [(r.scope, r.seq, r.kind, r.subject) for r in log] == [(7, 1, "quarantine", "settlement_report:5"), (7, 2, "match", "b1"), (8, 1, "match", "b1"), (8, 2, "exception", "b2")]
+    assert audit.verify_chain(directory.read(spark, store, "audit"), "scope").count() == 0
+    assert directory.read(spark, store, "drift").select("row_id").collect()[0].row_id == "p2"
+    assert tables.runs(spark, f"{store}/runs").select("run_id", "matched", "quarantined").collect()[0] == ("lost", 2, 1)
+    other = audit.fingerprint(spark, [f"{src}/{n}" for n in files.FILES], json.dumps({**ReconcileConfig(adjudicate=False).__dict__, "scope": 0}, sort_keys=True)).first()[0]
+    assert other != mark
