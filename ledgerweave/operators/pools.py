@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerweave.config import ReconcileConfig
 from ledgerweave.functions.scalar import collision_risk_sql
 
-from .arith import MOST_NEGATIVE, MOST_TARGET, complement, subsets
+from .arith import MOST_NEGATIVE, MOST_POSITIVE, MOST_TARGET, complement, decidable, subsets
 from .index import day_pools_in_window
 
 #: Days that may be taken together.
@@ -162,13 +162,13 @@ def complement_two(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def solve(pools: DataFrame, how: str, most: int = 3) -> DataFrame:
-    """pools (amounts array, target, ...) and `answer`: the dropped positions (how = complement) or up to two sets of positions (subset), as text."""
+    """pools (amounts array, target, ...) and `answer`: the dropped positions (how = complement) or up to two sets of positions (subset), as text; null where arith can't tell."""
     @F.pandas_udf("string")
     def answer(amounts: pd.Series, target: pd.Series) -> pd.Series:
         text = lambda rows: ",".join(map(str, rows))
         if how == "complement":
             return pd.Series([None if (d := complement(a, t, most)) is None else text(d) for a, t in zip(amounts, target)], dtype=object)
-        return pd.Series(["|".join(sorted(map(text, subsets(a, t)))) for a, t in zip(amounts, target)], dtype=object)
+        return pd.Series(["|".join(sorted(map(text, subsets(a, t)))) if decidable(a, t) else None for a, t in zip(amounts, target)], dtype=object)
 
     return pools.withColumn("answer", answer("amounts", "target"))
 
@@ -176,10 +176,14 @@ def solve(pools: DataFrame, how: str, most: int = 3) -> DataFrame:
 def subset_ways(pools: DataFrame, most_rows: int) -> DataFrame:
     """pool, n, ways (0, 1, or 2 for more), declined: one row a pool. pools: pool, amounts (array), target.
 
-    Declined, with ways null: more than most_rows rows, or a target or refunds beyond the bounds of arith.
+    Declined, with ways null: more than most_rows rows, or a target, payments, refunds or sums beyond the bounds of arith.
     """
-    n, bad = F.size("amounts").cast("long"), F.size(F.filter("amounts", lambda x: x < 0))
-    asked = pools.select("pool", "target", n.alias("n"), ((n > most_rows) | (F.col("target") <= 0) | (F.col("target") > MOST_TARGET) | (bad > MOST_NEGATIVE)).alias("declined"), "amounts")
-    solved = solve(asked.withColumn("amounts", F.when(F.col("declined"), F.array().cast("array<bigint>")).otherwise(F.col("amounts"))), "subset")
-    ways = F.when(F.col("declined"), None).when(F.col("answer") == "", 0).otherwise(F.size(F.split("answer", r"\|")))
-    return solved.select("pool", "n", ways.cast("int").alias("ways"), "declined")
+    n, plus, minus = F.size("amounts").cast("long"), F.size(F.filter("amounts", lambda x: x > 0)), F.size(F.filter("amounts", lambda x: x < 0))
+    beyond = (n > most_rows) | (F.col("target") <= 0) | (F.col("target") > MOST_TARGET) | (plus > MOST_POSITIVE) | (minus > MOST_NEGATIVE)
+    # Small in bytes, but large pools take long: Spark would put them all into few tasks.
+    parts = int(pools.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = pools.select("pool", "target", n.alias("n"), beyond.alias("beyond"), "amounts").repartition(parts, "pool")
+    solved = solve(asked.withColumn("amounts", F.when(F.col("beyond"), F.array().cast("array<bigint>")).otherwise(F.col("amounts"))), "subset")
+    declined = F.col("beyond") | F.col("answer").isNull()
+    ways = F.when(declined, None).when(F.col("answer") == "", 0).otherwise(F.size(F.split("answer", r"\|")))
+    return solved.select("pool", "n", ways.cast("int").alias("ways"), declined.alias("declined"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.config import ACTIONS, REASONS, ReconcileConfig
 from ledgerweave.functions import scalar as P
-from ledgerweave.operators import adjudicate, anchored, arithmetic, audit, classify, drift, explain, index, pools, score, tiers
+from ledgerweave.operators import adjudicate, anchored, arith, arithmetic, audit, classify, drift, explain, index, pools, score, tiers
 from ledgerweave.plans.directory import read as read_store
 from ledgerweave.plans.directory import reconcile_directory
 from ledgerweave.plans.reconcile import Reconciliation, deterministic_only, reconcile
@@ -415,6 +415,14 @@ def subset_sum(spark, sf_dir):
     return pools.subset_ways(asked, ReconcileConfig().subset_safe_rows)
 
 
+@query()
+def solve_subset_sum(spark, sf_dir):
+    """The same without the row gate of the cascade: up to 64 payments and 14 refunds a pool."""
+    rows = pool_rows(spark, sf_dir)
+    asked = rows.groupBy("pool").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "amount"))), lambda x: x["amount"]).alias("amounts"), F.sum(F.when(F.col("pos") % 2 == 0, F.col("amount"))).alias("target"))
+    return pools.subset_ways(asked, arith.MOST_POSITIVE + arith.MOST_NEGATIVE)
+
+
 @query(POOL + SUBSET_WAYS.format(columns="pool, ways") + " WHERE target > 0", ("settlement",))
 def subset_sum_small(spark, sf_dir):
     """The same for pools with a positive target, without the columns that tell why there is no answer."""

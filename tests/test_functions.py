@@ -106,18 +106,19 @@ def test_spurious_all_sizes(spark):
     from ledgerweave.plans import registry
 
     rng = random.Random(5)
-    made = [[rng.choice([0, -300, rng.randint(1, 50)]) * 100 for _ in range(n)] for n in (3, 8, 16) for _ in range(6)] + [[-1] * 16 + [16, 10**9], [1] * 41]
+    made = [[rng.choice([0, -300, rng.randint(1, 50)]) * 100 for _ in range(n)] for n in (3, 8, 16) for _ in range(6)] + [[-1] * 16 + [16, 10**9], [1] * 41, [1] * 79]
     rows = [(str(k), a, sum(a[::2])) for k, a in enumerate(made)]
     want = {n: sum(brute_ways(a, t) > 1 for _, a, t in rows if len(a) == n) for n in (3, 8, 16, 18)}
     got = {r.n: r for r in score.spurious_match_rate(spark.createDataFrame(rows, "pool_id string, amounts array<long>, target long")).collect()}
     assert {n: got[n].spurious for n in want} == want and want[18] == 1 and all(got[n].evaluated == got[n].pools for n in want)
-    assert (got[41].pools, got[41].evaluated, got[41].spurious, got[41].rate) == (1, 0, None, None)
+    assert (got[41].pools, got[41].evaluated, got[41].spurious, got[41].rate) == (1, 1, 1, 1.0)
+    assert (got[79].pools, got[79].evaluated, got[79].spurious, got[79].rate) == (1, 0, None, None)
 
     sf = "/root/testdata/sf0.01"
     sizes = registry.settlement_of(spark, sf).groupBy("scope", "settled_on").count().groupBy("count").agg(F.count(F.lit(1))).collect()
     got = {r.n: r for r in registry.QUERIES["spurious_match_rate"](spark, sf).collect()}
     assert {n: r.pools for n, r in got.items()} == dict(map(tuple, sizes)) and max(got) > 24
-    assert all(r.evaluated == (r.pools if n <= 40 else 0) for n, r in got.items())
+    assert all(r.evaluated == r.pools for r in got.values())
 
 
 def test_policy_and_replies(spark):
@@ -251,8 +252,74 @@ def test_complement_against_all_sets():
         triples = [(i, j, k) for i in range(n) for j in range(i + 1, n) for k in range(j + 1, n) if a[i] + a[j] + a[k] == gap]
         want = None if gap < 0 else () if gap == 0 else singles[0] if singles else (-pairs[0][1], pairs[0][0]) if pairs else triples[0] if triples else None
         assert arith.complement(np.array(a), target) == want
+
+
+def counted_ways(amounts, target):
+    """How many sets of non-zero amounts sum to target, by counting the ways to every sum."""
+    ways = {0: 1}
+    for x in filter(None, amounts):
+        more = dict(ways)
+        for s, n in ways.items():
+            more[s + x] = more.get(s + x, 0) + n
+        ways = more
+    return ways.get(target, 0) - (target == 0)
+
+
+def large_pools(seed, sizes=(33, 44, 45, 64, 78)):
+    """Pools of up to 64 payments and 14 refunds, with every kind of target: none, few and many sets, all rows, refunds alone."""
+    rng = random.Random(seed)
+    for n in sizes:
+        for most in (3, 40, 900):
+            for refunds in (max(0, n - 64), 14):
+                unit = rng.choice([1, 100])
+                a = [-unit * rng.randint(1, most) for _ in range(refunds)] + [unit * rng.choice([0] + [rng.randint(1, most)] * 9) for _ in range(n - refunds)]
+                rng.shuffle(a)
+                plus = [x for x in a if x > 0]
+                for t in (sum(plus), sum(a), sum(a[::2]), sum(plus) - min(plus), sum(plus) + unit, unit + 1, 0, sum(a) - sum(plus), sum(a) - sum(plus) - unit):
+                    yield a, t
+
+
+def test_large_subsets():
+    """Pools of more rows than can be listed, against the count of all ways."""
+    for a, t in large_pools(6):
+        want, got = counted_ways(a, t), arith.exact_sets(np.array(a), t)
+        assert len(got) == min(2, want) and len(set(got)) == len(got)
+        assert all(sum(a[i] for i in g) == t and all(a[i] for i in g) and list(g) == sorted(set(g)) for g in got)
+    # The only set: powers of two; a second one: two equal rows of which one is used.
+    a = [3 * 2**k for k in range(24)] + [0] * 20 + [10**8 + 1] * 20
+    assert arith.exact_sets(np.array(a), 3 * (2**24 - 1)) == [tuple(range(24))]
+    assert len(arith.exact_sets(np.array(a), 3 * 5 + 10**8 + 1)) == 2 and arith.exact_sets(np.array(a), 10) == []
+    assert arith.subsets([1] * 65, 7) == [] and len(arith.subsets([1] * 64 + [-1] * 14, 7)) == 2
+
+
+def test_sums_beyond_the_tables():
+    """Sums that no table holds: few rows are listed, more can't be told."""
+    few, more = np.arange(1, 45) * 10**9 + 1, np.arange(1, 46) * 10**9 + 1
+    assert arith.decidable(few, 10**10) and not arith.decidable(more, 10**12) and arith.decidable(more // 10**9, 10**12)
     with pytest.raises(ValueError):
-        arith.exact_sets(np.ones(60, np.int64), 7)
+        arith.exact_sets(more, 10**12)
+
+
+def test_solve_subset_sum(spark):
+    """Pools beyond the row gate of the cascade; declined are too many payments or refunds, and targets beyond the bound."""
+    from ledgerweave.operators import pools
+    from ledgerweave.plans import registry
+
+    made = [(str(k), a, t) for k, (a, t) in enumerate(large_pools(8, (20, 45, 78)))]
+    far = [("more", [1] * 65, 7), ("back", [-1] * 15 + [30], 15), ("far", [10**8 + 1], 10**8 + 1), ("wide", [-(10**9)] * 2 + [5 * 10**8 + k for k in range(60)], 10**8)]
+    got = {r.pool: (r.n, r.ways, r.declined) for r in pools.subset_ways(spark.createDataFrame(made + far, "pool string, amounts array<long>, target long"), 78).collect()}
+    want = {p: (len(a), None, True) if t <= 0 or sum(x < 0 for x in a) > 14 else (len(a), min(2, counted_ways(a, t)), False) for p, a, t in made}
+    assert got == want | {p: (len(a), None, True) for p, a, _ in far}
+
+    sf = "/root/testdata/sf0.01"
+    wide = {r.pool: r for r in registry.QUERIES["solve_subset_sum"](spark, sf).collect()}
+    gated = {r.pool: r for r in registry.QUERIES["subset_sum"](spark, sf).collect()}
+    assert set(wide) == set(gated) and all(wide[p].ways == r.ways for p, r in gated.items() if not r.declined)
+    rows = {}
+    for r in registry.pool_rows(spark, sf).orderBy("pos").collect():
+        rows.setdefault(r.pool, []).append(r.amount)
+    beyond = [(p, a) for p, a in rows.items() if 20 < len(a) <= 26]
+    assert beyond and all(wide[p].declined if sum(a[::2]) <= 0 else wide[p].ways == min(2, brute_ways(a, sum(a[::2]))) for p, a in beyond)
 
 
 def test_own_header_and_line_breaks(spark, tmp_path):
