@@ -180,9 +180,9 @@ def subset_ways(pools: DataFrame, most_rows: int) -> DataFrame:
     """
     n, plus, minus = F.size("amounts").cast("long"), F.size(F.filter("amounts", lambda x: x > 0)), F.size(F.filter("amounts", lambda x: x < 0))
     beyond = (n > most_rows) | (F.col("target") <= 0) | (F.col("target") > MOST_TARGET) | (plus > MOST_POSITIVE) | (minus > MOST_NEGATIVE)
-    # Small in bytes, but large pools take long: Spark would put them all into few tasks.
+    # Small in bytes, but large pools take long: Spark would put them all into few tasks. By the pool itself they lie already.
     parts = int(pools.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = pools.select("pool", "target", n.alias("n"), beyond.alias("beyond"), "amounts").repartition(parts, "pool")
+    asked = pools.select("pool", "target", n.alias("n"), beyond.alias("beyond"), "amounts").repartition(parts, F.xxhash64("pool"))
     solved = solve(asked.withColumn("amounts", F.when(F.col("beyond"), F.array().cast("array<bigint>")).otherwise(F.col("amounts"))), "subset")
     declined = F.col("beyond") | F.col("answer").isNull()
     ways = F.when(declined, None).when(F.col("answer") == "", 0).otherwise(F.size(F.split("answer", r"\|")))
