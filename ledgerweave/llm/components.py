@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_ROWS, Steps, partitions, written
+from .common import HOT_ROWS, Steps, partitions
 
 
-def _all_stars(edges: DataFrame) -> bool:
+def _all_stars(edges: DataFrame, steps: Steps) -> bool:
     """Whether every larger end hangs on one smaller end that hangs on nothing: then all is settled."""
     ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(
         edges.select(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above"))
     )
-    return ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).filter("below > 1 or below + above > 1").isEmpty()
+    odd = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).filter("below > 1 or below + above > 1")
+    return steps.fewer(odd).isEmpty()
 
 
 def _with_low(edges: DataFrame, low: DataFrame, limit: int) -> DataFrame:
@@ -30,21 +31,22 @@ def components(links: DataFrame, steps: Steps | None = None, most_rounds: int =
     neighbour, then every node and its smaller neighbours are. The number of rounds grows with the logarithm of the
     number of nodes. Minima are taken with partial sums. Edges of hubs (at most twice the number of partitions, by
     the bound on their edges) aren't shuffled: the hubs are broadcast. Each round is written to the shared folder,
-    in the folder of `steps` if given. Repeated links, self-links and nulls are ignored.
+    in the folder of `steps` if given; the smallest neighbours too, as both the hubs and the rest are read from them.
+    Repeated links, self-links and nulls are ignored.
     """
-    keep = steps.written if steps else written
-    n = partitions(links.sparkSession)
+    steps = steps or Steps(links.sparkSession, "components")
+    keep, n = steps.written, partitions(links.sparkSession)
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     edges = keep(edges, "links")
     for _ in range(most_rounds):
-        if _all_stars(edges):
+        if _all_stars(edges, steps):
             break
         limit = max(HOT_ROWS, edges.count() // n)
         lowest = lambda e: e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = lowest(both).select("u", F.least("u", "m").alias("m"), "n")
+        low = keep(lowest(both).select("u", F.least("u", "m").alias("m"), "n"), "lowest")
         large = keep(_with_low(both, low, limit).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "links")
-        low = lowest(large)
+        low = keep(lowest(large), "lowest")
         small = _with_low(large, low, limit).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = keep(small.filter("u <> v").distinct(), "links")
     else:

@@ -92,3 +92,24 @@ def test_minima_estimate():
     a = np.arange(1, 1001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x, y = near_dedup.minima(np.unique(a[:900])), near_dedup.minima(np.unique(a[100:]))
     assert abs((x == y).mean() - 0.8) < 0.2
+
+
+def test_small_tables_take_few_tasks(spark, sf):
+    """The number of shuffle partitions is for large tables: the steps of a small one don't launch as many tasks each."""
+    name, coalesce = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(name)
+    spark.conf.set(name, 64)
+    spark.conf.set(coalesce, "false")
+    spark.sparkContext.setJobGroup("near-tasks", "near-tasks")
+    try:
+        got = near_dedup.near_groups(spark.read.parquet(f"{sf}/documents.parquet"), 4).collect()
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("near-tasks") for s in tracker.getJobInfo(j).stageIds}
+        infos = [x for x in map(tracker.getStageInfo, stages) if x and x.numCompletedTasks]
+        tasks = sum(x.numCompletedTasks for x in infos)
+    finally:
+        spark.conf.set(name, old)
+        spark.conf.unset(coalesce)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert 0 < tasks < 1750  # 2204 before
