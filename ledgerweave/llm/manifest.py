@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import partitions, tasks_for, written
 
 #: Levels that a block of neighbours is folded by at a time.
 BLOCK_LEVELS = 8
@@ -41,11 +41,16 @@ def field(value: Column) -> Column:
     return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
 
 
+def kept(rows: DataFrame, name: str, of: int) -> DataFrame:
+    """rows written and read again, in the tasks that a table of so many rows is worth; partitions are joined, not dealt anew."""
+    return written(rows.coalesce(tasks_for(rows.sparkSession, of)), name)
+
+
 def numbered(rows: DataFrame, tree: str, order: list[str]) -> DataFrame:
     """rows with `at`, their place from 0 in their tree, and `leaves`, the tree's size. rows: a written table; order makes each row unique."""
-    n = partitions(rows.sparkSession)
+    n, count = partitions(rows.sparkSession), rows.count()
     ranged = rows.repartitionByRange(n, tree, *order).sortWithinPartitions(tree, *order).withColumn("seat", F.monotonically_increasing_id())
-    ranged = written(ranged, "manifest-ranges").withColumn("range", F.shiftright("seat", IN_TASK))
+    ranged = kept(ranged, "manifest-ranges", count).withColumn("range", F.shiftright("seat", IN_TASK))
     # A row for each range and tree in it: at most ranges + trees rows.
     runs = ranged.groupBy("range", tree).agg(F.min("seat").alias("first_seat"), F.count(F.lit(1)).alias("rows"))
     whole = Window.partitionBy(tree)
@@ -53,7 +58,7 @@ def numbered(rows: DataFrame, tree: str, order: list[str]) -> DataFrame:
         "range", F.col(tree).alias("of"), (F.coalesce(F.sum("rows").over(whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("first_seat")).alias("shift"),
         F.sum("rows").over(whole).alias("leaves"),
     )
-    runs = written(runs, "manifest-runs").withColumnRenamed("range", "range_of")
+    runs = kept(runs, "manifest-runs", n).withColumnRenamed("range", "range_of")
     joined = ranged.join(runs, (F.col("range") == F.col("range_of")) & F.col(tree).eqNullSafe(F.col("of")))
     return joined.select(*rows.columns, (F.col("seat") + F.col("shift")).alias("at"), "leaves")
 
@@ -85,14 +90,14 @@ def block_pass(nodes: DataFrame, tree: str, digest: str, levels: int) -> DataFra
 
 def folded(nodes: DataFrame, tree: str, digest: str, levels: int = BLOCK_LEVELS) -> tuple[DataFrame, DataFrame]:
     """For numbered nodes: the same rows with `path`, all siblings up to the root of their tree; and (tree, root) of every tree."""
-    most = nodes.agg(F.max("leaves")).first()[0] or 0
-    passes = [written(block_pass(nodes, tree, digest, levels), "manifest-pass")]
+    count, most = nodes.agg(F.count(F.lit(1)), F.max("leaves")).first()
+    most, passes = most or 0, [kept(block_pass(nodes, tree, digest, levels), "manifest-pass", count)]
     while most > 1 << levels:
         most = -(-most >> levels)
         tops = passes[-1].filter(F.col("top").isNotNull()).select(
             F.col(tree), F.col("block").alias("at"), F.ceil(F.col("leaves") / (1 << levels)).cast("long").alias("leaves"), F.col("top").alias("d0")
         )
-        passes.append(written(block_pass(tops, tree, "d0", levels), "manifest-pass"))
+        passes.append(kept(block_pass(tops, tree, "d0", levels), "manifest-pass", tops.count()))
     roots = passes[-1].filter(F.col("top").isNotNull() & (F.col("block") == 0)).select(tree, F.col("top").alias("root"))
 
     def below(above: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -122,13 +127,14 @@ def manifest(docs: DataFrame, tree_col: str = "lang", id_col: str = "doc_id", co
         F.monotonically_increasing_id().alias("turn"),
     )
     leaves = written(leaves, "manifest-leaves")
+    count = leaves.count()
     rows, subroots = folded(numbered(leaves, "tree", ["doc_id", "leaf", "turn"]), "tree", "leaf")
     # The languages' roots are the leaves of one tree more; a null language is the first.
-    langs = written(subroots.select(F.lit(0).alias("all"), F.col("tree"), F.col("root").alias("subroot")), "manifest-subroots")
+    langs = kept(subroots.select(F.lit(0).alias("all"), F.col("tree"), F.col("root").alias("subroot")), "manifest-subroots", 1)
     langs, root = folded(numbered(langs, "all", ["tree"]), "all", "subroot")
     upper = langs.join(root, "all").select(F.col("tree").alias("of"), "subroot", "root", F.col("path").alias("upper"))
-    upper = written(upper, "manifest-upper")
-    joined = rows.join(upper, F.col("tree").eqNullSafe(F.col("of"))).withColumn("path", F.concat("path", "upper"))
+    upper = kept(upper, "manifest-upper", 1)
+    joined = rows.coalesce(tasks_for(rows.sparkSession, count)).join(upper, F.col("tree").eqNullSafe(F.col("of"))).withColumn("path", F.concat("path", "upper"))
     out = joined.withColumn("folded_root", climbed(F.col("seen_leaf"), F.col("path")))
     proof = F.sha2(F.array_join(F.transform("path", lambda s: s["sibling"]), "").cast("binary"), 256)
     return out.select("doc_id", "leaf", "subroot", "root", "path", proof.alias("proof_sha256"), "seen_leaf", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))

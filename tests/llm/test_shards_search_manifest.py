@@ -225,3 +225,23 @@ def test_manifest_hot_id_and_many_passes(spark, monkeypatch):
     folded = manifest.folded
     monkeypatch.setattr(manifest, "folded", lambda nodes, tree, digest: folded(nodes, tree, digest, levels=2))
     both(spark, [(4 if i % 3 == 0 else i, "s", "en", 1, "same text" if i % 3 == 0 else f"t{i}") for i in range(900)])
+
+
+def test_small_manifest_takes_few_tasks(spark, sf):
+    """The number of shuffle partitions is for large tables: the steps of a small one don't write as many files each."""
+    name, coalesce = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    old, docs = spark.conf.get(name), spark.read.parquet(f"{sf}/documents.parquet")
+    want = sorted(map(tuple, manifest.manifest(docs).drop("path").collect()))
+    spark.conf.set(name, 64)
+    spark.conf.set(coalesce, "false")
+    spark.sparkContext.setJobGroup("manifest-tasks", "manifest-tasks")
+    try:
+        got = sorted(map(tuple, manifest.manifest(docs).drop("path").collect()))
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("manifest-tasks") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(x.numCompletedTasks for x in map(tracker.getStageInfo, stages) if x)
+    finally:
+        spark.conf.set(name, old)
+        spark.conf.unset(coalesce)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == want and 0 < tasks < 400  # 530 before
