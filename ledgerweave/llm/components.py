@@ -31,7 +31,8 @@ def components(links: DataFrame, steps: Steps | None = None, most_rounds: int =
     neighbour, then every node and its smaller neighbours are. The number of rounds grows with the logarithm of the
     number of nodes. Minima are taken with partial sums. Edges of hubs (at most twice the number of partitions, by
     the bound on their edges) aren't shuffled: the hubs are broadcast. Each round is written to the shared folder,
-    in the folder of `steps` if given; the smallest neighbours too, as both the hubs and the rest are read from them.
+    in the folder of `steps` if given, in as many tasks as its rows are worth; the smallest neighbours too, as both
+    the hubs and the rest are read from them.
     Repeated links, self-links and nulls are ignored.
     """
     steps = steps or Steps(links.sparkSession, "components")
@@ -41,14 +42,15 @@ def components(links: DataFrame, steps: Steps | None = None, most_rounds: int =
     for _ in range(most_rounds):
         if _all_stars(edges, steps):
             break
-        limit = max(HOT_ROWS, edges.count() // n)
+        rows = edges.count()
+        limit, most = max(HOT_ROWS, rows // n), 2 * rows  # no table of the round has more
         lowest = lambda e: e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = keep(lowest(both).select("u", F.least("u", "m").alias("m"), "n"), "lowest")
-        large = keep(_with_low(both, low, limit).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "links")
-        low = keep(lowest(large), "lowest")
+        low = keep(lowest(both).select("u", F.least("u", "m").alias("m"), "n"), "lowest", most)
+        large = keep(_with_low(both, low, limit).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "links", most)
+        low = keep(lowest(large), "lowest", most)
         small = _with_low(large, low, limit).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = keep(small.filter("u <> v").distinct(), "links")
+        edges = keep(small.filter("u <> v").distinct(), "links", most)
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import partitions, tasks_for, written
 
 #: Fixed value: the characters that do not count, [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -39,7 +39,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []),
     )
     # At most n / HOT_SHARE texts can have so many rows: that bounds the broadcast.
-    limit = max(HOT_ROWS, int(HOT_SHARE * docs.count() / n))
+    count = docs.count()
+    limit = max(HOT_ROWS, int(HOT_SHARE * count / n))
     hot = (
         rows.groupBy(F.xxhash64("norm").alias("hot_key")).agg(F.count(F.lit(1)).alias("hot_rows"))
         .filter(F.col("hot_rows") > limit).withColumn("salts", F.ceil(F.col("hot_rows") / limit))
@@ -61,7 +62,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     local = local.withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256)).withColumn(
         "norm", F.when(F.col("hot") & (F.col("place") == 1), F.col("norm"))
     )
-    local = written(local, "exact")
+    local = written(local.coalesce(tasks_for(spark, count)), "exact")
     winner = F.min(F.struct((-F.col("best_points")).alias("points"), F.col("best_id").isNull().alias("no_id"), F.col("best_id").alias("id"), F.col("salt").alias("part")))
     merged = (
         local.filter("hot and place = 1").groupBy("norm").agg(winner.alias("w"), F.sum("rows").alias("all_rows"), F.first("text_sha256").alias("of"))

@@ -11,6 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from ledgerweave.llm import bpe, exact_dedup, queries, top_k, words_bpe
+from ledgerweave.llm.common import written
 
 BLANKS = dict.fromkeys(map(ord, " \t\n\x0b\x0c\r"))
 
@@ -105,3 +106,27 @@ def test_top_k_query(spark, sf):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
     assert sorted(map(tuple, queries.op10_top_k(spark, sf).collect())) == sorted(con.execute(top_k.ORACLE).fetchall())
+
+
+def test_small_tables_write_few_files(spark, sf, monkeypatch):
+    """The ranges of a small table are written by as many tasks as its rows are worth, not by one for each range."""
+    name, coalesce = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    old, files = spark.conf.get(name), []
+
+    def counted(df, *more):
+        out = written(df, *more)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(exact_dedup, "written", counted)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = sorted(map(repr, exact_dedup.exact_groups(docs).collect()))
+    spark.conf.set(name, 64)
+    spark.conf.set(coalesce, "false")
+    files.clear()
+    try:
+        assert sorted(map(repr, exact_dedup.exact_groups(docs).collect())) == want
+    finally:
+        spark.conf.set(name, old)
+        spark.conf.unset(coalesce)
+    assert files and max(files) <= spark.sparkContext.defaultParallelism  # 64 before

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from ledgerweave.llm import components, near_dedup, queries
+from ledgerweave.llm.common import Steps
 
 
 def brute_set(text, k):
@@ -113,3 +114,49 @@ def test_small_tables_take_few_tasks(spark, sf):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert 0 < tasks < 1750  # 2204 before
+
+
+def test_rounds_of_components_write_few_files(spark):
+    """Tables of a round are written by as many tasks as their rows are worth; many links still get several tasks."""
+    name, coalesce = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(name)
+    spark.conf.set(name, 64)
+    spark.conf.set(coalesce, "false")
+    files = {}
+
+    class Counted(Steps):
+        def written(self, df, *more):
+            out = super().written(df, *more)
+            files.setdefault(more[0], []).append(len(out.inputFiles()))
+            return out
+
+    try:
+        for n in (300, 6000):
+            files.clear()
+            links = spark.range(n).selectExpr("id a", "id + IF(id % 3 = 2, 0, 1) b")
+            got = {r.node: r.component for r in components.components(links, Counted(spark, "few", tasks=8)).collect()}
+            assert got == {x: x - x % 3 for x in range(n)}
+            rounds = files["lowest"] + files["links"][1:]
+            assert rounds and max(rounds) <= (1 if n == 300 else 8), files  # 8 before
+            assert n == 300 or max(rounds) > 1, files
+    finally:
+        spark.conf.set(name, old)
+        spark.conf.unset(coalesce)
+
+
+def test_what_stays_of_a_small_table_has_few_tasks(spark, sf):
+    """The rows that stay come in as many tasks as the table is worth, and are those of near_groups."""
+    name, coalesce = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    old, docs = spark.conf.get(name), spark.read.parquet(f"{sf}/documents.parquet")
+    want = sorted(r.doc_id for r in near_dedup.near_groups(docs, 4).filter("kept").collect())
+    spark.conf.set(name, 64)
+    spark.conf.set(coalesce, "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = near_dedup.drop_near_copies(docs, 4)
+        assert out.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism  # 64 before
+        assert sorted(r.doc_id for r in out.collect()) == want
+    finally:
+        spark.conf.set(name, old)
+        for key in (coalesce, "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(key)
