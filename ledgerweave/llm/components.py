@@ -33,7 +33,7 @@ def components(links: DataFrame, steps: Steps | None = None, most_rounds: int =
     the bound on their edges) aren't shuffled: the hubs are broadcast. Each round is written to the shared folder,
     in the folder of `steps` if given, in as many tasks as its rows are worth; the smallest neighbours too, as both
     the hubs and the rest are read from them.
-    Repeated links, self-links and nulls are ignored.
+    Repeated links, self-links and nulls are ignored. links are read once, so they needn't be written before.
     """
     steps = steps or Steps(links.sparkSession, "components")
     keep, n = steps.written, partitions(links.sparkSession)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from ledgerweave.llm import components, near_dedup, queries
+from ledgerweave.llm import common, components, near_dedup, queries
 from ledgerweave.llm.common import Steps
 
 
@@ -160,3 +160,42 @@ def test_what_stays_of_a_small_table_has_few_tasks(spark, sf):
         spark.conf.set(name, old)
         for key in (coalesce, "spark.sql.autoBroadcastJoinThreshold"):
             spark.conf.unset(key)
+
+
+def test_tables_of_steps_have_few_files(spark, sf, monkeypatch):
+    """A table that is worth a task for each of 64 partitions is worked on by as many, but written in a quarter of the files; the result too.
+
+    Only the two tables whose rows Python makes in the same tasks keep a file for each of them.
+    """
+    name, coalesce = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    old, docs, files = spark.conf.get(name), spark.read.parquet(f"{sf}/documents.parquet"), {}
+    want = sorted(map(tuple, near_dedup.near_groups(docs, 4).collect()))
+
+    class Counted(Steps):
+        def written(self, df, *more, **how):
+            out = super().written(df, *more, **how)
+            files.setdefault(more[0], []).append(len(out.inputFiles()))
+            return out
+
+    def counted(df, label, write=near_dedup.written):
+        out = write(df, label)
+        files.setdefault(label, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(common, "TASK_ROWS", 1)
+    monkeypatch.setattr(near_dedup, "Steps", Counted)
+    monkeypatch.setattr(near_dedup, "written", counted)
+    spark.conf.set(name, 64)
+    spark.conf.set(coalesce, "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = near_dedup.near_groups(docs.repartition(64), 4)
+        most = max(spark.sparkContext.defaultParallelism, 16)
+        assert max(max(x) for k, x in files.items() if k not in ("sets", "ties")) <= most, files  # 64 before
+        assert out.rdd.getNumPartitions() <= most  # 64 before
+        assert sorted(map(tuple, out.collect())) == want
+        assert not {"links-1", "likely", "links-2"} & files.keys()  # each was written for one reader
+    finally:
+        spark.conf.set(name, old)
+        for key in (coalesce, "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(key)
