@@ -399,3 +399,25 @@ def test_directory(spark, tmp_path):
     assert tables.runs(spark, f"{store}/runs").select("run_id", "matched", "quarantined").collect()[0] == ("lost", 2, 1)
     other = audit.fingerprint(spark, [f"{src}/{n}" for n in files.FILES], json.dumps({**ReconcileConfig(adjudicate=False).__dict__, "scope": 0}, sort_keys=True)).first()[0]
     assert other != mark
+
+
+def test_settlement_records_are_taken_apart_once(spark, tmp_path):
+    """No field is cut out of its record again for a filter or a count, however many columns ask for it."""
+    header = ",".join(files.SETTLEMENT)
+    lines = ["a,payment,,10.00,0.20,0.03,2026-01-01,s,upi,u", 'b,payment,"x,y",10.00,0,0,2026-01-01,,,', "a,payment,,10.00,0,0,2026-01-01,,,", "c,payment,,1e5,0,0,2026-01-01,,,", "c,payment,,-0.50,0,0,01-02-2026,,,", "c,refund,,7.5,0,0,2026-02-31,,,", "c,refund,,7.5,0,0,2026-02-01,,,"]
+    (tmp_path / "s.csv").write_text("\n".join([header, *lines]) + "\n")
+    good, bad = files.read_settlement(spark, str(tmp_path / "s.csv"))
+    rows = [(r.row_id, r.order_id, r.gross_paise, r.net_paise, str(r.settled_on), r.row_seq) for r in good.orderBy("row_seq").collect()]
+    assert rows == [("a", None, 1000, 977, "2026-01-01", 2), ("b", "x,y", 1000, 1000, "2026-01-01", 3), ("c", None, -50, -50, "2026-02-01", 6)]
+    assert [(r.line_no, r.reason, r.raw) for r in bad.orderBy("line_no").collect()] == [
+        (4, "duplicate row_id", lines[2]), (5, "unparseable amount in gross: '1e5'", lines[3]), (7, "unparseable date: '2026-02-31'", lines[5]), (8, "duplicate row_id", lines[6]),
+    ]
+    for side in (good, bad):
+        plan = side.groupBy().count()._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == 1, plan
+
+
+def test_settlement_file_without_row_id_is_quarantined(spark, tmp_path):
+    (tmp_path / "s.csv").write_text(",".join(files.SETTLEMENT[1:]) + "\n" + "payment,,10.00,0,0,2026-01-01,,,\n" * 2)
+    good, bad = files.read_settlement(spark, str(tmp_path / "s.csv"))
+    assert good.count() == 0 and [r.reason for r in bad.collect()] == ["missing row_id"] * 2
