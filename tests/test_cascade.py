@@ -156,3 +156,25 @@ def test_references(spark):
     texts = [("NEFT-123456789012-RAZORPAY",), ("RTGS 1234567890123456 RZP",), ("BRANCH 250001 ACCT 98765",), (None,)]
     got = [r[0] for r in spark.createDataFrame(texts, "t string").select(extract_utrs(F.col("t"))).collect()]
     assert got == [["123456789012"], ["1234567890123456"], [], []]
+
+
+def test_first_of_two_lines_wins_in_many_components(spark):
+    edges = spark.range(3000).selectExpr("id % 3 AS scope", "concat('t', id) AS txn_id", "id AS txn_seq", "concat('s', id div 6) AS settlement_id", "1L AS times", "0L AS delta", "0 AS lag")
+    done = claim_in_order(edges)
+    won = {(r.scope, r.txn_seq) for r in done.filter("wins").collect()}
+    assert won == {(k % 3, k) for k in range(3000) if k % 6 < 3}
+
+
+def test_replay_over_the_edges_of_its_parts():
+    """A part ends inside a line and inside a component: both go on in the next part."""
+    import pandas as pd
+
+    from ledgerweave.operators.tiers import EDGES, _replayed
+
+    lines = [(0, 1, 1, "a"), (0, 1, 2, "a"), (0, 1, 2, "b"), (0, 1, 3, "b"), (0, 1, 3, "c"), (0, 4, 4, "a"), (1, 1, 1, "a"), (1, 1, 2, "a"), (1, 1, 2, "d"), (1, 1, 2, "e")]
+    edges = pd.DataFrame([dict(zip(EDGES, (s, f"t{q}", q, b, 1, 0, 0))) | {"component": c} for s, c, q, b in lines])
+    for size in range(1, len(lines) + 1):
+        parts = (edges[i : i + size].reset_index(drop=True) for i in range(0, len(lines), size))
+        out = pd.concat(list(_replayed(parts)))
+        assert len(out) == len(lines)
+        assert {(r.scope, r.txn_seq, r.settlement_id) for r in out[out.wins].itertuples()} == {(0, 1, "a"), (0, 2, "b"), (0, 3, "c"), (0, 4, "a"), (1, 1, "a")}, size
