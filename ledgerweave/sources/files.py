@@ -275,18 +275,18 @@ def rupees(c: Column) -> Column:
     return F.concat(F.when(c < 0, "-").otherwise(""), F.call_function("div", cents, F.lit(100)).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
 
 
-def write_settlement_csv(df: DataFrame, path: str, scoped: bool = False) -> None:
+def write_settlement_csv(df: DataFrame, path: str, scoped: bool = False, codec: str = "none") -> None:
     cols = [*([F.col("scope")] if scoped else []), *(F.col(c) for c in SETTLEMENT[:3]), *(rupees(F.col(f"{c}_paise")).alias(c) for c in ("gross", "fee", "tax")), F.col("settled_on").cast("string").alias("settled_on"), *(F.col(c) for c in SETTLEMENT[7:])]
-    _write(df.select(*cols), path)
+    _write(df.select(*cols), path, codec)
 
 
-def write_bank_csv(df: DataFrame, path: str, scoped: bool = False) -> None:
-    _write(df.select(*(["scope"] if scoped else []), "txn_id", F.col("value_date").cast("string").alias("value_date"), "narration", rupees(F.col("credit_paise")).alias("credit"), rupees(F.col("debit_paise")).alias("debit")), path)
+def write_bank_csv(df: DataFrame, path: str, scoped: bool = False, codec: str = "none") -> None:
+    _write(df.select(*(["scope"] if scoped else []), "txn_id", F.col("value_date").cast("string").alias("value_date"), "narration", rupees(F.col("credit_paise")).alias("credit"), rupees(F.col("debit_paise")).alias("debit")), path, codec)
 
 
-def write_orders_csv(df: DataFrame, path: str) -> None:
-    _write(df.select("order_id", F.col("placed_on").cast("string").alias("placed_on"), rupees(F.col("gross_paise")).alias("gross"), "customer_id"), path)
+def write_orders_csv(df: DataFrame, path: str, codec: str = "none") -> None:
+    _write(df.select("order_id", F.col("placed_on").cast("string").alias("placed_on"), rupees(F.col("gross_paise")).alias("gross"), "customer_id"), path, codec)
 
 
-def _write(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).option("emptyValue", "").option("nullValue", "").option("escape", '"').csv(path)
+def _write(df: DataFrame, path: str, codec: str) -> None:
+    df.write.option("header", True).option("compression", codec).option("emptyValue", "").option("nullValue", "").option("escape", '"').csv(path)

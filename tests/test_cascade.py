@@ -158,6 +158,17 @@ def test_references(spark):
     assert got == [["123456789012"], ["1234567890123456"], [], []]
 
 
+def test_settlement_view_is_read_from_the_line_items(spark, sf):
+    """It outweighs them: it isn't written, and is only numbered, by a shuffle of all its rows, for queries that ask for row_seq."""
+    from ledgerweave.plans import registry
+
+    assert any("/lineitem.parquet" in f for f in registry.settlement_of(spark, sf).inputFiles())
+    plan = registry.QUERIES["duplicate_utr_hits"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
+    first, again = (registry.settlement_of(spark, sf).select("scope", "row_id", "row_seq") for _ in range(2))
+    assert first.exceptAll(again).isEmpty() and first.groupBy("scope", "row_id").count().filter("count > 1").isEmpty()
+
+
 def test_first_of_two_lines_wins_in_many_components(spark):
     edges = spark.range(3000).selectExpr("id % 3 AS scope", "concat('t', id) AS txn_id", "id AS txn_seq", "concat('s', id div 6) AS settlement_id", "1L AS times", "0L AS delta", "0 AS lag")
     done = claim_in_order(edges)
